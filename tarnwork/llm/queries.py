@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing
+from . import bpe, chat, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": bpe.query,
+        "op6_chat": chat.query,
         "op8_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_chat": chat.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
     }
