@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing
+from . import bpe, chat, mixing, transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": bpe.query,
         "op6_chat": chat.query,
+        "op7_transport": transport.query,
         "op8_mixing": mixing.query,
     }
 
