@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, transport
+from . import bpe, chat, fingerprints, mixing, transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": bpe.query,
+        "op5_fingerprints": fingerprints.query,
         "op6_chat": chat.query,
         "op7_transport": transport.query,
         "op8_mixing": mixing.query,
