@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, mixing, transport
+from . import bpe, chat, fingerprints, mixing, quality, transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat": chat.query,
         "op7_transport": transport.query,
         "op8_mixing": mixing.query,
+        "op9_quality": quality.query,
     }
 
 
