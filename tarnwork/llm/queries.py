@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, mixing, quality, transport
+from . import bpe, chat, fingerprints, jaccard_join, mixing, quality, transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard": jaccard_join.query,
         "op3_bpe": bpe.query,
         "op5_fingerprints": fingerprints.query,
         "op6_chat": chat.query,
