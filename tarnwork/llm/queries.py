@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, jaccard_join, mixing, quality, transport
+from . import bpe, chat, fingerprints, jaccard_join, mixing, quality, suffix_dedup, transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_transport": transport.query,
         "op8_mixing": mixing.query,
         "op9_quality": quality.query,
+        "op10_suffix": suffix_dedup.query,
     }
 
 
