@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, jaccard_join, mixing, quality, suffix_dedup, transport
+from . import bpe, chat, fingerprints, html_text, jaccard_join, mixing, quality, suffix_dedup, transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_jaccard": jaccard_join.query,
         "op3_bpe": bpe.query,
+        "op4_html": html_text.query,
         "op5_fingerprints": fingerprints.query,
         "op6_chat": chat.query,
         "op7_transport": transport.query,
