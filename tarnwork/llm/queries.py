@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, html_text, jaccard_join, mixing, quality, suffix_dedup, transport
+from . import bpe, chat, fingerprints, html_text, jaccard_join, licenses, mixing, quality, suffix_dedup, transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": licenses.query,
         "op2_jaccard": jaccard_join.query,
         "op3_bpe": bpe.query,
         "op4_html": html_text.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_licenses": licenses.ORACLE_SQL,
         "op6_chat": chat.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
     }
