@@ -300,8 +300,8 @@ def _exact_links(rows: DataFrame, nodes: DataFrame, families: DataFrame) -> Data
             found = [shingle_set(t.as_py()).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], ["node", "family", "copies", "blocks", "shingles"])
 
-    # one row of each node brings the text; a node's copies stay behind
-    texts = rows.join(dealt.select("node", "doc_id", "family", "copies", "blocks"), ["node", "doc_id"])
+    # one row of each node brings the text; a node's copies stay behind. By a merge join at every size
+    texts = rows.join(dealt.select("node", "doc_id", "family", "copies", "blocks").hint("merge"), ["node", "doc_id"])
     with_sets = texts.select("text", "node", "family", "copies", "blocks").mapInArrow(sets, "node long, family long, copies long, blocks int, shingles binary")
     spread = with_sets.select("node", "family", "copies", "shingles", (F.col("blocks") == 1).alias("whole"), tasks)
     task = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("family"))
@@ -340,7 +340,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     decided = materialize(join(docs))
     own = "__tw_doc_id"
     gone = decided.where("doc_id <> class_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(own), "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col(own), "left_anti")
     repeated = decided.where("doc_id = class_id and n_links > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
