@@ -65,48 +65,59 @@ def minimisers(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _retained(rows: DataFrame) -> DataFrame:
-    """doc_id, node, n_words, grams, places of each row."""
+    """doc_id, node, n_words, grams (distinct), times of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, grams, places = [], [], []
+            n_words, grams, times = [], [], []
             for text in batch.column(2):
                 words = text.as_py().split()
-                place, gram, _, _ = minimisers(words)
+                distinct, count = np.unique(minimisers(words)[1], return_counts=True)
                 n_words.append(len(words))
-                grams.append(gram.view(np.int64))
-                places.append(place.astype(np.int32))
+                grams.append(distinct.view(np.int64))
+                times.append(count.astype(np.int32))
             at = pa.array(np.concatenate(([0], np.cumsum([len(g) for g in grams]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x) if x else np.zeros(0, dtype=kind))) for x, kind in ((grams, np.int64), (places, np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int32()), *lists], ["doc_id", "node", "n_words", "grams", "places"])
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x) if x else np.zeros(0, dtype=kind))) for x, kind in ((grams, np.int64), (times, np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int32()), *lists], ["doc_id", "node", "n_words", "grams", "times"])
 
-    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n_words int, grams array<long>, places array<int>")
+    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n_words int, grams array<long>, times array<int>")
 
 
 def _suffixes(texts: DataFrame) -> DataFrame:
-    """Rows of the suffixes at the wanted places of (doc, node, text, wanted): the words on both sides as hashes."""
+    """Rows of the suffixes of (doc, node, text, wanted) that begin with a wanted gram: the words on both sides as hashes.
+
+    Where a text repeats a suffix with all the words of its windows, the first
+    place is a row like others. The further places are repeats whatever other
+    texts hold: neighbouring ones are one row, marked, under a gram of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"doc": pa.int64(), "node": pa.int64(), "gram": pa.int64(), "place": pa.int32(), "fewest": pa.int32(), "most": pa.int32(), "before": pa.binary(), "after": pa.binary(), "again": pa.bool_()}
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc", "node", "gram", "place", "fewest", "most", "before", "after")}
+            out: dict[str, list] = {k: [] for k in kinds}
+            add = lambda *row: [v.append(x) for v, x in zip(out.values(), row, strict=True)]  # noqa: B023, E731
             for doc, node, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.split()
                 place, gram, fewest, most = minimisers(words)
-                kept = np.isin(place, np.array(wanted))
+                kept = np.isin(gram.view(np.int64), np.array(wanted))
                 hashes = (run_hashes(words, 1) >> np.uint64(32)).astype(">u4")
+                seen, further = set(), None
                 for p, g, lo, hi in zip(place[kept].tolist(), gram[kept].view(np.int64).tolist(), fewest[kept].tolist(), most[kept].tolist(), strict=True):
-                    out["gram"].append(g)
-                    out["place"].append(p)
-                    out["fewest"].append(lo)
-                    out["most"].append(hi)
-                    out["before"].append(hashes[p - hi : p][::-1].tobytes())
-                    out["after"].append(hashes[p + GRAM : p + MIN_WORDS - lo].tobytes())
-                out["doc"] += [doc] * int(kept.sum())
-                out["node"] += [node] * int(kept.sum())
-            kinds = {"doc": pa.int64(), "node": pa.int64(), "gram": pa.int64(), "place": pa.int32(), "fewest": pa.int32(), "most": pa.int32(), "before": pa.binary(), "after": pa.binary()}
+                    before, after = hashes[p - hi : p][::-1].tobytes(), hashes[p + GRAM : p + MIN_WORDS - lo].tobytes()
+                    if (known := (g, lo, hi, before, after)) not in seen:
+                        seen.add(known)
+                        add(doc, node, g, p, lo, hi, before, after, False)
+                    elif further is not None and p - hi <= further[1] + 1:
+                        further[1] = max(further[1], p - lo)
+                    else:
+                        if further is not None:
+                            add(doc, node, node, further[1], 0, further[1] - further[0], b"", b"", True)
+                        further = [p - hi, p - lo]
+                if further is not None:
+                    add(doc, node, node, further[1], 0, further[1] - further[0], b"", b"", True)
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
 
-    return texts.select("doc", "node", "text", "wanted").mapInArrow(run, "doc long, node long, gram long, place int, fewest int, most int, before binary, after binary")
+    return texts.select("doc", "node", "text", "wanted").mapInArrow(run, "doc long, node long, gram long, place int, fewest int, most int, before binary, after binary, again boolean")
 
 
 def _padded(parts: list[bytes]) -> np.ndarray:
@@ -114,15 +125,16 @@ def _padded(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(4 * SIDE, b"\0") for p in parts), dtype=">u4").reshape(len(parts), SIDE).astype(np.uint64)
 
 
-def window_hashes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(rows: pd.DataFrame, in_order: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the window with l words before the suffix, for each row and l = 0..SIDE, and whether it may repeat.
 
-    The rows are in order. A window counts only if the row's suffix is its own
-    and one of the row's neighbours agrees on its words to the right.
+    A window counts only if the row's suffix is its own and, where the rows are
+    whole runs in order, one of the row's neighbours agrees on its words to the
+    right.
     """
     before, after = _padded(rows["before"].tolist()), _padded(rows["after"].tolist())
     gram = rows["gram"].to_numpy().view(np.uint64)
-    agree = (after[1:] == after[:-1]).cumprod(axis=1).sum(axis=1) * (gram[1:] == gram[:-1]) if len(rows) > 1 else np.zeros(0, dtype=np.int64)
+    agree = np.full(max(len(rows) - 1, 0), SIDE) if not in_order else (after[1:] == after[:-1]).cumprod(axis=1).sum(axis=1) * (gram[1:] == gram[:-1]) if len(rows) > 1 else np.zeros(0, dtype=np.int64)
     # beside the first and last row stand rows of other tasks: no bound for them
     right = np.maximum(np.concatenate(([SIDE], agree)), np.concatenate((agree, [SIDE])))
     steps = np.cumprod(np.full(SIDE, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64), dtype=np.uint64)
@@ -145,6 +157,11 @@ def _ranges(marked: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _mark(rows: pd.DataFrame) -> pd.DataFrame:
     """node, first, last: starts of the windows of whole runs of suffixes that are not the first of their kind."""
+    again_rows = rows[rows["again"]]
+    rows = rows[~rows["again"]]
+    own = pd.DataFrame({"node": again_rows["node"].to_numpy(), "first": (again_rows["place"] - again_rows["most"]).to_numpy(), "last": (again_rows["place"] - again_rows["fewest"]).to_numpy()})
+    if not len(rows):
+        return own
     h, valid = window_hashes(rows)
     row, words = np.nonzero(valid)
     doc, place = rows["doc"].to_numpy()[row], rows["place"].to_numpy()[row] - words
@@ -155,7 +172,7 @@ def _mark(rows: pd.DataFrame) -> pd.DataFrame:
     marked = np.zeros(valid.shape, dtype=bool)
     marked[row[again], words[again]] = True
     r, first, last = _ranges(marked, rows["place"].to_numpy())
-    return pd.DataFrame({"node": rows["node"].to_numpy()[r], "first": first.astype(np.int32), "last": last.astype(np.int32)})
+    return pd.concat((own, pd.DataFrame({"node": rows["node"].to_numpy()[r], "first": first.astype(np.int32), "last": last.astype(np.int32)})))
 
 
 def _mark_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +194,7 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """node, doc, start, window: the windows of a part of a run, as rows."""
     for rows in batches:
         if len(rows):
-            h, valid = window_hashes(rows.reset_index(drop=True))
+            h, valid = window_hashes(rows.reset_index(drop=True), in_order=False)
             row, words = np.nonzero(valid)
             yield pd.DataFrame({"node": rows["node"].to_numpy()[row], "doc": rows["doc"].to_numpy()[row], "start": (rows["place"].to_numpy()[row] - words).astype(np.int32), "window": h[row, words].view(np.int64)})
 
@@ -224,13 +241,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     order = F.coalesce("doc_id", F.lit(LAST))
     heads = materialize(retained.groupBy("node").agg(F.min(order).alias("doc")))
 
-    suffix = retained.select("doc_id", "node", F.inline(F.arrays_zip("grams", "places"))).withColumnsRenamed({"grams": "gram", "places": "place"})
-    runs = suffix.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = suffix.join(runs, "gram").groupBy("node").agg(F.collect_set("place").alias("wanted"), F.collect_set(F.when(F.col("n") > HOT, F.col("gram"))).alias("hot"))
+    suffix = retained.select("node", F.inline(F.arrays_zip("grams", "times"))).withColumnsRenamed({"grams": "gram", "times": "t"})
+    runs = suffix.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).where("t > 1").select("gram", "n")
+    found = suffix.join(runs, "gram").groupBy("node").agg(F.collect_set("gram").alias("wanted"), F.collect_set(F.when(F.col("n") > HOT, F.col("gram"))).alias("hot"))
     wanted = materialize(heads.join(found, "node"))
     # the first row of each text brings the words
     first_row = wanted.select("node", "doc", "wanted")
-    texts = rows.withColumn("doc", order).join(first_row, ["node", "doc"])
+    # by a merge join at every size
+    texts = rows.withColumn("doc", order).join(first_row.hint("merge"), ["node", "doc"])
     if _has_repeated_rows(retained):
         texts = texts.dropDuplicates(["node", "doc"])
     suffixes = _suffixes(texts)
@@ -277,7 +295,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
     decided = materialize(repeats(docs).where("size(spans) > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias(f"{OWN}doc"), F.col("node").alias(f"{OWN}node"), F.col("spans").alias(f"{OWN}spans")).distinct())
     keys = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col(f"{OWN}doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f"{OWN}node"))
-    joined = docs.join(decided, keys, "left").withColumn("text", F.pandas_udf(lambda t, s: run(t, s), "string")("text", f"{OWN}spans"))
+    joined = docs.join(decided.hint("merge"), keys, "left").withColumn("text", F.pandas_udf(lambda t, s: run(t, s), "string")("text", f"{OWN}spans"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long")))
     return joined.select(*docs.columns)
