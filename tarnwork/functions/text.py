@@ -52,7 +52,8 @@ def scrub(text: Column, rules: Sequence[tuple[str, str, int]] = SECRET_RULES, re
     if registered:
         counts.append((F.lit("registered_secret"), known))
     for kind, pattern, group in rules:
-        fresh = pattern if not group else pattern.replace("([^\"\\n]{8,})", f"(?!{re.escape(PLACEHOLDER)})([^\"\\n]{{8,}})")
+        # what a former rule put in the place of the second group is left alone
+        fresh = pattern.replace(")([^", f")((?!{re.escape(PLACEHOLDER)})[^") if group else pattern
         counts.append((F.lit(kind), F.regexp_count(text, F.lit(fresh))))
         mark = f"{PLACEHOLDER}{kind}]"
         text = F.regexp_replace(text, fresh, f"$1{mark}$3" if group else mark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,7 +111,7 @@ def read_files(spark: SparkSession, root: str, paths: Sequence[str] | None = Non
     base = root.rstrip("/") + "/"
     reader = spark.read.format("binaryFile")
     found = reader.load([base + p for p in paths]) if paths is not None else reader.option("recursiveFileLookup", "true").load(base)
-    relative = F.regexp_extract("path", F.lit(".*" + base.replace(".", r"\.") + "(.*)$"), 1)
+    relative = F.regexp_extract("path", ".*" + re.escape(base) + "(.*)$", 1)
     small = F.col("length") <= max_bytes
     rows = found.select(relative.alias("path"), F.when(small, F.col("content")).alias("content"), F.col("length").alias("size"))
     kept = rows.where(~matches_any(F.col("path"), exclude)) if exclude else rows
