@@ -106,13 +106,26 @@ def read_files(spark: SparkSession, root: str, paths: Sequence[str] | None = Non
     """path, content, size, sha256, starts of the files below root, read once by Spark.
 
     Files above max_bytes keep a null content; excluded ones are left out.
-    Named files are read by their paths, since listings hide some names.
+    Without named paths all that Spark lists is read, from any store; named
+    paths are below a root on the driver's disk.
     """
     base = root.rstrip("/") + "/"
     reader = spark.read.format("binaryFile")
-    found = reader.load([base + p for p in paths]) if paths is not None else reader.option("recursiveFileLookup", "true").load(base)
     relative = F.regexp_extract("path", ".*" + re.escape(base) + "(.*)$", 1)
+    if paths is None:
+        found = reader.option("recursiveFileLookup", "true").load(base).withColumn("path", relative)
+    else:
+        # Spark leaves out empty files and names that begin with _ or .: the driver ships those
+        shipped = [p for p in paths if any(x[:1] in "_." for x in p.split("/")) or not os.path.getsize(base + p)]
+        made = []
+        for p in shipped:
+            with open(base + p, "rb") as f:
+                data = f.read()
+            made.append((p, bytearray(data), len(data)))
+        found = spark.createDataFrame(made, "path string, content binary, length long")
+        if rest := [base + p for p in paths if p not in set(shipped)]:
+            found = found.unionByName(reader.load(rest).select(relative.alias("path"), "content", "length"))
     small = F.col("length") <= max_bytes
-    rows = found.select(relative.alias("path"), F.when(small, F.col("content")).alias("content"), F.col("length").alias("size"))
+    rows = found.select("path", F.when(small, F.col("content")).alias("content"), F.col("length").alias("size"))
     kept = rows.where(~matches_any(F.col("path"), exclude)) if exclude else rows
     return kept.withColumn("sha256", F.sha2("content", 256)).withColumn("starts", line_starts(F.col("content")))
