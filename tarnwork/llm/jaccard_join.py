@@ -350,3 +350,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     return join(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS doc, count(*) AS copies, list_filter(string_split_regex(coalesce(any_value(text), ''), '\s+'), lambda x: x <> '') AS w
+  FROM documents GROUP BY coalesce(text, '')
+), sets AS (
+  SELECT doc, copies, list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM texts WHERE len(w) > 0
+), tokens AS (SELECT doc, unnest(s) AS g FROM sets),
+shared AS (SELECT a.doc AS a, b.doc AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.g = b.g AND a.doc <> b.doc GROUP BY ALL),
+links AS (SELECT a, b, y.copies FROM shared JOIN sets x ON x.doc = a JOIN sets y ON y.doc = b WHERE 9 * c >= 4 * (len(x.s) + len(y.s))),
+reach AS (SELECT doc AS a, doc AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+classes AS (SELECT a AS doc, min(b) AS class_id FROM reach GROUP BY 1),
+counts AS (SELECT doc, sets.copies - 1 + coalesce(sum(links.copies), 0) AS n_links FROM sets LEFT JOIN links ON a = doc GROUP BY doc, sets.copies)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents d JOIN texts t ON coalesce(d.text, '') = t.text LEFT JOIN classes USING (doc) LEFT JOIN counts USING (doc)
+"""

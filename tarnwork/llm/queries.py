@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_licenses": licenses.ORACLE_SQL,
+        "op2_jaccard": jaccard_join.ORACLE_SQL,
         "op6_chat": chat.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
+        "op10_suffix": suffix_dedup.ORACLE_SQL,
     }

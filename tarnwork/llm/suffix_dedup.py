@@ -307,4 +307,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), removed.cast("long").alias("n_removed"), "spans")
+    written = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), removed.cast("long").alias("n_removed"), written.alias("spans"))
+
+
+ORACLE_SQL = r"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+heads AS (SELECT text, min(doc_id) AS doc_id, any_value(w) AS w FROM rows GROUP BY text),
+windows AS (SELECT doc_id, start, md5(array_to_string(w[start + 1 : start + 50], ' ')) AS h FROM heads, unnest(range(0, len(w) - 49)) u(start)),
+again AS (SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, start) AS k FROM windows) WHERE k > 1),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS i FROM (SELECT *, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 50 THEN 0 ELSE 1 END AS fresh FROM again)),
+spans AS (SELECT doc_id, min(start) AS a, max(start) + 50 AS b FROM islands GROUP BY doc_id, i),
+merged AS (SELECT doc_id, sum(b - a) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS s FROM spans GROUP BY 1)
+SELECT r.doc_id, len(r.w)::BIGINT AS n_words,
+       (CASE WHEN r.doc_id = h.doc_id THEN coalesce(n, 0) WHEN len(r.w) >= 50 THEN len(r.w) ELSE 0 END)::BIGINT AS n_removed,
+       CASE WHEN r.doc_id = h.doc_id THEN coalesce(s, '') WHEN len(r.w) >= 50 THEN '0-' || len(r.w) ELSE '' END AS spans
+FROM rows r JOIN heads h USING (text) LEFT JOIN merged m ON m.doc_id = h.doc_id
+"""
