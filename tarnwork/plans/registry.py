@@ -385,9 +385,9 @@ def interval_overlap(s: SparkSession, d: str) -> DataFrame:
     return intervals.overlapping(w.withColumnRenamed("usr", "left_usr"), right, ["path"], ("start_line", "end_line"), ("s2", "e2")).where("left_usr < right_usr").select("path", "left_usr", "right_usr")
 
 
-@query("reference_lookup", "SELECT l_partkey AS usr, list_sort(list(DISTINCT l_suppkey)) AS targets FROM lineitem GROUP BY 1")
+@query("reference_lookup", "SELECT l_partkey AS usr, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS targets FROM lineitem GROUP BY 1")
 def reference_lookup(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("usr")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("targets"))
+    return t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("usr")).agg(F.array_join(F.sort_array(F.collect_set("l_suppkey")).cast("array<string>"), ",").alias("targets"))
 
 
 @query(
