@@ -24,7 +24,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 #: Characters of text in a chunk, and pre-tokens remembered between chunks.
 CHUNK_CHARS = 12_000_000
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -152,13 +153,17 @@ def merge_all(vocabulary: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
 
 
 class Codec:
-    """Encodes texts to ids and decodes ids to texts."""
+    """Encodes texts to ids and decodes ids to texts.
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> None:
+    form says what is remembered of a pre-token's ids; by default the ids as 32-bit numbers.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED, form: Callable[[list[int]], Any] | None = None) -> None:
         self.vocabulary, self.remembered = vocabulary, remembered
+        self.form = form or (lambda ids: np.array(ids, dtype=np.int32).tobytes())
         self.pretoken = regex.compile(PRETOKEN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, Any] = {}
 
     def pretokens(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -170,30 +175,33 @@ class Codec:
             at = m.end()
         return found + self.pretoken.findall(text[at:])
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Makes self.known hold every word."""
-        wanted = set(words)
+    def learn(self, wanted: Iterable[str]) -> None:
+        """Makes self.known hold every distinct word wanted."""
+        wanted = list(wanted)
         new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > self.remembered:
             self.known = {w: self.known[w] for w in wanted if w in self.known}
         plain = [w for w in new if w not in self.vocabulary.special]
         for w in new:
             if w in self.vocabulary.special:
-                self.known[w] = (self.vocabulary.special[w],)
+                self.known[w] = self.form([self.vocabulary.special[w]])
         if plain:
             for w, ids in zip(plain, merge_all(self.vocabulary, [w.encode() for w in plain]), strict=True):
-                self.known[w] = tuple(ids.tolist())
+                self.known[w] = self.form(ids.tolist())
 
     def encode_split(self, texts: list[str]) -> list[list[str]]:
-        """The pre-tokens of each text, all of them learnt."""
-        split = [self.pretokens(t) for t in texts]
-        self.learn(w for words in split for w in words)
+        """The pre-tokens of each text, all of them learnt; equal ones are one object."""
+        same: dict[str, str] = {}
+        split = []
+        for t in texts:
+            words = self.pretokens(t)
+            split.append(list(map(same.setdefault, words, words)))
+        self.learn(same)
         return split
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = self.encode_split(texts)
-        known = self.known
-        return [[i for w in words for i in known[w]] for words in split]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32).tolist() for words in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -250,19 +258,21 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     definition = docs.sparkSession.sparkContext.broadcast(load_definition(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(definition.value))
+        vocabulary = Vocabulary(definition.value)
+        token_bytes = vocabulary.token_bytes
+        # of each pre-token: its ids as text, and the bytes that they decode to
+        codec = Codec(vocabulary, form=lambda ids: (",".join(map(str, ids)), b"".join([token_bytes[i] for i in ids])))
         for keys, texts in chunks(batches):
             split = codec.encode_split(texts)
-            token_bytes = codec.vocabulary.token_bytes
-            written = {w: ",".join(map(str, ids)) for w, ids in codec.known.items()}
-            decoded = {w: b"".join([token_bytes[i] for i in ids]) for w, ids in codec.known.items()}
-            counts, of_ids, of_text = [], [], []
+            known, counts, of_ids, of_text = codec.known, [], [], []
             for words in split:
-                ids = ",".join([written[w] for w in words])
+                parts = [known[w] for w in words]
+                ids = ",".join([p[0] for p in parts])
                 counts.append(ids.count(",") + 1 if words else 0)
                 of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                text = b"".join([decoded[w] for w in words]).decode("utf-8", "replace")
+                text = b"".join([p[1] for p in parts]).decode("utf-8", "replace")
                 of_text.append(hashlib.sha256(text.encode()).hexdigest())
+            del split
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
