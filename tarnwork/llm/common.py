@@ -31,8 +31,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared scratch folder and read it again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    The files go when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tarnwork-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
