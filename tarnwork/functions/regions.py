@@ -84,3 +84,8 @@ def count_code_lines(text: Column) -> Column:
         return F.struct((s["n"] + code.cast("int")).alias("n"), F.when(s["block"], ~closes).otherwise(opens & ~closes).alias("block"))
 
     return F.aggregate(lines, start, step, lambda s: s["n"].cast("long"))
+
+
+def cited_text(chunks: Column) -> Column:
+    """Cited byte chunks, in order, as one text; what is not UTF-8 replaced."""
+    return F.array_join(F.transform(chunks, lambda c: F.make_valid_utf8(c.cast("string"))), "\n")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 from ..values import SECRET_RULES
 
 PLACEHOLDER = "[redacted:"
+#: What a text has to hold for a rule to match at all: a plain search that spares the pattern.
+NEEDLES = {
+    "private_key_block": ("-----BEGIN ",), "aws_access_key": ("AKIA", "ASIA", "AGPA", "AIDA"), "google_api_key": ("AIza",), "json_web_token": ("eyJ",),
+    "vendor_token": ("gh", "xox", "sk-", "ya29."), "assigned_literal": ('"',),
+}
 
 
 def token_estimate(text: Column, chars_per_token: float = 3.0) -> Column:
@@ -45,20 +51,41 @@ def scrub(text: Column, rules: Sequence[tuple[str, str, int]] = SECRET_RULES, re
     what stands around its second group. What a former rule replaced is not
     counted again.
     """
-    counts, known = [], F.lit(0)
+    kinds: list[str] = []
+    state = F.struct(text.alias("text"), F.array().cast("array<bigint>").alias("n"))
+
+    def then(step: Callable[[Column], tuple[Column, Column]]) -> None:
+        """The state after one rule; the one before it is bound to a variable, not written out again."""
+        nonlocal state
+
+        def bound(before: Column) -> Column:
+            after, n = step(before["text"])
+            return F.struct(after.alias("text"), F.concat(before["n"], F.array(n.cast("bigint"))).alias("n"))
+
+        state = F.get(F.transform(F.array(state), bound), F.lit(0))
+
     for secret in sorted(registered, key=len, reverse=True):
-        known = known + F.regexp_count(text, F.lit(re.escape(secret)))
-        text = F.replace(text, F.lit(secret), F.lit(f"{PLACEHOLDER}registered_secret]"))
-    if registered:
-        counts.append((F.lit("registered_secret"), known))
+        kinds.append("registered_secret")
+        then(lambda t, secret=secret: (F.replace(t, F.lit(secret), F.lit(f"{PLACEHOLDER}registered_secret]")), F.regexp_count(t, F.lit(re.escape(secret)))))
     for kind, pattern, group in rules:
         # what a former rule put in the place of the second group is left alone
         fresh = pattern.replace(")([^", f")((?!{re.escape(PLACEHOLDER)})[^") if group else pattern
-        counts.append((F.lit(kind), F.regexp_count(text, F.lit(fresh))))
         mark = f"{PLACEHOLDER}{kind}]"
-        text = F.regexp_replace(text, fresh, f"$1{mark}$3" if group else mark)
-    found = F.map_from_arrays(F.array(*[k for k, _ in counts]), F.array(*[n.cast("long") for _, n in counts]))
-    return F.struct(text.alias("text"), F.map_filter(found, lambda _, n: n > 0).alias("counts"))
+        needles = NEEDLES.get(kind, ()) if (kind, pattern, group) in SECRET_RULES else ()
+
+        def rule(t: Column, fresh: str = fresh, put: str = f"$1{mark}$3" if group else mark, needles: Sequence[str] = needles) -> tuple[Column, Column]:
+            may = functools.reduce(Column.__or__, [F.contains(t, F.lit(n)) for n in needles]) if needles else F.lit(True)
+            return F.when(may, F.regexp_replace(t, fresh, put)).otherwise(t), F.when(may, F.regexp_count(t, F.lit(fresh))).otherwise(F.lit(0))
+
+        kinds.append(kind)
+        then(rule)
+
+    def result(s: Column) -> Column:
+        total = {k: functools.reduce(Column.__add__, [F.get(s["n"], F.lit(i)) for i, x in enumerate(kinds) if x == k]) for k in dict.fromkeys(kinds)}
+        found = F.map_from_arrays(F.array(*map(F.lit, total)), F.array(*total.values()))
+        return F.struct(s["text"].alias("text"), F.map_filter(found, lambda _, n: n > 0).alias("counts"))
+
+    return F.get(F.transform(F.array(state), result), F.lit(0))
 
 
 def mask_paths(text: Column, pattern: str) -> Column:

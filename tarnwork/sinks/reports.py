@@ -182,3 +182,8 @@ def record_access(ledger: DataFrame, policy_version: str) -> int:
 def put_responses(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Content-addressed responses: what is stored wins, new keys are added, the first of each."""
     return first_of(stored.withColumn("part", F.lit(0)).unionByName(new.withColumn("part", F.lit(1))), ["key"], ["part", "payload"]).drop("part")
+
+
+def write_prompts(prompts: DataFrame, path: str) -> None:
+    """Assembled requests (candidate_id, text), one folder per candidate; nothing is sent."""
+    prompts.select("candidate_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("candidate_id").text(path)

@@ -114,6 +114,24 @@ def cassette(spark: SparkSession, text: str, prompt_version: str) -> DataFrame:
     return spark.createDataFrame(rows, "turn int, text string, failure string")
 
 
+def checkpoint_state(text: str | None, identity: str) -> dict | None:
+    """The completed prefix of a run that was cut short, None without one; of another run it raises rather than start again."""
+    if text is None:
+        return None
+    state = json.loads(text)
+    if state.get("identity") != identity:
+        raise ValueError("the checkpoint belongs to another run")
+    return state
+
+
+def case_arguments(line, source):
+    """The arguments for analysis of a recorded compile line: without output flags, the file last."""
+    from ..functions.build import strip_compile_only
+
+    words = F.filter(F.split(F.trim(line), r"\s+"), lambda a: ~a.rlike(r"\.(?:c|cc|cpp|cxx)$"))
+    return F.concat(strip_compile_only(words), F.array(source))
+
+
 def consent(text: str | None, flag: bool | None = None) -> bool:
     """Whether sending code out was agreed to: the flag, else a record that says so; anything else is a no."""
     if flag is not None:

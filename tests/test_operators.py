@@ -266,3 +266,31 @@ def test_profiles_and_prompts(spark):
     unit = prompts.render_unit(F.lit("ev-1"), F.lit("caller"), F.lit("a.c"), F.lit(1), F.lit(2), F.lit("x ``` y"))
     text = spark.range(1).select(prompts.assemble(F.lit("m"), F.array(unit), F.array(F.struct(F.lit("k").alias("kind"), F.lit("d").alias("detail")))).alias("p")).first()["p"]
     assert "````\nx ``` y\n````" in text["text"] and text["text"].endswith("- k: d") and text["tokens"] > 0
+
+
+def test_checks(spark):
+    from tarnwork.functions import schema
+    from tarnwork.operators import checks
+    from tarnwork.sources import records
+
+    df = spark.createDataFrame([("a.c",), ("x/b.c",)], "path string")
+    shown, limits = checks.withheld(df, ["x/*"])
+    assert rows(shown) == [("a.c",)] and rows(limits) == [("excluded_by_filter", "x/b.c", "withheld by x/*")]
+    with pytest.raises(Exception, match="excluded"):
+        checks.refuse(df, F.col("path").startswith("x"), "excluded path").collect()
+    cases = spark.createDataFrame([("k",), ("l",)], "case_id string")
+    assert rows(checks.select_cases(cases, ["k"])) == [("k",)]
+    with pytest.raises(KeyError):
+        checks.select_cases(cases, ["z"])
+    bundle = spark.createDataFrame([("e", bytearray(b"x"), hashlib.sha256(b"x").hexdigest()), ("f", bytearray(b"x"), "0")], "evidence_id string, captured binary, sha256 string")
+    ids = spark.createDataFrame([("e",), ("f",), ("g",)], "evidence_id string")
+    assert dict(rows(checks.captured_intact(bundle, ids))) == {"e": True, "f": False, "g": False}
+    flat = schema.flatten({"$defs": {"A": {"type": "object", "title": "A", "properties": {"title": {"type": "string", "title": "t"}}}}, "properties": {"a": {"$ref": "#/$defs/A"}, "b": {"anyOf": [{"type": "string"}, {"type": "null"}]}}})
+    assert flat == {"properties": {"a": {"type": "object", "properties": {"title": {"type": "string"}}}, "b": {"type": "string", "nullable": True}}}
+    with pytest.raises(ValueError):
+        schema.flatten({"$defs": {"A": {"properties": {"x": {"$ref": "#/$defs/A"}}}}, "properties": {"a": {"$ref": "#/$defs/A"}}})
+    assert records.checkpoint_state(None, "i") is None and records.checkpoint_state('{"identity": "i"}', "i") == {"identity": "i"}
+    with pytest.raises(ValueError):
+        records.checkpoint_state('{"identity": "j"}', "i")
+    got = spark.range(1).select(records.case_arguments(F.lit("gcc -c a.c -o a.o -Wall"), F.lit("a.c")).alias("x")).first()["x"]
+    assert got == ["gcc", "-Wall", "a.c"]
