@@ -11,7 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 OWN = "__tw_"
 
 
+#: Settings of the session that these operators count on, each with the default it takes the place of.
+#: Rows hold whole texts and an Arrow batch is held several times over on its way, so batches are small;
+#: and many narrow tables are written between stages, which small partitions would scatter over files.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": ("true", "false"),
+}
+
+
+def settle(spark: SparkSession) -> None:
+    """SETTINGS from now on, except where the session has values of its own."""
+    for key, (default, wanted) in SETTINGS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, wanted)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +51,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The files go when the session's JVM ends.
     """
     spark = df.sparkSession
+    settle(spark)
     path = f"{scratch_dir(spark)}/tarnwork-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
