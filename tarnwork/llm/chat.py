@@ -83,9 +83,8 @@ def segments(rendered: Column) -> Column:
     return F.transform(F.regexp_extract_all(rendered, F.lit(TURN), 0), one)
 
 
-def reparse(rendered: Column) -> Column:
-    """The turns of a rendered text; null if a control string stands inside a turn or text between turns."""
-    found = segments(rendered)
+def turns_of(found: Column, rendered: Column) -> Column:
+    """The turns of a rendered text from its segments; null if a control string stands inside a turn or text between turns."""
     covered = F.aggregate(found, F.lit(0), lambda n, s: n + s["opening_chars"] + s["closing_chars"] + F.char_length(s["raw"]))
     clean = ~F.exists(found, lambda s: s["raw"].rlike(CONTROL)) & (covered == F.char_length(rendered))
     return F.when(clean, F.transform(found, lambda s: F.struct(s["role"].alias("role"), unescape(s["raw"]).alias("text"))))
@@ -96,8 +95,12 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     in_order = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
     source = rows.groupBy("conv_id").agg(F.transform(in_order, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = source.withColumn("plain", render(F.col("source"), escaped=False))
-    chosen = plain.select("conv_id", "source", F.when(reparse(F.col("plain")).eqNullSafe(F.col("source")), F.col("plain")).otherwise(render(F.col("source"), escaped=True)).alias("formatted"))
-    parsed = chosen.select("conv_id", "source", "formatted", reparse(F.col("formatted")).alias("turns"), segments(F.col("formatted")).alias("segments"))
+    read = plain.withColumn("found", segments(F.col("plain")))
+    checked = read.withColumn("same", turns_of(F.col("found"), F.col("plain")).eqNullSafe(F.col("source")))
+    # what was read back of the plain rendering is kept; the escaped one is read anew
+    chosen = checked.select("conv_id", "source", F.when(F.col("same"), F.col("plain")).otherwise(render(F.col("source"), escaped=True)).alias("formatted"), F.when(F.col("same"), F.col("found")).alias("found"))
+    again = chosen.select("conv_id", "source", "formatted", F.coalesce("found", segments(F.col("formatted"))).alias("segments"))
+    parsed = again.withColumn("turns", turns_of(F.col("segments"), F.col("formatted")))
     same = F.when(F.col("turns").eqNullSafe(F.col("source")), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("no round trip: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
 
     def runs(s: Column) -> Column:
