@@ -315,12 +315,8 @@ def _exact_links(rows: DataFrame, nodes: DataFrame, families: DataFrame) -> Data
     return per_node.join(joined, "node", "left").select("node", "links", F.coalesce("component", "root").alias("component"))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links of each row of docs (doc_id, text).
-
-    class_id is the smallest doc_id among the documents that links connect;
-    n_links the number of other rows that the row is linked to.
-    """
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node, n_shingles of each row of docs (doc_id, text); and node, doc_id, copies, links, component of each node."""
     rows = _rows(docs)
     signed = materialize(_signed(rows))
     nodes = materialize(
@@ -329,6 +325,16 @@ def join(docs: DataFrame) -> DataFrame:
     families = connected_components(candidate_edges(nodes))
     linked = materialize(_exact_links(rows, nodes, families))
     per_node = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", "doc_id", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "node").alias("component"))
+    return signed.select("doc_id", "node", "n_shingles"), per_node
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links of each row of docs (doc_id, text).
+
+    class_id is the smallest doc_id among the documents that links connect;
+    n_links the number of other rows that the row is linked to.
+    """
+    signed, per_node = _classes(docs)
     class_ids = per_node.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     result = per_node.join(class_ids, "component").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     joined = signed.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(result, "node", "left")
@@ -336,13 +342,34 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each class: that of the smallest doc_id."""
-    decided = materialize(join(docs))
-    own = "__tw_doc_id"
-    gone = decided.where("doc_id <> class_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col(own), "left_anti")
-    repeated = decided.where("doc_id = class_id and n_links > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """docs without all but one document of each class: that of the smallest doc_id.
+
+    Rows are decided by doc_id and text, so a text stays or goes whatever other
+    texts its id has. A null doc_id is equal to null and after all others, so
+    texts of null ids stay unless their class has another row; of several texts
+    of the smallest id in a class that of the smallest hash stays. Rows equal
+    in both are one document: of them stays the row whose other columns come
+    first as JSON. Texts without shingles are no copies and stay, every row.
+    """
+    own_id, own_node, goes = "__tw_doc_id", "__tw_node", "__tw_goes"
+    signed, per_node = _classes(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "node")).alias("first")
+    heads = per_node.groupBy("component").agg(first, F.sum("copies").alias("rows")).where("rows > 1")
+    of_node = per_node.select("node", "component").join(heads, "component").select("node", "first")
+    decided = signed.where("n_shingles > 0").join(of_node, "node").groupBy("node", "doc_id").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = (F.col("node") != F.col("first.node")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    decided = materialize(decided.select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node), gone.alias(goes), "n").where(f"{goes} or n > 1"))
+
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias("__tw_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__tw_text"))
+    same = (F.col("__tw_text") == F.col(own_node)) & F.col("__tw_id").eqNullSafe(F.col(own_id))
+    kept = keyed.join(decided.where(goes).select(own_id, own_node).hint("merge"), same, "left_anti")
+    repeated = decided.where(f"not {goes}").select(own_id, own_node)
+    if not repeated.limit(1).count():
+        return kept.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    one = kept.join(repeated.hint("merge"), same, "left_semi").groupBy("__tw_id", "__tw_text").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return kept.join(repeated.hint("merge"), same, "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

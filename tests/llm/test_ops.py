@@ -120,6 +120,20 @@ def test_keep_one(spark, words):
     assert jaccard_join.keep_one(twice).count() == 1 and jaccard_join.join(docs(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("repeat", [False, True])
+def test_keep_one_decides_by_id_and_text(spark, words, repeat):
+    rng = random.Random(9)
+    a, b, c, d, e, f = (" ".join(rng.choices(words, k=60)) for _ in range(6))
+    near = a + " more"
+    made = [(1, a), (2, near), (2, b), (3, c), (3, d), (None, e), (None, f), (None, near), (4, None), (4, None), (None, ""), (None, ""), (None, "p q r s t u"), (None, "p q r s t u"), (5, "v w x y z a"), (None, "v w x y z a")]
+    gone = [(2, near), (None, near), (None, "p q r s t u"), (None, "v w x y z a")]
+    table = spark.createDataFrame([(i, t, "x") for i, t in made] + [(3, d, s) for s in "zab" if repeat], "doc_id long, text string, source string")
+    kept = jaccard_join.keep_one(table.repartition(3))
+    want = collections.Counter(made) - collections.Counter(gone)
+    assert kept.columns == table.columns and collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    assert [r["source"] for r in kept.where(F.col("text") == d).collect()] == ["a" if repeat else "x"]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (None, 1)] + [(i, i + 1) for i in range(100, 130)], "a long, b long")
     got = dict(rows(connected_components(edges)))
