@@ -27,8 +27,9 @@ is spread over tasks of bounded memory.
 Defined cases: words are separated by white space; fewer than five words are
 one shingle; a null or empty text has no shingles, no links and a class of its
 own per row; equal texts are linked (similarity 1); repeated rows are copies;
-an empty table gives an empty result; other columns are not read. Texts are
-told apart by a 64-bit hash.
+an empty table gives an empty result; other columns are not read. Rows with a
+null doc_id are linked and counted like others; a class_id is null only where
+all ids of the class are. Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ DENSE = 0.6
 SKETCH_SHARE = 0.5
 #: Nodes and shingles of a block at most, on average.
 BLOCK_NODES, BLOCK_SHINGLES = 2048, 1_000_000
+#: Stands for a null doc_id where texts meet their nodes.
+LAST = 2**63 - 1
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -301,7 +304,9 @@ def _exact_links(rows: DataFrame, nodes: DataFrame, families: DataFrame) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], ["node", "family", "copies", "blocks", "shingles"])
 
     # one row of each node brings the text; a node's copies stay behind. By a merge join at every size
-    texts = rows.join(dealt.select("node", "doc_id", "family", "copies", "blocks").hint("merge"), ["node", "doc_id"])
+    key = F.coalesce("doc_id", F.lit(LAST)).alias("key")
+    wanted = dealt.select("node", key, "family", "copies", "blocks").hint("merge")
+    texts = rows.select("node", key, "text").join(wanted, ["node", "key"]).dropDuplicates(["node", "key"])
     with_sets = texts.select("text", "node", "family", "copies", "blocks").mapInArrow(sets, "node long, family long, copies long, blocks int, shingles binary")
     spread = with_sets.select("node", "family", "copies", "shingles", (F.col("blocks") == 1).alias("whole"), tasks)
     task = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("family"))

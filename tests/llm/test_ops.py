@@ -120,6 +120,18 @@ def test_keep_one(spark, words):
     assert jaccard_join.keep_one(twice).count() == 1 and jaccard_join.join(docs(spark, []).limit(0)).count() == 0
 
 
+def test_jaccard_join_with_null_ids(spark, words):
+    rng = random.Random(11)
+    w, p = rng.choices(words, k=72), rng.choices(words, k=60)
+    a, between, b = (" ".join(w[i : i + 60]) for i in (0, 6, 12))
+    made = [(1, a), (None, between), (None, between), (2, b), (None, " ".join(p)), (None, " ".join(p[1:])), (7, "x y z u v"), (None, "x y z u v"), (None, "lonely words"), (None, None)]
+    want = [(1, 1, 2), (None, 1, 3), (None, 1, 3), (2, 1, 2), (None, None, 1), (None, None, 1), (7, 7, 1), (None, 7, 1), (None, None, 0), (None, None, 0)]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    assert rows(jaccard_join.join(table), "doc_id", "class_id", "n_links") == sorted(want, key=repr)
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(table).collect())
+    assert kept.total() == 5 and kept[1, a] == kept[7, "x y z u v"] == kept[None, "lonely words"] == kept[None, None] == 1
+
+
 @pytest.mark.parametrize("repeat", [False, True])
 def test_keep_one_decides_by_id_and_text(spark, words, repeat):
     rng = random.Random(9)
