@@ -7,43 +7,50 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks per shuffle partition, so that hashing blocks to partitions evens out.
-BLOCKS_PER_PARTITION = 4
+#: Blocks per shuffle partition, so that hashing blocks to partitions evens out; blocks at most.
+BLOCKS_PER_PARTITION, MOST_BLOCKS = 4, 20_000
 #: Keys of the sample that sets the bounds, per block.
-SAMPLED_PER_BLOCK = 50
+SAMPLED_PER_BLOCK = 20
+#: Stands between the bounds in one literal; no key holds it.
+BETWEEN = "\x02"
 
 
 def _literal(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    """Constant array of strings, as one folded literal."""
+    return F.split(F.lit(BETWEEN.join(values)), BETWEEN) if values else F.array().cast("array<string>")
 
 
-def deal(rows: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
-    """rows with their block and whether they are guests in it; key is a string column that orders the rows.
+def deal(rows: DataFrame, key: str, keys: DataFrame | None = None, ring: bool = False) -> DataFrame:
+    """rows with their block and guest: 0 in the block that is theirs; key is a string column that orders the rows.
 
     Blocks are ranges of the key. The first and last rows of a block are also
-    guests of the blocks beside it, so a window over a block sees the
-    neighbours of all rows that are no guests. The bounds come from a sample
-    of the keys and decide on balance only. The driver gets some keys per block.
+    guests of the blocks beside it, -1 if they come before it and 1 if after,
+    so a window over a block by (guest, key) sees the neighbours of all its
+    rows; in a ring the last block is beside the first. The bounds come from a sample of the keys and decide on
+    balance only. The driver gets 20 keys for each of at most 20,000 blocks.
     keys: the same keys by a cheaper plan, if there is one.
     """
     spark = rows.sparkSession
-    wanted = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MOST_BLOCKS, BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = rows.select(key) if keys is None else keys
     total = keys.count()
     share = min(1.0, SAMPLED_PER_BLOCK * wanted / max(total, 1))
     sample = sorted(r[0] for r in (keys if share == 1.0 else keys.sample(share, seed=1)).collect())
     bounds = sorted({sample[i * len(sample) // wanted] for i in range(1, wanted)}) if sample else []
+    # a search in two steps, each over about the root of the number of bounds
     width = max(1, math.isqrt(len(bounds)))
     below = lambda values: F.size(F.filter(values, lambda b: b < F.col(key)))
     coarse = below(_literal(bounds[width - 1 :: width]))
     block = (coarse * width + below(F.slice(_literal(bounds), coarse * width + 1, F.lit(width)))).cast("int") if bounds else F.lit(0)
     ends = sorted((r["block"], r["low"], r["high"]) for r in keys.select(key, block.alias("block")).groupBy("block").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect())
-    visits = [(b[1], a[0]) for a, b in zip(ends, ends[1:], strict=False)] + [(a[2], b[0]) for a, b in zip(ends, ends[1:], strict=False)]
-    own = F.array(F.struct(block.alias("block"), F.lit(False).alias("guest")))
+    beside = list(zip(ends, ends[1:], strict=False))
+    if ring and len(ends) > 1:
+        beside.append((ends[-1], ends[0]))
+    visits = [(b[1], a[0], 1) for a, b in beside] + [(a[2], b[0], -1) for a, b in beside]
+    own = F.array(F.struct(block.alias("block"), F.lit(0).alias("guest")))
     if not visits:
         return rows.select("*", F.inline(own))
     # two rows per block at most
-    also = F.broadcast(spark.createDataFrame(visits, "visitor string, host_block int").groupBy("visitor").agg(F.collect_list("host_block").alias("host_blocks")))
-    placed = rows.join(also, F.col(key) == F.col("visitor"), "left")
-    guests = F.transform(F.coalesce("host_blocks", F.array().cast("array<int>")), lambda b: F.struct(b.alias("block"), F.lit(True).alias("guest")))
-    return placed.select(*rows.columns, F.inline(F.concat(own, guests)))
+    places = spark.createDataFrame(visits, "visitor string, block int, guest int").groupBy("visitor").agg(F.collect_list(F.struct("block", "guest")).alias("places"))
+    placed = rows.join(F.broadcast(places), F.col(key) == F.col("visitor"), "left")
+    return placed.select(*rows.columns, F.inline(F.concat(own, F.coalesce("places", F.array().cast("array<struct<block:int,guest:int>>")))))

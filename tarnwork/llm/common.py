@@ -21,7 +21,10 @@ SETTINGS = {
 
 
 def settle(spark: SparkSession) -> None:
-    """SETTINGS from now on, except where the session has values of its own."""
+    """SETTINGS from now on, except where the session has values of its own.
+
+    Only the registered queries call this; the operators leave the session as it is.
+    """
     for key, (default, wanted) in SETTINGS.items():
         if spark.conf.get(key) == default:
             spark.conf.set(key, wanted)
@@ -33,13 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder that the cluster names; one of our own only where none is set and all runs on this machine (tests)."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarnwork-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -51,7 +56,6 @@ def materialize(df: DataFrame) -> DataFrame:
     The files go when the session's JVM ends.
     """
     spark = df.sparkSession
-    settle(spark)
     path = f"{scratch_dir(spark)}/tarnwork-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,15 +14,16 @@ bits of a long and the selected pair's hash to the low ones, so that one
 ``min`` over longs per sample is the whole aggregation.
 
 The edited text needs the next document's text. Documents are dealt to blocks
-by ranges of doc_id; the first document of a block is also sent to the block
-before it. Texts move in this one shuffle; windows, terms, samples and
-comparisons all stay in the block's task. The driver gets a few numbers per
-block. Blocks hold equal numbers of ids; no key's frequency matters.
+by ranges of (doc_id, hash of the text); the first document of a block is also
+sent to the block before it. Texts move in this one shuffle; windows, terms,
+samples and comparisons all stay in the block's task. The driver gets a few
+keys per block. Rows of one id, or of null, with different texts are split like
+others; rows equal in both are neighbours in one block.
 
 Defined cases: a null text counts as empty; a text without terms has a
 fingerprint of its own kind, equal to that of any other such text and alike to
-no other; repeated rows follow each other (order: doc_id descending, nulls
-last, then text); a single row is its own next document; an empty table gives
+no other; rows of one id follow each other by the hexadecimal hash of their
+texts, nulls last; a single row is its own next document; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -33,9 +34,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import deal
+
 SAMPLES = 32
-#: Blocks per shuffle partition, so that hashing blocks to partitions evens out.
-BLOCKS_PER_PARTITION = 4
 SPACE = r"[\x20\x09-\x0D]+"
 NO_TERM = 2**31 - 1
 
@@ -91,41 +92,23 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def _blocks(docs: DataFrame) -> tuple[Column, list[tuple[int, int, int]]]:
-    """The block of a row by its order number, and (order number, own block, block before) of each block's first document."""
-    spark = docs.sparkSession
-    wanted = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = [i / wanted for i in range(1, wanted)]
-    bounds = docs.select(F.percentile_approx("at", steps, 10 * wanted).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    # a search in two steps, each over about the root of the number of bounds
-    width = max(1, math.isqrt(len(bounds)))
-    literal = lambda values: F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)") if values else F.array().cast("array<bigint>")
-    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("at")))
-    coarse = below(literal(bounds[width - 1 :: width]))
-    block = coarse * width + below(F.slice(literal(bounds), coarse * width + 1, F.lit(width))) if bounds else F.lit(0)
-    heads = docs.select("at", block.cast("int").alias("block")).groupBy("block").agg(F.max("at").alias("at")).orderBy(F.desc("block")).collect()
-    firsts = [(heads[(i + 1) % len(heads)]["at"], h["block"]) for i, h in enumerate(heads)]
-    return block.cast("int"), [(at, before) for at, before in firsts]
-
-
 def edited_fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edit, and their likeness; see query()."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    block, firsts = _blocks(docs.select("at"))
-    spark = docs.sparkSession
-    also = F.broadcast(spark.createDataFrame(firsts, "first_at long, before int").groupBy("first_at").agg(F.collect_list("before").alias("before")))
-    places = F.concat(
-        F.array(F.struct(block.alias("block"), F.lit(False).alias("guest"))),
-        F.transform(F.coalesce("before", F.array().cast("array<int>")), lambda b: F.struct(b.alias("block"), F.lit(True).alias("guest"))),
-    )
-    dealt = docs.join(also, F.col("at") == F.col("first_at"), "left").select("doc_id", "text", F.inline(places))
-    order = Window.partitionBy("block").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    ahead = dealt.select("block", "guest", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next"))
+    text = F.coalesce("text", F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    # descending ids as ascending text of one length, nulls last, then a hash of the text
+    number = F.lit(2**63 - 1).cast("decimal(20,0)") - F.coalesce(doc_id, F.lit(-(2**63))).cast("decimal(20,0)")
+    key = F.concat(F.lpad(number.cast("string"), 20, "0"), F.when(doc_id.isNull(), "~").otherwise(" "), F.hex(F.xxhash64(text)))
+    docs = documents.select(doc_id.alias("doc_id"), text.alias("text"), key.alias("key"))
+    dealt = deal(docs, "key", ring=True).where("guest >= 0")
+    order = Window.partitionBy("block").orderBy("guest", "key", "text")
+    # a block beside which there is no other is a ring of its own
+    first = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following_text = F.coalesce(F.lead("text").over(order), first)
+    ahead = dealt.select("block", (F.col("guest") > 0).alias("guest"), "doc_id", "text", F.row_number().over(order).alias("place"), following_text.alias("next"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)))
+    edited = F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))
     both = ahead.select("block", "guest", "doc_id", "place", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     keys = ["block", "guest", "place", "doc_id", "n_chars", "edited_sha256"]
     forms = F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("body")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("body")))
@@ -134,7 +117,8 @@ def edited_fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFra
     paired = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("form", "fingerprint"))).alias("f"))
     own, other = F.get("f", F.lit(0))["fingerprint"], F.get("f", F.lit(1))["fingerprint"]
     rows = paired.select(*keys, own.alias("own"), other.alias("other"))
-    following = F.lead("own").over(Window.partitionBy("block").orderBy("place"))
+    by_place = Window.partitionBy("block").orderBy("place")
+    following = F.coalesce(F.lead("own").over(by_place), F.first("own").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.withColumn("following", following).where("not guest").select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),

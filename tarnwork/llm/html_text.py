@@ -253,7 +253,7 @@ def extract(pages: DataFrame) -> DataFrame:
     key = F.concat(host, F.lit("\x01"), path, F.lit("\x01"), F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0"), F.lit("\x01"), url)
     keyed = _parsed(pages).withColumn("key", key)
     dealt = deal(keyed, "key", keys=pages.select(F.col("page_id").cast("long").alias("page_id"), "url").select(key.alias("key")))
-    order = Window.partitionBy("block").orderBy("key")
+    order = Window.partitionBy("block").orderBy("guest", "key")
     part = lambda c, i: F.get(F.split(c, "\x01"), F.lit(i))
     around = dealt.select("*", *[f(c).over(order).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("key", "hashes")])
     same = lambda n: part(F.col(f"{n}_key"), 0) == part(F.col("key"), 0)
@@ -272,7 +272,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(kept, sure, hashes, marks, other) for kept, sure, hashes, marks, other in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    paired = around.where("not guest").select("page_id", "url", "kept", "sure", "hashes", "marks", near.alias("near"))
+    paired = around.where("guest = 0").select("page_id", "url", "kept", "sure", "hashes", "marks", near.alias("near"))
     return paired.mapInArrow(run, "page_id long, url string, text string")
 
 

@@ -282,6 +282,23 @@ def test_fingerprints_by_brute_force(spark, words):
     assert alone["near_next"] == 1.0
 
 
+def test_fingerprints_of_null_and_repeated_ids(spark, words):
+    import xxhash
+
+    rng = random.Random(4)
+    made = [(i, " ".join(rng.choices(words, k=20))) for i in (5, 5, 5, None, None, 3, 9, -2)] + [(5, "same"), (5, "same"), (None, None)]
+    at = lambda r: (r[0] is None, -(r[0] or 0), "%X" % xxhash.xxh64((r[1] or "").encode(), seed=42).intdigest())
+    order = sorted(made, key=at)
+    want = collections.Counter()
+    for (i, t), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+        t, following = t or "", following or ""
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    table = spark.createDataFrame([(*m, 1) for m in made], "doc_id long, text string, block int")
+    got = collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.edited_fingerprints(table).collect())
+    assert got == want
+
+
 def test_collision_rate_is_generalised_jaccard(spark):
     a, b = "x x x x y y z " + "w " * 9, "x y y y y q " + "w " * 3
     table = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
