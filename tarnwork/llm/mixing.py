@@ -1,15 +1,27 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Tokens are aggregated per source, a repetition rate is derived for each
-source, and each document is emitted floor(rate) times plus one more time
-with the probability of the fraction, decided by a hash of its id. The rate
-depends on the source alone and the draw on the id alone, so a rerun, a lost
-executor or another partitioning gives the same copies.
+source, and each document is emitted floor(rate) times plus one more time by a
+Bernoulli draw, a hash of its id. For the first draws of a source the
+probability is the fraction of the rate. A few very large documents would take
+the sum far from the target, so the draws are stratified: documents of a
+source are taken by size class (powers of two), from the largest down, and the
+probability of each class is the share of its words that is still wanted after
+the classes above it. In expectation every document keeps the fraction.
+Only sums per (source, class, cell of the draw) are needed to know what the
+classes above took, so a rerun, a lost executor or another partitioning gives
+the same copies.
+
+Targets come from rounds of aggregates over one row per source: shares go by
+weight, sources whose share is above their cap stop there, and the rest is
+shared again until none does. No window and no sort holds all sources in a
+task, and no documents of one source ever meet.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
-ordered last; documents of size 0 are emitted like others of their source (a
-source without tokens has rate 0); repeated rows are repeated decisions; equal
-ids share the draw; an empty table gives an empty result.
+ordered last; documents of size 0 are emitted floor(rate) times (a source
+without tokens has rate 0); repeated rows are repeated decisions; equal ids
+share the draw, and null ids one; an empty table gives an empty result; other
+columns are kept by ``mix`` and not read.
 """
 
 from __future__ import annotations
@@ -24,81 +36,150 @@ from .common import OWN, materialize
 TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
-#: Rows of the per-source table up to which it is broadcast; beyond, the join shuffles.
+#: Cells of a draw: probabilities are multiples of 1 / CELLS.
+CELLS = 1024
+#: Rows of the per-source table up to which it is broadcast; beyond, only sources of many rows are.
 BROADCAST_SOURCES = 10_000
+#: A source with more than one in so many rows is a hot one.
+HOT_SHARE = 1_000
 
 
 def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
+def _ranked(per_source: DataFrame) -> DataFrame:
+    """per_source with its place (from 0) by code point of source, nulls last: ranges are sorted apart and counted."""
+    spark = per_source.sparkSession
+    named = per_source.where("source is not null")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(named.repartitionByRange(parts, "source").select("*", F.spark_partition_id().alias("part")))
+    sizes = sorted(map(tuple, ranged.groupBy("part").count().collect()))
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    # one row per partition
+    offsets = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("source"))
+    placed = ranged.withColumn("within", within).join(offsets, "part").select(*per_source.columns, (F.col("start") + F.col("within") - 1).alias("place"))
+    return placed.unionByName(per_source.where("source is null").withColumn("place", F.lit(total).cast("long")))
+
+
 def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
-    """Target per source from rows (source, size): source, source_size, target.
+    """Target per source from rows (source, size): source, source_size, n_docs, target.
 
     Shares go by weight; a target stops at max_rate times its source's size
-    and the excess is shared again. In order of cap by weight, the sources
-    that stop come first; the first that keeps its share fixes the level.
+    and the excess is shared again. Each round is one aggregate; the number of
+    stopped sources only grows, and rounds end when it does not.
     """
     wide = "decimal(38,0)"
-    per_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    caps = per_source.select("source", "source_size", weight.cast(wide).alias("w"), (F.col("source_size") * max_rate).cast(wide).alias("cap"))
-    by_level = Window.orderBy((F.col("cap").cast("double") / F.col("w").cast("double")), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    level = caps.select(
-        "*",
-        (F.sum("source_size").over(every).cast(wide) - (F.sum("cap").over(by_level) - F.col("cap"))).cast(wide).alias("left"),
-        (F.sum("w").over(every) - (F.sum("w").over(by_level) - F.col("w"))).cast(wide).alias("w_left"),
-        F.row_number().over(by_level).alias("rank"),
-    ).withColumn("keeps", F.col("left") * F.col("w") <= F.col("cap") * F.col("w_left"))
-    first = F.min(F.when(F.col("keeps"), F.struct("rank", "left", "w_left"))).over(every)
-    found = level.withColumn("first", first)
-    shared = (F.col("w") * F.col("first.left")).cast("double") / F.col("first.w_left").cast("double")
-    return found.select("source", "source_size", F.when(F.col("rank") < F.col("first.rank"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
+    per_source = materialize(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    caps = materialize(_ranked(per_source).select("source", "source_size", "n_docs", weight.cast(wide).alias("w"), (F.col("source_size") * max_rate).cast(wide).alias("cap")))
+    left, w_left, stopped = None, None, -1
+    while True:
+        # stopped: the cap is below the share at the level of the round before
+        stops = F.lit(False) if left is None else F.col("cap") * F.lit(w_left).cast(wide) < F.col("w") * F.lit(left).cast(wide)
+        kept = lambda c: F.sum(F.when(~stops, F.col(c)).otherwise(F.lit(0).cast(wide)))  # noqa: B023, E731
+        capped = F.sum(F.when(stops, F.col("cap")).otherwise(F.lit(0).cast(wide)))
+        total, w, spent, n = caps.agg(F.sum("source_size"), kept("w"), capped, F.count_if(stops)).first()
+        if not total or n == stopped:
+            break
+        left, w_left, stopped = int(total) - int(spent), int(w), n
+    if left is None:
+        return caps.select("source", "source_size", "n_docs", F.lit(0.0).alias("target"))
+    stops = F.col("cap") * F.lit(w_left).cast(wide) < F.col("w") * F.lit(left).cast(wide)
+    shared = (F.col("w") * F.lit(left).cast(wide)).cast("double") / F.lit(float(w_left))
+    return caps.select("source", "source_size", "n_docs", F.when(stops, F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
 def draw(doc_id: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) from the id alone."""
+    """The cell, 0 to CELLS - 1, that an id alone draws."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(CELLS)).cast("int")
+
+
+def size_class(size: Column) -> Column:
+    """Number of binary digits of a size."""
+    return F.length(F.bin(size))
+
+
+def rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0) -> DataFrame:
+    """source, source_size, n_docs, target, whole, chances from rows (doc_id, source, size).
+
+    whole is the number of copies that all documents get; a document gets one
+    more if its draw is below the chance of its size class, chances[class].
+    """
+    targets = materialize(source_targets(sized, weights, max_rate))
+    cells = sized.groupBy("source", size_class(F.col("size")).alias("class"), draw(F.col("doc_id"), seed).alias("cell")).agg(F.sum("size").alias("words"))
+    # at most 63 classes of 1,024 cells for a source, each class sorted by cell
+    by_class = cells.groupBy("source", "class").agg(F.sum("words").alias("words"), F.collect_list(F.struct("cell", F.col("words").alias("taken"))).alias("cells"))
+    classes = by_class.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "words", "cells")), asc=False).alias("classes")).withColumnRenamed("source", f"{OWN}source")
+    joined = targets.join(classes, F.col("source").eqNullSafe(F.col(f"{OWN}source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
+    whole = F.floor(rate)
+    # down the classes: words still wanted, words not yet decided on, chances so far
+    wanted = F.col("target") - (whole * F.col("source_size")).cast("double")
+    start = F.struct(wanted.alias("wanted"), F.col("source_size").alias("left"), F.create_map().cast("map<int,int>").alias("chances"))
+
+    def step(state: Column, c: Column) -> Column:
+        share = F.when(state["left"] > 0, state["wanted"] / state["left"].cast("double")).otherwise(F.lit(0.0))
+        chance = F.greatest(F.lit(0), F.least(F.lit(CELLS), F.floor(share * CELLS + 0.5).cast("int")))
+        took = F.aggregate(c["cells"], F.lit(0).cast("long"), lambda n, x: n + F.when(x["cell"] < chance, x["taken"]).otherwise(F.lit(0).cast("long")))
+        return F.struct((state["wanted"] - took.cast("double")).alias("wanted"), (state["left"] - c["words"]).alias("left"), F.map_concat(state["chances"], F.create_map(c["class"], chance)).alias("chances"))
+
+    return joined.select("source", "source_size", "n_docs", "target", whole.alias("whole"), F.aggregate("classes", start, step, lambda s: s["chances"]).alias("chances"))
+
+
+def with_rates(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (with source) and the line of found for their source; found is one row per source.
+
+    Beyond BROADCAST_SOURCES sources, the hot ones, no more than HOT_SHARE,
+    are broadcast, and the rows of the others are shuffled by source.
+    """
+    found = materialize(found)
+    side = found.select(*[F.col(c).alias(f"{OWN}{c}") for c in found.columns])
+    same = F.col("source").eqNullSafe(F.col(f"{OWN}source"))
+    sources, n = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    if sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(side), same)
+    is_hot = F.col(f"{OWN}n_docs") > n / HOT_SHARE
+    hot = F.broadcast(side.where(is_hot))
+    return rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(side.where(~is_hot), same))
 
 
-def copies(doc_id: Column, source_size: Column, target: Column, seed: int = 0) -> Column:
-    rate = F.when(source_size > 0, target / source_size.cast("double")).otherwise(F.lit(0.0))
-    return (F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+def copies(doc_id: Column, size: Column, seed: int = 0) -> Column:
+    """How often a document is taken, beside the columns of with_rates."""
+    more = F.coalesce(draw(doc_id, seed) < F.col(f"{OWN}chances")[size_class(size)], F.lit(False))
+    return (F.col(f"{OWN}whole") + more.cast("long")).cast("long")
 
 
-def with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """rows joined to its source's line; targets is one row per source."""
-    targets = materialize(targets)
-    renamed = targets.select(F.col("source").alias(f"{OWN}source"), F.col("source_size").alias(f"{OWN}source_size"), F.col("target").alias(f"{OWN}target"))
-    side = F.broadcast(renamed) if targets.count() <= BROADCAST_SOURCES else renamed
-    return rows.join(side, F.col("source").eqNullSafe(F.col(f"{OWN}source"))).drop(f"{OWN}source")
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", token_count(F.col("text")).alias("size"))
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0) -> DataFrame:
     """What the mix takes, one row per row of docs: doc_id, size, source_size, target, copies, taken."""
-    sized = materialize(docs.select("doc_id", "source", token_count(F.col("text")).alias("size")))
-    joined = with_targets(sized, source_targets(sized, weights, max_rate))
-    times = copies(F.col("doc_id"), F.col(f"{OWN}source_size"), F.col(f"{OWN}target"), seed)
-    return joined.select(
-        "doc_id", "size", F.col(f"{OWN}source_size").alias("source_size"), F.col(f"{OWN}target").alias("target"), times.alias("copies")
-    ).withColumn("taken", F.col("size") * F.col("copies"))
+    sized = materialize(_sized(docs))
+    joined = with_rates(sized, rates(sized, weights, max_rate, seed))
+    times = copies(F.col("doc_id"), F.col("size"), seed)
+    return joined.select("doc_id", "size", F.col(f"{OWN}source_size").alias("source_size"), F.col(f"{OWN}target").alias("target"), times.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0) -> DataFrame:
     """The mixed documents: each row of docs, all its columns, as often as it is taken."""
-    sized = docs.select("source", token_count(F.col("text")).alias("size"))
-    joined = with_targets(docs, source_targets(sized, weights, max_rate))
-    times = copies(F.col("doc_id"), F.col(f"{OWN}source_size"), F.col(f"{OWN}target"), seed)
+    joined = with_rates(docs, rates(materialize(_sized(docs)), weights, max_rate, seed))
+    times = copies(F.col("doc_id"), token_count(F.col("text")), seed)
     repeated = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>")))
     return joined.withColumn(f"{OWN}copy", repeated).select(*docs.columns)
 
 
-ORACLE_SQL = """
-WITH sized AS (
+ORACLE_SQL = f"""
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+), drawn AS (
+  SELECT *, length(bin(size)) AS class, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % {CELLS} AS cell FROM sized
 ), per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), caps AS (
@@ -115,14 +196,21 @@ WITH sized AS (
          CASE WHEN l.rnk < f.rnk THEN l.cap::DOUBLE ELSE (l.w * f.lft)::DOUBLE / f.w_left::DOUBLE END AS target
   FROM level l, f
 ), rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('0:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS whole FROM targets
+), classes AS (
+  SELECT source, class, sum(size)::BIGINT AS words, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS k FROM drawn GROUP BY source, class
+), steps AS (
+  SELECT source, 0::BIGINT AS k, target - (whole * source_size)::DOUBLE AS wanted, source_size AS lft, NULL::BIGINT AS class, 0::BIGINT AS chance FROM rated
+  UNION ALL
+  SELECT source, k, wanted - coalesce((SELECT sum(size) FROM drawn d WHERE d.source IS NOT DISTINCT FROM n.source AND d.class = n.class AND d.cell < n.chance), 0)::DOUBLE, lft - words, class, chance
+  FROM (
+    SELECT s.source, c.k, s.wanted, s.lft, c.words, c.class,
+           greatest(0, least({CELLS}, floor(CASE WHEN s.lft > 0 THEN s.wanted / s.lft::DOUBLE ELSE 0.0 END * {CELLS} + 0.5)))::BIGINT AS chance
+    FROM steps s JOIN classes c ON s.source IS NOT DISTINCT FROM c.source AND c.k = s.k + 1
+  ) n
 )
-SELECT doc_id, size, source_size, target,
-       (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rated
+SELECT d.doc_id, d.size, r.source_size, r.target, (d.size * (r.whole + (d.cell < s.chance)::BIGINT))::BIGINT AS taken
+FROM drawn d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.class = d.class
 """
 
 
