@@ -35,8 +35,11 @@ def run_hashes(words: list[str], size: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     size = min(size, len(words))
     if len(words) > PIECE:
-        parts = [run_hashes(words[i : i + PIECE + size - 1], size) for i in range(0, len(words) - size + 1, PIECE)]
-        return np.concatenate(parts)
+        return np.concatenate([_run_hashes(words[i : i + PIECE + size - 1], size) for i in range(0, len(words) - size + 1, PIECE)])
+    return _run_hashes(words, size)
+
+
+def _run_hashes(words: list[str], size: int) -> np.ndarray:
     data = " ".join(words).encode()
     a = np.frombuffer(data, dtype=np.uint8)
     up, down = _power_tables(len(a) + 1)
