@@ -6,14 +6,17 @@ sets have a Jaccard similarity of 0.8 or more.
 1. Equal texts are one node with a count of its copies. A node's set is
    represented by SIGNATURE tokens, each the smallest under one hash function,
    so that two nodes share a token with the probability of their similarity.
-2. RUNS times, nodes are split by a sampled token. A bucket of more than
+2. In each run nodes are split by a sampled token. A bucket of more than
    SMALL nodes is split again by one or two (1.25 on average) tokens sampled
    by a hash of its path, until it is small, or a split keeps most of it
-   together: then it holds near copies and is joined as a whole. Small buckets
+   together: then it holds near copies and is joined as a whole. Every other
+   split leaves less than that share in a child, so splitting ends. Small buckets
    are compared by brute force on one-byte sketches of the tokens.
-   Each run finds a pair at the threshold in small buckets with probability of
-   0.8, so all runs miss one in 2e-7; a pair in buckets split d times more is
-   found by a run with 0.8 * 0.84**d at least.
+   A run finds a pair at the threshold in small buckets with probability of
+   0.8, and in buckets split d times more with 0.8 * 0.84**d at least.
+   Runs are repeated until the recall reaches TARGET. It is measured: the pairs
+   of SAMPLED nodes with all others whose signatures agree in 0.8 or more of
+   the places, found by comparing each with every node, in blocks.
 3. Pairs whose sketches agree in SKETCH_SHARE or more of the places connect their
    nodes to families (their similarity is about 0.5 or more). Within a family
    every pair is checked exactly on whole shingle sets. Families are packed
@@ -21,6 +24,10 @@ sets have a Jaccard similarity of 0.8 or more.
    pair of blocks is a task. A task returns, per node, its links and the
    smallest node that it is connected to, never the pairs.
 
+Tables with one row per bucket meet those with one row per node by (path,
+salt), the salt by the node, so a bucket that holds a third of all nodes is
+spread over tasks while it is split.
+
 So a hot text costs one node, a hot shingle is split away, and a large family
 is spread over tasks of bounded memory.
 
@@ -34,12 +41,13 @@ all ids of the class are. Texts are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -50,10 +58,13 @@ WORDS = 5
 #: The threshold as a fraction, for exact comparison.
 SIMILAR = (4, 5)
 SIGNATURE = 64
-RUNS = 10
+#: Runs before the recall is measured, and each time that it falls short.
+RUNS, MORE_RUNS = 10, 6
+#: The recall that runs are repeated for, and the nodes it is measured on.
+TARGET, SAMPLED = 0.99, 100
 SMALL = 64
-#: Further splits of a bucket at most; what is large even then is joined as a whole.
-DEPTH = 8
+#: Tasks that the nodes of a bucket are spread over.
+SALTS = 16
 #: The share of a bucket kept together by a split from which on it counts as near copies.
 DENSE = 0.6
 SKETCH_SHARE = 0.5
@@ -105,10 +116,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
 
 
-def _by_size(buckets: DataFrame) -> DataFrame:
-    """buckets (path, node, ...) with the number of nodes of each path, of those with two or more."""
-    sizes = buckets.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return buckets.join(sizes, "path")
+def _salted(rows: DataFrame, per_key: DataFrame, key: str, how: str, by: str = "node") -> DataFrame:
+    """rows joined to per_key (one row per key), the rows of a key spread over SALTS tasks by another column."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    spread = per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(spread, [key, "salt"], how).drop("salt")
+
+
+def _sizes(buckets: DataFrame, *more: Column) -> DataFrame:
+    """path, n, head (the smallest node) of each path of buckets (path, node) with two nodes or more."""
+    return buckets.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), *more).where("n > 1")
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -161,44 +178,79 @@ def _sketch_edges(buckets: DataFrame) -> DataFrame:
     return buckets.repartition("path").sortWithinPartitions("path").select("path", "node", "sketch").mapInPandas(run, "a long, b long")
 
 
-def candidate_edges(nodes: DataFrame, runs: int = RUNS, small: int = SMALL) -> DataFrame:
-    """Edges that connect similar nodes of (node, tokens, sketch), by the chosen paths."""
-    first = F.explode(F.array(*[F.xxhash64(F.lit(r), F.get("tokens", F.lit(r))) for r in range(runs)])).alias("path")
-    buckets = materialize(_by_size(nodes.select("node", first)))
-    found = []
-    ready = [buckets.where(F.col("n") <= small).select("path", "node")]
-    large = buckets.where(F.col("n") > small)
-    for depth in range(DEPTH + 1):
-        if not large.limit(1).count():
-            break
-        if depth == DEPTH:
-            heads = large.groupBy("path").agg(F.min("node").alias("head"))
-            found.append(large.join(heads, "path").select(F.col("node").alias("a"), F.col("head").alias("b")))
-            break
+def candidate_edges(nodes: DataFrame, runs: range = range(RUNS), small: int | None = None) -> DataFrame:
+    """Edges that connect similar nodes of (node, tokens, sketch), by the chosen paths of some runs."""
+    small = SMALL if small is None else small
+    first = F.explode(F.array(*[F.xxhash64(F.lit(r), F.get("tokens", F.lit(r % SIGNATURE))) for r in runs])).alias("path")
+    found, ready = [], []
+
+    def sorted_out(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        """The rows (path, node) of large paths, with n and head; those of small ones are ready."""
+        marked = materialize(_salted(rows.select("path", "node"), sizes.where(F.col("n") > small).select("path", "n", "head"), "path", "left"))
+        ready.append(marked.where("n is null").select("path", "node").join(sizes.where(F.col("n") <= small).select("path"), "path"))
+        return marked.where("n is not null")
+
+    buckets = nodes.select("node", first)
+    large = sorted_out(buckets, materialize(_sizes(buckets)))
+    while large.limit(1).count():
         place = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(SIGNATURE)).cast("int")
         twice = F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(4)) == 0
         step = lambda i: F.xxhash64("path", F.lit(i), F.get("tokens", place(i)))
         children = F.explode(F.when(twice, F.array(step(0), step(1))).otherwise(F.array(step(0))))
-        split = large.join(nodes.select("node", "tokens"), "node").select("node", F.col("path").alias("parent"), F.col("n").alias("parent_n"), children.alias("path"))
-        sized = materialize(_by_size(split))
+        split = materialize(large.join(nodes.select("node", "tokens"), "node").select("node", F.col("path").alias("parent"), F.col("n").alias("parent_n"), children.alias("path")))
+        sizes = materialize(_sizes(split, F.first("parent").alias("parent"), F.first("parent_n").alias("parent_n")))
         # a path that keeps most of its nodes together holds near copies
-        heads = sized.where(F.col("n") >= DENSE * F.col("parent_n")).select("parent").distinct()
-        dense = large.join(heads.withColumnRenamed("parent", "path"), "path", "left_semi")
-        least = dense.groupBy("path").agg(F.min("node").alias("head"))
-        found.append(materialize(dense.join(least, "path").select(F.col("node").alias("a"), F.col("head").alias("b"))))
-        other = materialize(sized.join(heads, "parent", "left_anti").select("path", "node", "n"))
-        ready.append(other.where(F.col("n") <= small).select("path", "node"))
-        large = other.where(F.col("n") > small)
+        dense = materialize(sizes.where(F.col("n") >= DENSE * F.col("parent_n")).select("parent").distinct())
+        found.append(materialize(_salted(large, dense.withColumnRenamed("parent", "path"), "path", "inner").select(F.col("node").alias("a"), F.col("head").alias("b"))))
+        others = _salted(split, dense, "parent", "left_anti")
+        large = sorted_out(others, materialize(_salted(sizes, dense, "parent", "left_anti", by="path")))
     in_buckets = ready[0]
     for more in ready[1:]:
         in_buckets = in_buckets.union(more)
-    found.append(_sketch_edges(in_buckets.join(nodes.select("node", "sketch"), "node")))
-    edges = found[0]
-    for more in found[1:]:
+    edges = _sketch_edges(in_buckets.join(nodes.select("node", "sketch"), "node"))
+    for more in found:
         edges = edges.union(more)
     return edges
 
 
+def measured_recall(nodes: DataFrame, families: DataFrame, sampled: int = SAMPLED) -> float:
+    """The share of the similar pairs of a sample of nodes with any node that families (node, component) have together."""
+    sample = nodes.select("node", "tokens").orderBy(F.xxhash64("node"), "node").limit(sampled).collect()
+    if not sample:
+        return 1.0
+    # a fixed number of signatures
+    ids = np.array([r["node"] for r in sample], dtype=np.int64)
+    signatures = np.array([r["tokens"] for r in sample], dtype=np.int64)
+    least = -(-SIGNATURE * SIMILAR[0] // SIMILAR[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            tokens = batch.column(1).flatten().to_numpy().reshape(len(own), SIGNATURE)
+            near = [np.flatnonzero(((tokens == s).sum(axis=1) >= least) & (own != i)) for i, s in zip(ids, signatures, strict=True)]
+            at = np.concatenate(near)
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(np.repeat(ids, [len(x) for x in near]))], ["node", "sample"])
+
+    pairs = nodes.select("node", "tokens").mapInArrow(run, "node long, sample long")
+    of_sample = F.broadcast(families.where(F.col("node").isin(ids.tolist())).select(F.col("node").alias("sample"), F.col("component").alias("own")))
+    met = pairs.join(families, "node", "left").join(of_sample, "sample", "left").agg(F.count(F.lit(1)), F.count_if(F.col("component") == F.col("own"))).first()
+    return met[1] / met[0] if met[0] else 1.0
+
+
+def families_of(nodes: DataFrame, target: float = TARGET) -> DataFrame:
+    """node, component of the nodes (node, tokens, sketch) that runs connect; as many runs as the target recall takes."""
+    done = RUNS
+    edges = materialize(candidate_edges(nodes, range(done)))
+    while True:
+        families = connected_components(edges)
+        recall = measured_recall(nodes, families)
+        logging.getLogger(__name__).info("recall %.4f after %d runs", recall, done)
+        if recall >= target:
+            return families
+        edges = edges.union(materialize(candidate_edges(nodes, range(done, done + MORE_RUNS))))
+        done += MORE_RUNS
+
+
 def shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
     """The sizes of the intersections of the first n_left sets with the others (with each other if there are no others)."""
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
@@ -207,7 +259,7 @@ def shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
     pairwise = n_left == len(sets)
     right_at = 0 if pairwise else n_left
     n_right = len(sets) - right_at
-    out = np.zeros((n_left, n_right), dtype=np.float32)
+    out = np.zeros((n_left, n_right))
     # frequent shingles by dense products, rare ones by their pairs
     limit = max(8, len(sets) // 64)
     rank = np.full(len(values), -1)
@@ -235,10 +287,10 @@ def shared_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
             break
         a, b = rows[:-shift][same], rows[shift:][same]
         if pairwise:
-            np.add.at(flat, np.concatenate((a * n_right + b, b * n_right + a)), np.float32(1))
+            np.add.at(flat, np.concatenate((a * n_right + b, b * n_right + a)), 1.0)
         else:
             cross = (a < n_left) & (b >= n_left)
-            np.add.at(flat, a[cross] * n_right + b[cross] - right_at, np.float32(1))
+            np.add.at(flat, a[cross] * n_right + b[cross] - right_at, 1.0)
     if pairwise:
         np.fill_diagonal(out, sizes)
     return out
@@ -327,7 +379,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = materialize(
         signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     )
-    families = connected_components(candidate_edges(nodes))
+    families = families_of(nodes)
     linked = materialize(_exact_links(rows, nodes, families))
     per_node = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", "doc_id", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "node").alias("component"))
     return signed.select("doc_id", "node", "n_shingles"), per_node

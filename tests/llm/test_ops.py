@@ -111,6 +111,45 @@ def test_jaccard_join_in_small_blocks(spark, words, monkeypatch):
     assert sum(a != b for a, b in zip(got, want, strict=True)) == 0
 
 
+def test_jaccard_join_repeats_runs_until_the_recall(spark, words, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RUNS", 1)
+    monkeypatch.setattr(jaccard_join, "MORE_RUNS", 1)
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 500)
+    rng = random.Random(15)
+    texts = [x for _ in range(60) for x in near_copies(words, rng.choices(words, k=90), 2, rng)]
+    done = []
+    edges = jaccard_join.candidate_edges
+    monkeypatch.setattr(jaccard_join, "candidate_edges", lambda nodes, runs: done.append(runs) or edges(nodes, runs))
+    got = rows(jaccard_join.join(docs(spark, texts)), "doc_id", "class_id", "n_links")
+    assert got == sorted(brute_links(texts), key=repr) and len(done) > 1 and done[1] == range(1, 2)
+
+
+def test_shared_counts_of_very_long_texts_are_whole():
+    import numpy as np
+
+    n = 1_900_001
+    a = np.arange(n, dtype=np.uint64)
+    counts = jaccard_join.shared_counts([a, a[1:]], 2)
+    assert counts.dtype == np.float64 and counts[0, 1] * 9 == (n - 1) * 9
+
+
+def test_jaccard_join_of_a_very_long_text(spark, words):
+    rng = random.Random(2)
+    long = rng.choices(words, k=200_000)
+    texts = [" ".join(long), " ".join(long[: len(long) * 9 // 10]), " ".join(long[: len(long) // 2]), " ".join(long)]
+    assert rows(jaccard_join.join(docs(spark, texts)), "doc_id", "class_id", "n_links") == [(0, 0, 2), (1, 0, 2), (2, 2, 0), (3, 0, 2)]
+
+
+@pytest.mark.parametrize("n", [99_999, 100_000, 100_001, 250_003])
+def test_run_hashes_of_long_texts(n):
+    from tarnwork.llm.shingles import run_hashes
+
+    some = [str(i * i % 9973) for i in range(n)]
+    got = run_hashes(some, 5)
+    assert len(got) == n - 4 and got[-1] == run_hashes(some[-5:], 5)[0] and got[99_990] == run_hashes(some[99_990:99_995], 5)[0]
+
+
 def test_keep_one(spark, words):
     texts = corpus(words)
     kept = jaccard_join.keep_one(docs(spark, texts))
@@ -477,6 +516,9 @@ def test_suffix_cut_keeps_the_rest(spark, words):
         w = (texts[r["doc_id"]] or "").split()
         left = [x for i, x in enumerate(w) if not any(a <= i < b for a, b in want[r["doc_id"]])]
         assert (r["text"] or "").split() == left and r["n_chars"] == len(r["text"] or "")
+    long = [str(i) for i in range(120_000)]
+    again = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.repeats(docs(spark, [" ".join(long), " ".join(["x", *long[110_000:]])])).collect()}
+    assert again == {0: [], 1: [(1, 10_001)]}
     twice = table.union(table.limit(30))
     assert suffix_dedup.clean(twice).count() == twice.count() and suffix_dedup.repeats(table.limit(0)).count() == 0
     assert suffix_dedup.cut("a  b\nc d", [(1, 3)]) == "a  d"
