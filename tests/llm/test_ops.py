@@ -457,7 +457,86 @@ def test_quality_edge_cases(spark, words):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(6)] + [(2, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.score(table, labels)
     assert got.columns[:-1] == table.columns and all(0 <= r["__tw_score"] <= 1 for r in got.collect()) and quality.keep_good(table.limit(0), labels).count() == 0
-    assert all(not quality.features(t)[0] or t == "" for t in ("", "a", "!")) and len(quality.features("")) == quality.N_FEATURES
+    x = quality.features(["", "a", "!", None])
+    assert x.shape == (4, quality.N_FEATURES) and x[:, 0].tolist() == [1, 0, 0, 1]
+    zeros = labels.withColumn("quality", F.lit(0))
+    assert {r["__tw_score"] for r in quality.score(table, zeros).collect()} == {0.0}
+    again = table.union(table).union(table.withColumn("doc_id", F.lit(None).cast("long")))
+    assert quality.score(again, labels).count() == 18
+
+
+def brute_features(text):
+    x = dict.fromkeys(range(20), 0.0)
+    words, lines = re.split("[ \t-\r]+", text.strip(" \t\n\v\f\r")), [s for s in text.split("\n") if s]
+    pairs, triples = list(zip(words, words[1:], strict=False)), list(zip(words, words[1:], words[2:], strict=False))
+    letters = sum(c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text)
+    x[1] = sum("A" <= c <= "Z" for c in text) / max(letters, 1)
+    x[2] = sum("0" <= c <= "9" for c in text) / len(text)
+    x[8] = sum(a == b for a, b in pairs) / len(words)
+    x[9], x[10] = 1 - len(set(pairs)) / max(len(pairs), 1), 1 - len(set(triples)) / max(len(triples), 1)
+    x[13] = sum(w[-1] == "." for w in words) / len(words)
+    x[14] = 1 - len(set(lines)) / len(lines)
+    x[16] = len(set(words)) / len(words) ** 0.9
+    x[7] = max(len(w.encode()) for w in words) / 50
+    return x
+
+
+def test_quality_features_by_brute_force(words):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([*words[:40], "A.", "É", "X1", "\n", "ABC"], k=rng.randint(1, 60))).strip() or "x" for _ in range(50)]
+    got = quality.features(texts)
+    for t, x in zip(texts, got, strict=True):
+        for i, v in brute_features(t).items():
+            if i in (1, 2, 7, 8, 9, 10, 13, 14, 16):
+                assert x[i] == pytest.approx(v, abs=1e-5), (i, t)
+        assert x[quality.N_STATISTICS :].sum() == pytest.approx(2, abs=1e-4)
+    # texts do not depend on their batch, nor counts on the pieces of a text
+    assert (quality.features(texts[7:9]) == got[7:9]).all()
+
+
+def test_quality_features_of_a_very_long_text(words, monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(rng.choices(words, k=2000))
+    whole = quality.features([text])
+    monkeypatch.setattr(quality, "CHUNK", 1000)
+    pieces = quality.features([text])
+    assert abs(whole - pieces)[0, [1, 2, 5, 6, 7, 11, 12, 13]].max() < 1e-6
+    assert abs(whole - pieces)[0, quality.N_STATISTICS : quality.N_STATISTICS + quality.WORD_BUCKETS].max() < 1e-6
+
+
+def test_quality_risk_and_its_gradient():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    p, u = rng.normal(1, 1, (30, 6)), rng.normal(0, 1, (40, 6))
+    layers = [rng.normal(0, 0.5, (6, 4)), rng.normal(0, 0.5, 4), rng.normal(0, 1, 4), np.zeros(1)]
+    loss = lambda z: 1 / (1 + np.exp(z))
+    g = lambda x: np.tanh(x @ layers[0] + layers[1]) @ layers[2] + layers[3][0]
+    for prior in (0.3, 0.6):
+        rest = loss(-g(u)).mean() - prior * loss(-g(p)).mean()
+        risk, step = quality.risk_and_step(layers, p, u, prior)
+        assert risk == pytest.approx(prior * loss(g(p)).mean() + max(0, rest))
+        target = (lambda: prior * loss(g(p)).mean() + loss(-g(u)).mean() - prior * loss(-g(p)).mean()) if rest >= 0 else (lambda: prior * loss(-g(p)).mean() - loss(-g(u)).mean())  # noqa: B023, E731
+        for w, d in zip(layers, step, strict=True):
+            flat, slope = w.reshape(-1), d.reshape(-1)
+            for i in range(len(flat)):
+                flat[i] += 1e-5
+                high = target()
+                flat[i] -= 2e-5
+                low = target()
+                flat[i] += 1e-5
+                assert slope[i] == pytest.approx((high - low) / 2e-5, abs=1e-6)
+
+
+def test_quality_prior_from_positives_and_unlabelled():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    made = lambda shift, n: np.abs(rng.normal(shift, 0.3, (n, quality.N_FEATURES))).astype(np.float32)
+    for share in (0.2, 0.5, 0.8):
+        n = int(3000 * share)
+        u = np.vstack((made(2.0, n), made(1.0, 3000 - n)))
+        assert abs(quality.estimated_prior(made(2.0, 2000), rng.permutation(u)) - share) < 0.1
 
 
 # --- 10 suffix arrays -------------------------------------------------------
