@@ -370,25 +370,116 @@ def test_chat_round_trip(spark):
 # --- 7 transport streams ----------------------------------------------------
 
 
+def plain_demultiplexer(media):
+    """Packet by packet, for streams as pack writes them: payload, timestamps, packets of random access, steps of the counter."""
+    assert len(media) % 188 == 0
+    units, times, access, counters, pids = [], [], [], [], []
+    for n in range(len(media) // 188):
+        sync, head, flags = struct.unpack(">BHB", media[n * 188 : n * 188 + 4])
+        assert sync == 0x47 and not head & 0x8000
+        pid, body = head & 0x1FFF, media[n * 188 + 4 : n * 188 + 188]
+        pids.append(pid)
+        if pid in (0, 0x100):
+            continue
+        counters.append(flags & 15)
+        if flags & 0x20:
+            if body[0] and body[1] & 0x40:
+                access.append(n)
+            body = body[1 + body[0] :]
+        if head & 0x4000:
+            units.append(b"")
+        units[-1] += body
+    out = b""
+    for u in units:
+        assert u[:4] == b"\0\0\1\xbd" and len(u) == 6 + struct.unpack(">H", u[4:6])[0]
+        t = u[9:14]
+        times.append((t[0] >> 1 & 7) << 30 | (t[1] << 8 | t[2]) >> 1 << 15 | (t[3] << 8 | t[4]) >> 1)
+        out += u[9 + u[8] :]
+    return out, times, access, [(b - a) % 16 for a, b in zip(counters, counters[1:], strict=False)], pids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=3000))
 def test_transport_round_trip(payload):
     data = transport.pad(payload)
     assert len(data) % 192 == 0 and len(data) > 0 and data.startswith(payload)
-    stream = transport.unpack(transport.pack(data))
-    assert stream.payload == data and stream.continuity_errors == 0 and stream.program == 1
-
-
-def test_transport_units_and_errors():
-    for n in (12_287, 12_288, 12_289, 50_000):
-        data = transport.pad(b"q" * n)
-        s = transport.unpack(transport.pack(data))
-        units = -(-len(data) // transport.UNIT_BYTES)
-        assert s.payload == data and s.timestamps == [i * transport.UNIT_TICKS for i in range(units)] and len(s.random_access) == units
+    (e,) = transport.unpack(transport.pack(data)).streams
+    assert e.payload == data and e.continuity_errors == e.broken_units == 0 and e.program == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 12_287, 12_288, 12_289, 300_000])
+def test_transport_by_another_parser(n):
+    data = transport.pad(random.Random(n).randbytes(n))
+    media = transport.pack(data)
+    out, times, access, steps, pids = plain_demultiplexer(media)
+    assert out == data and set(steps) <= {1} and pids[:2] == [0, 0x100]
+    (e,) = transport.unpack(media).streams
+    assert (e.payload, e.timestamps, e.random_access) == (out, times, access) and times == [i * transport.UNIT_TICKS for i in range(-(-len(data) // transport.UNIT_BYTES))]
+
+
+def ts_packet(pid, counter, data, start=False, field=None, payload=True):
+    """One transport packet, filled up by its adaptation field."""
+    room = 184 - len(data)
+    if field is None and room:
+        field = b"" if room == 1 else b"\0"
+    if field is not None:
+        field = bytes([room - 1]) + field.ljust(room - 1, b"\xff") if room else b""
+    head = struct.pack(">BHB", 0x47, (0x4000 if start else 0) | pid, (0x20 if field else 0) | (0x10 if payload else 0) | counter)
+    made = head + (field or b"") + data
+    assert len(made) == 188
+    return made
+
+
+def ts_sections(pid, sections):
+    """Sections one after another, over as many packets as they take."""
+    data, out = b"\0" + b"".join(sections), []
+    while data:
+        out.append(struct.pack(">BHB", 0x47, (0x4000 if not out else 0) | pid, 0x10 | len(out)) + data[:184].ljust(184, b"\xff"))
+        data = data[184:]
+    return b"".join(out)
+
+
+def pes(payload, pts=None, dts=None, length=True):
+    stamp = lambda mark, t: bytes([mark << 4 | t >> 29 & 14 | 1, t >> 22 & 255, t >> 14 & 254 | 1, t >> 7 & 255, t << 1 & 254 | 1])
+    times = (b"" if pts is None else stamp(3 if dts is not None else 2, pts)) + (b"" if dts is None else stamp(1, dts))
+    rest = bytes([0x80, (0 if pts is None else 0x80) | (0 if dts is None else 0x40), len(times)]) + times + payload
+    return b"\0\0\1\xe0" + struct.pack(">H", len(rest) if length else 0) + rest
+
+
+def test_transport_streams_of_others():
+    program = lambda n, pid: struct.pack(">HH", n, 0xE000 | pid)
+    # 60 programs: the table takes two packets; a network entry; only two of them have maps
+    pat = transport._section(0x00, 1, program(0, 16) + program(1, 0x200) + program(2, 0x201) + b"".join(program(n, 0x300) for n in range(3, 60)))
+    entry = lambda kind, pid, info=b"": bytes([kind]) + struct.pack(">HH", 0xE000 | pid, 0xF000 | len(info)) + info
+    pmt = lambda n, *entries: transport._section(0x02, n, struct.pack(">HH", 0xE000 | 0x101, 0xF000) + b"".join(entries))
+    first = pes(b"a" * 300, 90_000, 87_000)
+    second, third = pes(b"b" * 150, None), pes(b"c" * 500, 2**33 - 1, length=False)
+    video = [
+        ts_packet(0x111, 14, first[:100], True, b"\x40"), ts_packet(0x111, 14, b"", field=b"\0", payload=False), ts_packet(0x111, 15, first[100:284]), ts_packet(0x111, 15, first[100:284]), ts_packet(0x111, 0, first[284:]),
+        ts_packet(0x111, 7, second, True, b"\x80"), ts_packet(0x111, 8, third[:184], True), ts_packet(0x111, 9, third[184:368]), ts_packet(0x111, 10, third[368:]),
+    ]
+    lost = pes(b"d" * 400, 5)
+    audio = [ts_packet(0x112, 3, lost[:184], True), ts_packet(0x112, 5, lost[368:]), ts_packet(0x112, 6, pes(b"e" * 9, 6), True)]
+    null = ts_packet(0x1FFF, 0, b"n" * 184)
+    mixed = [x for pair in zip(video, audio + [null] * 6, strict=True) for x in pair]
+    media = b"junk" + ts_sections(0, [pat]) + ts_sections(0x200, [pmt(1, entry(0x1B, 0x111, b"\x0a\x04eng\0"), entry(0x0F, 0x112))]) + b"".join(mixed) + ts_sections(0x201, [pmt(2, entry(6, 0x113))]) + b"half a packet"
+    s = transport.unpack(media)
+    assert [(e.program, e.pid, e.stream_type) for e in s.streams] == [(1, 0x111, 0x1B), (1, 0x112, 0x0F), (2, 0x113, 6)] and s.lost_packets == 0
+    v, a, none = s.streams
+    assert v.payload == b"a" * 300 + b"b" * 150 + b"c" * 500 and v.timestamps == [90_000, -1, 2**33 - 1] and v.decode_timestamps == [87_000, -1, -1]
+    assert (v.continuity_errors, v.repeated_packets, v.broken_units, len(v.random_access)) == (0, 1, 0, 1)
+    assert (a.payload, a.timestamps, a.continuity_errors, a.broken_units) == (b"e" * 9, [6], 1, 1)
+    assert none.payload == b"" and none.timestamps == []
+
+
+def test_transport_damage():
     media = bytearray(transport.pack(transport.pad(b"x" * 5000)))
     media[188 * 4 + 3] ^= 1
-    assert transport.unpack(bytes(media)).continuity_errors == 2
-    for broken in (b"", b"\x00" * 188, bytes(media[:-1])):
+    assert transport.unpack(bytes(media)).streams[0].continuity_errors == 2
+    media[188 * 8 + 1] |= 0x80
+    hit = transport.unpack(bytes(media))
+    assert hit.lost_packets == 1 and hit.streams[0].broken_units == 1 and hit.streams[0].payload == b""
+    for broken in (b"", b"\x00" * 188, bytes(media[188 * 2 :]), bytes(media[:188])):
         with pytest.raises(ValueError):
             transport.unpack(broken)
 
@@ -401,8 +492,13 @@ def test_transport_on_tables(spark):
         data = transport.pad((t or "").encode())
         assert (got[i]["n_bytes"], got[i]["payload_bytes"]) == (len((t or "").encode()), len(data))
         assert got[i]["payload_sha256"] == hashlib.sha256(data).hexdigest() and got[i]["tail_crc32"] == zlib.crc32(data[-16:])
+        assert got[i]["timestamps"] == [k * transport.UNIT_TICKS for k in range(len(got[i]["random_access"]))] and got[i]["error"] is None
     assert got[3]["media_sha256"] == got[4]["media_sha256"] and {bytes(r["payload"]) for r in transport.read_media(table).collect()} == {transport.pad((t or "").encode()) for t in texts}
     assert transport.describe_media(table.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"no stream")), (3, 0, bytearray(transport.pack(b"ok")))], "doc_id long, n_bytes long, media binary")
+    read = {r["doc_id"]: r for r in transport.read_media(odd).collect()}
+    assert read[1]["error"] == read[2]["error"] == "no packets" and bytes(read[3]["payload"]) == b"ok" and read[3]["error"] is None
+    assert {r["doc_id"]: r["error"] for r in transport.describe_media(odd).collect()} == {1: "no packets", 2: "no packets", 3: None}
 
 
 # --- 8 mixing ---------------------------------------------------------------
