@@ -473,7 +473,7 @@ def test_transport_streams_of_others():
 
 
 def test_transport_damage():
-    media = bytearray(transport.pack(transport.pad(b"x" * 5000)))
+    media = bytearray(transport.pack(transport.pad(random.Random(1).randbytes(5000))))
     media[188 * 4 + 3] ^= 1
     assert transport.unpack(bytes(media)).streams[0].continuity_errors == 2
     media[188 * 8 + 1] |= 0x80
