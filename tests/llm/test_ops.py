@@ -43,21 +43,46 @@ def test_query_equals_its_sql(spark, data, name):
 # --- 1 licenses -------------------------------------------------------------
 
 
-def test_licenses_by_brute_force(spark):
-    def grams(text):
-        w = re.sub(r"[^\w]|_", " ", text.lower()).split()
-        return set(zip(w, w[1:], strict=False))
-
+def brute_licenses(text, templates, threshold=0.8):
+    def seq(t):
+        w = re.sub(r"[^\w]|_", " ", t.lower()).split()
+        return list(zip(w, w[1:], strict=False))
+
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    paragraphs = re.split(r"\n *\n[ \n]*", text)
+    units = text.split("\n") + [p for p in paragraphs if "\n" in p] + ([text] if len(paragraphs) > 1 else [])
+    grams, found = seq(text), []
+    for name, template in templates:
+        known = seq(template)
+        sets = [set(seq(u)) for u in units] + [set(grams[i : i + len(known)]) for i, g in enumerate(grams) if g in set(known)]
+        found += [(dice(u, set(known)), name) for u in sets if u and dice(u, set(known)) >= threshold]
+    best = max((d for d, _ in found), default=None)
+    return (min((n for d, n in found if d == best), default=None), best, {n for _, n in found})
+
+
+def test_licenses_by_brute_force(spark, words):
+    rng = random.Random(12)
+    body = dict(licenses.TEMPLATES)
+    some = lambda k: " ".join(rng.choices(words, k=k))
+    wrapped = lambda t, k: "\n".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
     unit = ["Released under the MIT License!", "released  under the mit licence", "Licensed under CC BY-NC 4.0.", "x", "", "one two three four", licenses.TEMPLATES[21][1].replace(" to deal", "\nto deal")]
     texts = ["\n".join(["Some words here.", u, "and more words follow"]) for u in unit] + [None, "", unit[0], unit[6]]
-    got = {r["doc_id"]: (r["license"], r["dice"]) for r in licenses.scan(docs(spark, texts)).collect()}
+    # inside a line, wrapped in the middle of a paragraph, a whole text with changed words, two licenses, none
+    texts += [f"{some(40)} Licensed under the MIT License. {some(40)}", wrapped(f"{some(30)} {body['Zlib']} {some(30)}", 9), body["BSD-2-Clause"].replace("HOLDERS", "OWNERS") + some(500), wrapped(f"{some(9)} {body['ISC']} {some(99)} {body['MPL-2.0']}", 13), body["MIT"][:200], some(3000), "the software " * 3000]
+    made = docs(spark, texts)
+    got = {r["doc_id"]: (r["license"], r["dice"], {m["license"] for m in r["matches"]}) for r in licenses.scan(made).collect()}
     for i, t in enumerate(texts):
-        paragraphs = re.split(r"\n *\n[ \n]*", t or "")
-        units = (t or "").split("\n") + [p for p in paragraphs if "\n" in p] + ([t] if len(paragraphs) > 1 else [])
-        scores = [(2 * len(grams(u) & grams(x)) / (len(grams(u)) + len(grams(x))), n) for u in units for n, x in licenses.TEMPLATES if grams(u)]
-        best = max((s for s, _ in scores), default=0)
-        want = (min(n for s, n in scores if s == best), best) if best >= 0.8 else (None, None)
-        assert got[i] == pytest.approx(want), t
+        assert got[i][:2] == pytest.approx(want[:2] if (want := brute_licenses(t or "", licenses.TEMPLATES)) else None) and got[i][2] == want[2], t
+    assert got[11][0] == "MIT" and got[12][0] == "Zlib" and {"ISC", "MPL-2.0"} <= got[14][2] and got[16][0] is None
+    assert licenses.scan(made.limit(0)).count() == 0
+
+
+def test_license_templates_from_files(spark, tmp_path):
+    (tmp_path / "My-1.0.txt").write_text("You may do with this text whatever you like to do.")
+    templates = licenses.load_templates(spark, str(tmp_path))
+    assert templates == [("My-1.0", "You may do with this text whatever you like to do.")]
+    got = licenses.scan(docs(spark, ["a b c you may do with this text whatever you like to do d e"]), templates).first()
+    assert (got["license"], got["dice"]) == ("My-1.0", 1.0)
 
 
 # --- 2 Jaccard join ---------------------------------------------------------
