@@ -9,7 +9,7 @@ merges never depend on another's, so this gives what the usual greedy
 algorithm gives for each pre-token.
 
 Texts are taken in chunks of bounded size and the pre-tokens already encoded
-are kept in a bounded map, so memory does not grow with the input (a single
+are kept in a map of bounded entries and characters, so memory does not grow with the input (a single
 text longer than a chunk is a chunk of its own). A task keeps nothing that
 another needs: a lost executor costs the rerun of its tasks.
 
@@ -21,6 +21,7 @@ other columns of the input, whatever their names, are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens of the byte-level scheme; white space is the Unicode property.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
-#: Characters of text in a chunk, and pre-tokens remembered between chunks.
+#: Characters of text in a chunk; pre-tokens, and characters of them, remembered between chunks.
 CHUNK_CHARS = 12_000_000
-REMEMBERED = 300_000
+REMEMBERED, REMEMBERED_CHARS = 300_000, 6_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -164,6 +165,7 @@ class Codec:
         self.pretoken = regex.compile(PRETOKEN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.known: dict[str, Any] = {}
+        self.held = 0
 
     def pretokens(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -179,8 +181,11 @@ class Codec:
         """Makes self.known hold every distinct word wanted."""
         wanted = list(wanted)
         new = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
+        self.held += sum(map(len, new))
+        if len(self.known) + len(new) > self.remembered or self.held > REMEMBERED_CHARS:
+            # what this chunk needs is bounded by its characters
             self.known = {w: self.known[w] for w in wanted if w in self.known}
+            self.held = sum(map(len, wanted))
         plain = [w for w in new if w not in self.vocabulary.special]
         for w in new:
             if w in self.vocabulary.special:
@@ -212,6 +217,12 @@ def load_definition(path: str) -> str:
         return f.read()
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary_of(definition: str) -> Vocabulary:
+    """The vocabulary of a definition, parsed once by each Python worker."""
+    return Vocabulary(definition)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(first column, texts of the second column) of bounded chunks; null texts are empty."""
     keys, texts, held = [], [], 0
@@ -233,7 +244,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     definition = docs.sparkSession.sparkContext.broadcast(load_definition(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(definition.value))
+        codec = Codec(vocabulary_of(definition.value))
         for keys, texts in chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(codec.encode_batch(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -245,7 +256,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     definition = encoded.sparkSession.sparkContext.broadcast(load_definition(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(definition.value))
+        codec = Codec(vocabulary_of(definition.value))
         for batch in batches:
             texts = [codec.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -258,7 +269,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     definition = docs.sparkSession.sparkContext.broadcast(load_definition(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(definition.value)
+        vocabulary = vocabulary_of(definition.value)
         token_bytes = vocabulary.token_bytes
         # of each pre-token: its ids as text, and the bytes that they decode to
         codec = Codec(vocabulary, form=lambda ids: (",".join(map(str, ids)), b"".join([token_bytes[i] for i in ids])))

@@ -235,6 +235,18 @@ def test_bpe_equals_the_library():
         assert [codec.decode(w) for w in want] == [library.decode(w, skip_special_tokens=False) for w in want] == part
 
 
+def test_bpe_remembers_a_bounded_number_of_characters(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 5000)
+    codec = bpe.Codec(bpe.vocabulary_of(bpe.load_definition(public_tokenizers.path("byte_bpe_50k.json"))))
+    rng = random.Random(7)
+    for _ in range(40):
+        texts = ["".join(rng.choices("abcdefg", k=900)) for _ in range(2)]
+        assert [codec.decode(ids) for ids in codec.encode_batch(texts)] == texts
+        assert sum(map(len, codec.known)) <= 5000 + 1800 and set(texts) <= set(codec.known)
+
+
 def test_bpe_on_tables(spark):
     import public_tokenizers
 
