@@ -9,21 +9,27 @@ Differencing alone gives wrong results where menus and adverts are filled anew
 for each page, and where articles themselves recur on pages beside each other.
 So two kinds of lines are decided by markup: what stands in elements that
 declare themselves as menus, headers, footers, sidebars, notices, adverts,
-forms or comments is never text, and what stands in the page's article element
-is not deleted. Lines of pages without such an element are decided by
-differencing; where that would leave nothing (the neighbour is a copy), it
-does not count.
-
-Only line hashes of a neighbour meet a page, and hosts are cut into ranges of
-paths, so a hot host is many tasks. Defined cases: null html counts as empty,
-an empty page has an empty text; a null or odd url is a host of its own name;
-ties of the path go by page_id, then url; repeated rows are neighbours of each
-other; a page alone on its host has no neighbour; an empty table gives an
-empty result; other columns are not read.
+forms or comments is never text, and what stands in the page's article elements
+is not deleted. Differencing decides the other lines: those of its main element
+around the articles, those of main where there is no article, and all lines of
+pages with neither; where that would leave nothing of a page (the neighbour is a
+copy), it does not count.
+
+Parsing takes one pass over a page, whatever is broken in it, and an alignment
+takes memory in proportion to the lines. Only line hashes of a neighbour meet a
+page, and hosts are cut into ranges of paths, so a hot host is many tasks.
+
+Defined cases: null html counts as empty, an empty page has an empty text; a
+null or odd url is a host of its own name; the nearer of two neighbours shares
+more leading segments of its path, then has a number of segments closer to the
+page's, then comes before; ties of the path go by page_id, then url; repeated
+rows are neighbours of each other; a page alone on its host has no neighbour; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import collections
 import html
 import re
 from collections.abc import Iterator
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import deal
@@ -44,7 +50,7 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("html body option optgroup".split())
 SAME_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 # Elements and names that declare what is not the article.
-NEVER = frozenset("head script style noscript template svg math iframe object canvas audio video nav footer aside form button select textarea input dialog menu".split())
+NEVER = frozenset("head script style noscript template svg iframe object canvas audio video nav footer aside form button select textarea input dialog menu".split())
 OUTSIDE_ONLY = frozenset(["header"])
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = re.compile(
@@ -57,11 +63,11 @@ NAMES = re.compile(
 NOT_THE_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|comment-\S+|reader-comments?|teaser|related|recommended|ads?|advert\S*|promo\S*|sponsored)(?:$|\s)", re.I)
 HEADER_NAMES = re.compile(r"(?:^|\s)(?:header|top|brand|logo|copyright|legal|imprint)(?:$|\s)", re.I)
 MAIN_NAMES = re.compile(r"(?:^|\s)(?:main|content|main-content|article|article-body|post|post-content|entry|entry-content|story|page-content)(?:$|\s)", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template|svg)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements whose content is no markup.
+RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in "script style textarea title noscript iframe template svg".split()}
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+QUOTES_CLOSE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 def _declares(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
@@ -82,11 +88,66 @@ def _declares(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
     return False, rank
 
 
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, attributes): text with the text as name, open and close tags; comments, declarations and raw content are left out.
+
+    Each character is looked at a bounded number of times: what is never closed goes on to the end of the page.
+    """
+    at, n = 0, len(page)
+    # a quote that no other follows is a character like others
+    last = {q: page.rfind(q) for q in "\"'"}
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            yield "text", page[at:start], ""
+        if start == n:
+            return
+        following = page[start + 1 : start + 2]
+        if following in ("!", "?"):
+            closing = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(closing, start + 2)
+            at = n if end < 0 else end + len(closing)
+            continue
+        m = TAG.match(page, start)
+        if not m:
+            if following == "/":
+                end = page.find(">", start)
+                at = n if end < 0 else end + 1
+            else:
+                yield "text", "<", ""
+                at = start + 1
+            continue
+        end = m.end()
+        while True:
+            end = QUOTES_CLOSE.match(page, end).end()
+            if end < n and page[end] != ">" and end >= last[page[end]]:
+                end += 1
+            else:
+                break
+        if end >= n:
+            return
+        attributes, at = page[m.end() : end], end + 1
+        name = m[2].lower()
+        if m[1]:
+            yield "close", name, ""
+        elif name in RAW:
+            if name == "textarea":
+                yield "text", " ", ""
+            if not attributes.endswith("/"):
+                closed = RAW[name].search(page, at)
+                at = closed.end() if closed else n
+        else:
+            yield "open", name, attributes
+
+
 def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
     """The lines of a page: text, whether it can be text of the article, rank and number of the element that may be the article."""
     out: list[tuple[str, bool, int, int]] = []
     # open elements: name, not text, rank, number of the element the rank comes from
     stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    held: collections.Counter[str] = collections.Counter()
     parts: list[str] = []
     numbered = 0
 
@@ -98,46 +159,45 @@ def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
                 out.append((text, not never, rank, number))
             parts.clear()
 
+    def cut(i: int) -> None:
+        for s in stack[i:]:
+            held[s[0]] -= 1
+        del stack[i:]
+
     def pop(names: tuple[str, ...], until: frozenset) -> None:
+        if not any(held[x] for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 flush()
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in until:
                 return
 
     scope = frozenset("table td th ul ol dl button body html".split())
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if not name:
-            if m[1] and m[1].lower() == "textarea":
-                parts.append(" ")
+    for kind, name, attributes in _tokens(page):
+        if kind == "text":
+            parts.append(name)
             continue
-        name = name.lower()
-        if m[2]:
+        if kind == "close":
             if name in VOID:
                 continue
+            if not held[name]:
+                if name in BLOCKS:
+                    flush()
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     if name in BLOCKS or any(s[0] in BLOCKS for s in stack[i:]) or stack[i][1] != stack[i - 1][1]:
                         flush()
-                    del stack[i:]
+                    cut(i)
                     break
-            else:
-                if name in BLOCKS:
-                    flush()
             continue
         if name in BLOCKS:
             flush()
-        if name in CLOSES_P and stack[-1][0] != "p":
-            pop(("p",), scope | BLOCKS - {"p"})
-        elif name in CLOSES_P:
-            pop(("p",), scope)
+        if name in CLOSES_P:
+            pop(("p",), scope if stack[-1][0] == "p" else scope | BLOCKS - {"p"})
         if name in SAME_KIND and name != "p":
             pop(SAME_KIND[name], scope - {"td", "th"} if name in ("tr", "td", "th") else scope)
         if name in VOID:
@@ -145,80 +205,100 @@ def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
                 parts.append(" ")
             continue
         _, never, rank, number = stack[-1]
-        own_never, own_rank = (True, 0) if never else _declares(name, m[4], rank == 2)
+        own_never, own_rank = (True, 0) if never else _declares(name, attributes, rank == 2)
         if own_never and not never:
             flush()
         if own_rank > rank:
             numbered += 1
             rank, number = own_rank, numbered
-        if not m[4].endswith("/"):
+        if not attributes.endswith("/"):
             stack.append((name, own_never, rank, number))
-    parts.append(page[at:])
+            held[name] += 1
     flush()
     return out
 
 
-def candidates(lines: list[tuple[str, bool, int, int]]) -> tuple[list[bool], bool]:
-    """Which lines may be text, and whether an element of the page says so (the longest of the highest rank)."""
-    chars: dict[tuple[int, int], int] = {}
-    for text, may, rank, number in lines:
-        if may and rank:
-            chars[rank, number] = chars.get((rank, number), 0) + len(text)
-    if not chars:
-        return [may for _, may, _, _ in lines], False
-    best = max(chars, key=lambda k: (k[0], chars[k], -k[1]))
-    # an article inside main counts for main too
-    inside = {best[1]} if best[0] == 2 else {n for r, n in chars if r == 1 and n == best[1]}
-    return [may and number in inside for _, may, _, number in lines], True
+def candidates(lines: list[tuple[str, bool, int, int]]) -> list[tuple[bool, bool]]:
+    """Of each line whether it may be text, and whether it is for sure: it stands in an article."""
+    best = max((rank for _, may, rank, _ in lines if may), default=0)
+    return [(may and rank >= min(best, 1), may and rank == 2) for _, may, rank, _ in lines]
 
 
-def common_lines(a: list[int], b: list[int]) -> list[bool]:
-    """Which of a's lines are in a longest common subsequence of a and b (bit-parallel over b)."""
-    n, m = len(a), len(b)
-    head = 0
-    while head < n and head < m and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < n - head and tail < m - head and a[n - 1 - tail] == b[m - 1 - tail]:
-        tail += 1
-    x, y = a[head : n - tail], b[head : m - tail]
-    shared = [False] * len(x)
+def _states(x: list[int], y: list[int]) -> Iterator[int]:
+    """After each element of x, the bits of y's places at which the length of the common subsequence does not grow."""
     places: dict[int, int] = {}
     for j, v in enumerate(y):
         places[v] = places.get(v, 0) | 1 << j
     full = (1 << len(y)) - 1
-    state, states = full, []
+    state = full
     for v in x:
-        match = places.get(v, 0)
-        u = state & match
+        u = state & places.get(v, 0)
         state = ((state + u) | (state - u)) & full
-        states.append(state)
+        yield state
+
+
+#: Bits of states that an alignment holds at once; beyond, it is halved first.
+STATE_BITS = 64_000_000
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of x and the first j of y, for each j."""
+    state = (1 << len(y)) - 1
+    for state in _states(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(y) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _aligned(x: list[int], y: list[int]) -> list[bool]:
+    """Which elements of x are in a longest common subsequence of x and y."""
+    if len(x) > 1 and len(x) * len(y) > STATE_BITS:
+        half = len(x) // 2
+        left, right = _lengths(x[:half], y), _lengths(x[half:][::-1], y[::-1])[::-1]
+        at = int(np.argmax(left + right))
+        return _aligned(x[:half], y[:at]) + _aligned(x[half:], y[at:])
+    shared = [False] * len(x)
+    full = (1 << len(y)) - 1
+    states = list(_states(x, y))
     # zero bits of a state mark where the length grows; walk back from the end
-    j = len(y) - 1
+    top, need = len(y), (~states[-1] & full).bit_count() if x else 0
     for i in range(len(x) - 1, -1, -1):
-        if j < 0:
+        if not need:
             break
-        here = (~states[i]) & ((1 << (j + 1)) - 1)
-        before = (~(states[i - 1] if i else full)) & ((1 << (j + 1)) - 1)
-        if here.bit_count() > before.bit_count():
-            shared[i] = True
-            # the last place of b, up to j, that x[i] can take without loss
-            match = places.get(x[i], 0) & ((1 << (j + 1)) - 1)
-            need = before.bit_count()
-            k = match.bit_length() - 1
-            while k >= 0 and ((~(states[i - 1] if i else full)) & ((1 << k) - 1)).bit_count() < need:
-                match &= (1 << k) - 1
-                k = match.bit_length() - 1
-            j = k - 1
-    return [True] * head + shared + [True] * tail
-
-
-def main_text(kept: list[str], sure: bool, hashes: list[int], marks: list[int], near: list[int] | None) -> str:
-    """The text of a page: kept are its possible lines, marks their places among all lines, near the neighbour's lines."""
-    if sure or near is None:
+        before = ~(states[i - 1] if i else full) & ((1 << top) - 1)
+        if before.bit_count() == need:
+            continue
+        # x[i] takes the last place at which the length grows to need
+        shared[i] = True
+        top = (~states[i] & ((1 << top) - 1)).bit_length() - 1
+        need -= 1
+    return shared
+
+
+def common_lines(a: list[int], b: list[int]) -> list[bool]:
+    """Which of a's lines are in a longest common subsequence of a and b, in memory in proportion to both."""
+    n, m = len(a), len(b)
+    head = 0
+    while head < n and head < m and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and tail < m - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    both = set(a[head : n - tail]) & set(b[head : m - tail])
+    # what only one side has cannot be shared
+    at = [i for i in range(head, n - tail) if a[i] in both]
+    shared = [True] * head + [False] * (n - head - tail) + [True] * tail
+    for i, kept in zip(at, _aligned([a[i] for i in at], [v for v in b[head : m - tail] if v in both]), strict=True):
+        shared[i] = kept
+    return shared
+
+
+def main_text(kept: list[str], sure: list[bool], hashes: list[int], marks: list[int], near: list[int] | None) -> str:
+    """The text of a page: kept are its possible lines, sure those of articles, marks their places among all lines, near the neighbour's lines."""
+    if near is None or all(sure):
         return "\n\n".join(kept)
     shared = common_lines(hashes, near)
-    left = [t for t, i in zip(kept, marks, strict=True) if not shared[i]]
+    left = [t for t, ok, i in zip(kept, sure, marks, strict=True) if ok or not shared[i]]
     return "\n\n".join(left or kept)
 
 
@@ -233,15 +313,15 @@ def _parsed(pages: DataFrame) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("kept", "sure", "hashes", "marks")}
             for page in batch.column(2):
                 lines = lines_of(page.as_py() or "")
-                may, sure = candidates(lines)
-                out["kept"].append([x[0] for x, ok in zip(lines, may, strict=True) if ok])
-                out["sure"].append(sure)
+                found = candidates(lines)
+                out["kept"].append([x[0] for x, (may, _) in zip(lines, found, strict=True) if may])
+                out["sure"].append([sure for may, sure in found if may])
                 out["hashes"].append(np.array([xxhash.xxh3_64_intdigest(x[0].encode("utf-8", "surrogatepass")) for x in lines], dtype=np.uint64).view(np.int64))
-                out["marks"].append([i for i, ok in enumerate(may) if ok])
-            kinds = {"kept": pa.list_(pa.string()), "sure": pa.bool_(), "hashes": pa.list_(pa.int64()), "marks": pa.list_(pa.int32())}
+                out["marks"].append([i for i, (may, _) in enumerate(found) if may])
+            kinds = {"kept": pa.list_(pa.string()), "sure": pa.list_(pa.bool_()), "hashes": pa.list_(pa.int64()), "marks": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, kinds[k]) for k, v in out.items())], ["page_id", "url", *out])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, kept array<string>, sure boolean, hashes array<long>, marks array<int>")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, kept array<string>, sure array<boolean>, hashes array<long>, marks array<int>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -257,9 +337,14 @@ def extract(pages: DataFrame) -> DataFrame:
     part = lambda c, i: F.get(F.split(c, "\x01"), F.lit(i))
     around = dealt.select("*", *[f(c).over(order).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("key", "hashes")])
     same = lambda n: part(F.col(f"{n}_key"), 0) == part(F.col("key"), 0)
-    # the nearer path is that with the longer common start; of equals, the one before
-    distance = lambda n: F.levenshtein(part(F.col(f"{n}_key"), 1), part(F.col("key"), 1), 64)
-    far = lambda n: F.when(distance(n) < 0, F.lit(65)).otherwise(distance(n))
+    segments = lambda c: F.split(part(c, 1), "/")
+
+    def far(n: str) -> Column:
+        """Smaller is nearer: segments that the paths do not share at their start, then the difference of their numbers."""
+        own, other = segments(F.col("key")), segments(F.col(f"{n}_key"))
+        run = F.aggregate(F.zip_with(own, other, lambda x, y: x.eqNullSafe(y)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")), lambda s, same: F.struct((s["n"] + (s["open"] & same).cast("int")).alias("n"), (s["open"] & same).alias("open")))
+        return F.struct(-run["n"], F.abs(F.size(own) - F.size(other)))
+
     near = (
         F.when(F.coalesce(same("before"), F.lit(False)) & F.coalesce(same("after"), F.lit(False)), F.when(far("before") <= far("after"), F.col("before_hashes")).otherwise(F.col("after_hashes")))
         .when(same("before"), F.col("before_hashes"))

@@ -282,6 +282,34 @@ def test_common_lines_are_a_longest_common_subsequence(a, b):
     assert all(x in rest for x in kept) and len(kept) == lcs_length(a, b)
 
 
+def test_common_lines_in_halves(monkeypatch):
+    monkeypatch.setattr(html_text, "STATE_BITS", 40)
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = (rng.choices(range(6), k=rng.randint(0, 40)) for _ in range(2))
+        kept = [x for x, k in zip(a, html_text.common_lines(a, b), strict=True) if k]
+        rest = iter(b)
+        assert all(x in rest for x in kept) and len(kept) == lcs_length(a, b)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a 'x", "<div>", "<p><b>", "</span>", "<script ", "<!-- ", "< ", "<ul><li>", "<i></b>", "<table><tr><td>", "&amp;<x", "<textarea>", "<div></p>", "a\n"])
+def test_html_broken_pages_take_one_pass(piece):
+    import time
+
+    page = "<p>first</p>" + piece * (1_000_000 // len(piece)) + "<p>last</p>"
+    began = time.process_time()
+    lines = html_text.lines_of(page)
+    assert time.process_time() - began < 6 and lines[0][0] == "first"
+
+
+def test_html_parsing_of_broken_markup():
+    texts = lambda page: [x[0] for x in html_text.lines_of(page)]
+    assert texts('<p title="a>b">one</p><p class=x title=it\'s>two</p>') == ["one", "two"]
+    assert texts("1 < 2 <3 </ x> four<br/>five</none><!doctype x><?php y ?>six") == ["1 < 2 <3 four fivesix"]
+    assert texts("<p>a<script>if (a < b) '</p>'</SCRIPT >b<!-- <p>c --> d<style>x") == ["ab d"]
+    assert texts("a<b title=\"never closed>c") == ["ac"] and texts("a<b") == ["a"] and texts("<svg/>x<math><mi>y</mi></math>") == ["xy"]
+
+
 def test_html_structure(spark):
     page = """<html><head><title>x</title><script>var t="</p><article>";</script></head><body><header>Site</header><nav><ul><li>a<li>b</ul></nav><div class="cookie-notice">We use</div>
     <main><article class="post"><header><h1>Tit&lt;le&nbsp;1</h1></header><p>One &amp; two<br>three<p><b>Four</b> fi<i>ve</i><aside>side</aside><ul><li>x<li>y</ul><form>Search <input> now</form><div class=ad>buy</div>
@@ -300,6 +328,54 @@ def test_html_differencing_without_an_article_element(spark):
     assert all("Menu" not in t for i, t in got.items() if i != 99)
 
 
+def test_html_articles_and_what_is_around_them(spark):
+    lead = lambda i: f"<main><h2>Section of the site</h2><p>lead {i}</p><article><p>one {i}</p><p>said twice</p></article><article><p>two {i}</p></article><article class=comment>no</article></main><p>out</p>"
+    pages = spark.createDataFrame([(i, f"http://h/a/{i}", lead(i), "x") for i in range(6)], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {i: f"lead {i}\n\none {i}\n\nsaid twice\n\ntwo {i}" for i in range(6)}
+
+
+def test_html_nearest_path(spark):
+    page = lambda *p: "".join(f"<p>{x}</p>" for x in p)
+    # 2 shares more of its path with 1 than with 3, and only 1 has its menu
+    made = [(1, "http://h/a/b/c", page("menu of b", "x")), (2, "http://h/a/b/d", page("menu of b", "menu of a", "y")), (3, "http://h/a/c" + "/long" * 90, page("menu of a", "z"))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got[2] == "menu of a\n\ny"
+
+
+def test_html_differencing_by_brute_force(spark, data):
+    """The pages table without article elements, more pages on fewer hosts, every line by differencing."""
+    made = [(r["page_id"], re.sub(r"//[^/]*", f"//h{r['page_id'] % 3}", r["url"]), re.sub("</?article>", "", r["html"])) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    made += [(i + 1000, u.replace("?", "/x?"), h.replace("<p>", "<p>Same start. </p><p>", 1)) for i, u, h in made]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    split = lambda u: re.match(r"[a-z]+://([^/?#]*)([^?#]*)", u).groups()
+    path = lambda u: re.sub(r"(/|\.html?)$", "", split(u)[1])
+    for host in {split(u)[0] for _, u, _ in made}:
+        own = sorted((path(u), f"{i:020d}", i, h) for i, u, h in made if split(u)[0] == host)
+        for k, (p, _, i, h) in enumerate(own):
+            lines = [x for x in html_text.lines_of(h)]
+
+            def far(j):
+                a, b = p.split("/"), own[j][0].split("/")
+                same = next((n for n in range(min(len(a), len(b))) if a[n] != b[n]), min(len(a), len(b)))
+                return (-same, abs(len(a) - len(b)), j)
+
+            near = min((j for j in (k - 1, k + 1) if 0 <= j < len(own)), key=far)
+            other = [x[0] for x in html_text.lines_of(own[near][3])]
+            texts = [x[0] for x in lines]
+            length = [[0] * (len(other) + 1) for _ in range(len(texts) + 1)]
+            for x in range(len(texts) - 1, -1, -1):
+                for y in range(len(other) - 1, -1, -1):
+                    length[x][y] = length[x + 1][y + 1] + 1 if texts[x] == other[y] else max(length[x + 1][y], length[x][y + 1])
+            left = got[i].split("\n\n") if got[i] else []
+            may = [x[0] for x in lines if x[1]]
+            gone = sum((collections.Counter(may) - collections.Counter(left)).values())
+            rest = iter(may)
+            assert all(x in rest for x in left) and (gone <= length[0][0] and collections.Counter(may) - collections.Counter(left) <= collections.Counter(other) or left == may)
+            if not set(texts) & set(other):
+                assert left == may
+
+
 def test_html_on_the_pages_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_text.query(spark, data).collect()}
