@@ -2,24 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Domain prefix of every digest, and the prefix of a finding's id; both can be given.
 NAMESPACE, FINDING_PREFIX = "audit", "finding-"
 
-_CODE_FILE = r"(?iU)(?:[\w.\-]+/)*[\w.\-]+\.(?:c|h|cc|cpp|cxx|hpp|hh|hxx|inc|ipp)\b"
+_SUFFIXES = "c|h|cc|cpp|cxx|hpp|hh|hxx|inc|ipp"
 _QUOTED = "'[^']*'|\"[^\"]*\"|`[^`]*`|‘[^’]*’"
+#: Noncharacters that stand for something while patterns run; no text holds them.
+_EMPTY, _OPEN = "\ufdd0", "\ufdd1"
 _NUMBER = r"(?U)\b0[xX][0-9a-fA-F]+\b|\b\d+\b"
 
 
+def path_pattern(suffix: str) -> str:
+    """A path of named segments that ends in a dot and a suffix (a pattern), in a text whose slashes are apart.
+
+    A path starts where its first segment does and ends after the last such
+    suffix in it, so each character is tried once, and no group is repeated:
+    a very long path or word costs no stack and no more than its length.
+    """
+    return rf"(?iU)(?<![\w.\-])(?<![\w.\-]/)(?=[\w.\-])[\w.\-/]*[\w.\-]\.(?:{suffix})"
+
+
+def apart(text: Column) -> Column:
+    """text with a mark between two slashes: there is no segment there, so a path ends."""
+    for _ in range(2):
+        text = F.replace(text, F.lit("//"), F.lit(f"/{_EMPTY}/"))
+    return text
+
+
+def replace_paths(text: Column, suffix: str, put: str) -> Column:
+    return F.replace(F.regexp_replace(apart(text), path_pattern(suffix), put), F.lit(_EMPTY), F.lit(""))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _replace_quoted(text: Column) -> Column:
+    """Quoted names as <id>; an opening mark after the last closing one is left out of the search, so that it is linear."""
+    plain = F.regexp_replace(text, _QUOTED, "<id>")
+    head = F.regexp_extract(text, "(?s)^.*’", 0)
+    tail = F.substring(text, F.char_length(head) + 1, F.char_length(text))
+    found = F.regexp_replace(F.concat(head, F.replace(tail, F.lit("‘"), F.lit(_OPEN))), _QUOTED, "<id>")
+    return F.when(F.contains(text, F.lit("‘")), F.replace(found, F.lit(_OPEN), F.lit("‘"))).otherwise(plain)
+
+
 def normalize_message(message: Column) -> Column:
     """A diagnostic without what moves when code moves: paths, quoted names and numbers. Idempotent."""
-    text = F.regexp_replace(message, _CODE_FILE, "<path>")
-    text = F.regexp_replace(text, _QUOTED, "<id>")
+    text = bound(replace_paths(message, rf"(?:{_SUFFIXES})\b", "<path>"), _replace_quoted)
     text = F.regexp_replace(text, _NUMBER, "<n>")
     text = F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
-    return F.regexp_replace(text, r"[ .;:]+$", "")
+    return F.regexp_replace(text, r"(?<![ .;:])[ .;:]++$", "")
 
 
 def digest(domain: str, *parts: Column) -> Column:
@@ -65,9 +104,42 @@ def hashes_match(expected: Column, observed: Column) -> Column:
     return F.lower(expected) == F.lower(observed)
 
 
-def canonical_hash(value: Column) -> Column:
-    """sha256 of a value as compact JSON; the order of keys is that of the schema."""
-    return F.sha2(F.to_json(value), 256)
+def _sorted_keys(value: Column, kind: DataType) -> Column:
+    """value with the fields of its structs and the keys of its maps in order of their names."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_sorted_keys(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _sorted_keys(x, kind.elementType))
+    if isinstance(kind, MapType):
+        in_order = F.array_sort(F.map_keys(value))
+        return F.map_from_arrays(in_order, F.transform(in_order, lambda k: _sorted_keys(F.element_at(value, k), kind.valueType)))
+    return value
+
+
+def canonical_json(value: Column, kind: DataType) -> Column:
+    """Compact JSON of a struct, array or map of this type: keys sorted at every level, nulls kept."""
+    return F.to_json(_sorted_keys(value, kind), {"ignoreNullFields": "false"})
+
+
+def canonical_hash(value: Column, kind: DataType) -> Column:
+    """sha256 of a value as canonical JSON."""
+    return F.sha2(canonical_json(value, kind), 256)
+
+
+def set_hash(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """One row (members, hash) that names a set of rows, whatever their order and partitions.
+
+    Rows are hashed each, the hashes of a group in order make its hash, and
+    those of the groups by name make the set's; what meets in a task is 64
+    characters a row of one group.
+    """
+    kind = rows.schema
+    hashed = rows.select(group, F.struct(*order).alias("o"), canonical_hash(F.struct(*rows.columns), kind).alias("h"))
+    own = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "\n"), 256)
+    groups = hashed.groupBy(group).agg(own.alias("h"))
+    line = F.concat_ws(" ", F.coalesce(F.col(group).cast("string"), F.lit("")), "h")
+    return groups.agg(F.count(F.lit(1)).alias("members"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"))
 
 
 def cache_key(prompt: Column, model_id: Column, prompt_version: Column, schema_version: Column, namespace: str = NAMESPACE) -> Column:

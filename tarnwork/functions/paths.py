@@ -39,7 +39,7 @@ def glob_pattern(glob: str) -> str:
     """The expression of a glob: * stays in a segment, **/ spans segments, ? is one character."""
     pieces = re.findall(r"\*{2,}/|\*{2,}|\*|\?|[^*?]+", glob)
     known = {"*": "[^/]*", "?": "[^/]"}
-    return "^" + "".join("(?:[^/]+/)*" if p[:2] == "**" and p[-1] == "/" else ".*" if p[:2] == "**" else known.get(p) or re.escape(p) for p in pieces) + "$"
+    return "^" + "".join("(?:[^/].*/)?" if p[:2] == "**" and p[-1] == "/" else ".*" if p[:2] == "**" else known.get(p) or re.escape(p) for p in pieces) + "$"
 
 
 def matching_glob(path: Column, globs: Sequence[str]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..values import SECRET_RULES
+from .ids import apart, path_pattern
 
 PLACEHOLDER = "[redacted:"
 #: What a text has to hold for a rule to match at all: a plain search that spares the pattern.
@@ -90,7 +91,7 @@ def scrub(text: Column, rules: Sequence[tuple[str, str, int]] = SECRET_RULES, re
 
 def mask_paths(text: Column, pattern: str) -> Column:
     """Code paths that a pattern excludes, replaced in generated text, the longest first."""
-    paths = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:[\w.\-]+/)*[\w.\-]+\.\w+"), F.lit(0))), lambda p: F.rlike(p, F.lit(pattern)))
+    paths = F.filter(F.array_distinct(F.regexp_extract_all(apart(text), F.lit(path_pattern(r"\w+")), F.lit(0))), lambda p: F.rlike(p, F.lit(pattern)))
     longest_first = F.array_sort(paths, lambda a, b: F.char_length(b) - F.char_length(a))
     return F.aggregate(longest_first, text, lambda t, p: F.replace(t, p, F.lit("[excluded path]")))
 

@@ -8,6 +8,7 @@ group is collected.
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -30,30 +31,37 @@ def visit_order(candidates: DataFrame) -> DataFrame:
 def _fold(batches: Iterator[pd.DataFrame], tolerance: int) -> Iterator[pd.DataFrame]:
     """cluster of each place of a stream sorted by fingerprint and line: the line of its cluster's first place.
 
-    Open clusters of the running fingerprint are kept by symbol, and of those
-    without one only such as are near enough to be joined still.
+    Of the running fingerprint are kept the first cluster of each symbol and,
+    in order, the clusters near enough to be joined by line, so a place costs
+    the same however many clusters there are.
     """
-    running, clusters = None, []
+    running, made = None, 0
+    of_symbol: dict = {}
+    near: collections.deque = collections.deque()
+    nameless: collections.deque = collections.deque()
     for batch in batches:
         found = []
         for fp, line, symbol in zip(batch["fingerprint"], batch["line"], batch["symbol"], strict=True):
             if fp != running:
-                running, clusters = fp, []
-            for c in clusters:
-                first, known = c
-                if symbol is not None and known is not None:
-                    joins = symbol == known
-                else:
-                    joins = abs(line - first) <= tolerance
-                if joins:
-                    found.append((first, known))
-                    break
+                running, made = fp, 0
+                of_symbol.clear(), near.clear(), nameless.clear()
+            # places are sorted: a cluster that is too far behind is joined by line no more
+            for open_ in (near, nameless):
+                while open_ and line - open_[0][1] > tolerance:
+                    open_.popleft()
+            if symbol is None:
+                chosen = near[0] if near else None
             else:
-                clusters.append((line, symbol))
-                found.append((line, symbol))
-            # places are sorted, so a cluster without a symbol that is too far behind is closed
-            clusters = [c for c in clusters if c[1] is not None or line - c[0] <= tolerance]
-        yield batch.assign(cluster=[f for f, _ in found], cluster_symbol=[s for _, s in found])
+                chosen = min((c for c in (of_symbol.get(symbol), nameless[0] if nameless else None) if c is not None), default=None)
+            if chosen is None:
+                chosen, made = (made, line, symbol), made + 1
+                near.append(chosen)
+                if symbol is None:
+                    nameless.append(chosen)
+                else:
+                    of_symbol[symbol] = chosen
+            found.append(chosen)
+        yield batch.assign(cluster=[c[1] for c in found], cluster_symbol=[c[2] for c in found])
 
 
 def cluster_places(candidates: DataFrame, tolerance: int = MERGE_TOLERANCE) -> DataFrame:
@@ -79,9 +87,11 @@ def merge_candidates(candidates: DataFrame, tolerance: int = MERGE_TOLERANCE) ->
     places = cluster_places(candidates, tolerance).withColumnsRenamed({"fingerprint": "__fp", "line": "__line", "symbol": "__symbol"})
     same_place = (F.col("fingerprint") == F.col("__fp")) & (F.col("line") == F.col("__line")) & F.col("symbol").eqNullSafe(F.col("__symbol"))
     clustered = candidates.join(places, same_place)
-    first = F.min(F.struct("line", "candidate_id"))
-    tools = F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct("line", "candidate_id", "tool"))), lambda t: t["tool"]))
-    merged = clustered.groupBy("fingerprint", "cluster", "cluster_symbol").agg(first.alias("first"), F.count(F.lit(1)).alias("merged"), tools.alias("tools"))
+    # a row per cluster and tool first, so that a cluster brings no more than its tools together
+    first = F.min(F.struct("line", "candidate_id")).alias("first")
+    by_tool = clustered.groupBy("fingerprint", "cluster", "cluster_symbol", "tool").agg(first, F.count(F.lit(1)).alias("merged"))
+    tools = F.transform(F.array_sort(F.collect_list(F.struct("first", "tool"))), lambda t: t["tool"])
+    merged = by_tool.groupBy("fingerprint", "cluster", "cluster_symbol").agg(F.min("first").alias("first"), F.sum("merged").alias("merged"), tools.alias("tools"))
     return merged.select("fingerprint", F.col("first.line").alias("line"), F.col("first.candidate_id").alias("candidate_id"), "merged", "tools")
 
 

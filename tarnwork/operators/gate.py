@@ -31,7 +31,7 @@ def quotations(answers: DataFrame, captured: DataFrame) -> DataFrame:
     """Quotations (evidence_id, text) whose bytes do not stand in the captured region."""
     quoted = answers.select("candidate_id", F.inline("quotations"))
     joined = quoted.join(captured.select("candidate_id", "evidence_id", "captured"), ["candidate_id", "evidence_id"], "left")
-    absent = F.coalesce(F.instr(F.hex("captured"), F.hex(F.col("text").cast("binary"))) == 0, F.lit(True))
+    absent = ~F.coalesce(F.contains(F.col("captured").cast("binary"), F.col("text").cast("binary")), F.lit(False))
     return joined.where(absent).select("candidate_id", F.col("evidence_id").alias("subject"), F.lit("hash_mismatch").alias("reason"))
 
 

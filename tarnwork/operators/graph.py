@@ -7,6 +7,8 @@ lost executor costs a reread.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int, source: str = "caller",
     Edges with a null target lead nowhere (see unresolved_from).
     """
     reached = written(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
-    frontier, steps = reached, edges.select(F.col(source).alias("node"), F.col(target).alias("__next")).where("node is not null and __next is not null").distinct()
+    frontier, steps = reached, written(edges.select(F.col(source).alias("node"), F.col(target).alias("__next")).where("node is not null and __next is not null").distinct())
     for hop in range(1, depth + 1):
         found = frontier.join(steps, "node").select("seed", F.col("__next").alias("node"), F.lit(hop).alias("depth")).distinct()
         frontier = written(found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti"))
@@ -30,9 +32,9 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int, source: str = "caller",
     return reached
 
 
-def unresolved_from(reached: DataFrame, edges: DataFrame) -> DataFrame:
-    """seed, unresolved: calls without a known callee at nodes that were reached: a forward answer is complete only at 0."""
-    return edges.where("callee is null").join(reached, F.col("caller") == F.col("node")).groupBy("seed").agg(F.count(F.lit(1)).alias("unresolved"))
+def unresolved_from(reached: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """seed, unresolved: calls without a known callee at nodes that a walk of this depth went on from: a forward answer is complete only at 0."""
+    return edges.where("callee is null").join(reached.where(F.col("depth") < depth), F.col("caller") == F.col("node")).groupBy("seed").agg(F.count(F.lit(1)).alias("unresolved"))
 
 
 def callers(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -47,12 +49,11 @@ def walked_edges(reached: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return edges.join(reached.where(F.col("depth") < depth).select("seed", F.col("node").alias("caller")), "caller").where("callee is not null")
 
 
-def closure(edges: DataFrame, source: str, target: str, limit: int = 64) -> DataFrame:
-    """source, target of the transitive closure, at most limit rounds."""
-    step = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct()
-    known = written(step)
-    fresh = known
-    for _ in range(limit):
+def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """source, target of the transitive closure, in as many rounds as the longest path has steps."""
+    step = written(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct())
+    known = fresh = step
+    while True:
         further = fresh.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
         fresh = written(further.join(known, ["a", "b"], "left_anti"))
         if not fresh.limit(1).count():
@@ -61,7 +62,7 @@ def closure(edges: DataFrame, source: str, target: str, limit: int = 64) -> Data
     return known.select(F.col("a").alias(source), F.col("b").alias(target))
 
 
-def macro_fixpoint(regions: DataFrame, expansions: DataFrame, limit: int = 16) -> DataFrame:
+def macro_fixpoint(regions: DataFrame, expansions: DataFrame) -> DataFrame:
     """usr, round of the macros expanded in regions (path, start_line, end_line), or in the bodies of such macros.
 
     expansions: usr, path, line, body_path, body_start, body_end.
@@ -69,7 +70,7 @@ def macro_fixpoint(regions: DataFrame, expansions: DataFrame, limit: int = 16) -
     sites = expansions.select("usr", "path", F.col("line").alias("site_start"), F.col("line").alias("site_end"))
     bodies = expansions.select("usr", F.col("body_path").alias("path"), F.col("body_start").alias("start_line"), F.col("body_end").alias("end_line")).where("path is not null").distinct()
     known, seeds = None, regions.select("path", "start_line", "end_line")
-    for hop in range(limit):
+    for hop in itertools.count():
         found = overlapping(seeds, sites, ["path"], ("start_line", "end_line"), ("site_start", "site_end")).select("usr").distinct()
         fresh = written((found if known is None else found.join(known, "usr", "left_anti")).select("usr", F.lit(hop).alias("round")))
         if not fresh.limit(1).count():

@@ -2,69 +2,79 @@
 
 Spark has no strategy for them, so both sides are dealt to buckets of the
 line number and joined on key and bucket, with the exact test as residual. An
-interval goes to the finest of LEVELS widths in which it spans few buckets, a
-point probes every level: no interval is copied more than SPAN + 1 times
+interval goes to the finest of the level widths in which it spans few buckets, a
+point probes every level: no interval is copied more than SPAN + 1 times a level
 however long it is, and a hot key is spread over its buckets.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, SPAN, LEVELS = 16, 16, 5
+#: Widths of the levels, and the buckets that an interval spans at most at its own.
+WIDTHS, SPAN = (16, 256, 4_096, 65_536, 2**24, 2**40), 16
 
 
-def _level(start: Column, end: Column, width: int) -> Column:
-    found = F.lit(LEVELS - 1)
-    for level in reversed(range(LEVELS - 1)):
-        found = F.when(end - start <= width * SPAN**level * SPAN, F.lit(level)).otherwise(found)
+def _level(start: Column, end: Column) -> Column:
+    """The finest level at which an interval spans few buckets."""
+    found = F.lit(len(WIDTHS) - 1)
+    for level in reversed(range(len(WIDTHS) - 1)):
+        found = F.when(end - start <= WIDTHS[level] * SPAN, F.lit(level)).otherwise(found)
     return found
 
 
-def _size(level: Column, width: int) -> Column:
-    return F.element_at(F.array(*[F.lit(width * SPAN**i).cast("long") for i in range(LEVELS)]), level + 1)
+def _width(level: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(w).cast("long") for w in WIDTHS]), level + 1)
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str, start: str, end: str, how: str = "inner", width: int = WIDTH) -> DataFrame:
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return functools.reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in zip(left, right, strict=True)])
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str, start: str, end: str, how: str = "inner") -> DataFrame:
     """points joined to the intervals (closed) of the same key that hold them; how: inner, left, left_semi or left_anti.
 
     Null keys, points and ends join nothing. Columns of both sides stay, the keys once.
     """
-    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, range(LEVELS))))).withColumn("__bucket", F.floor(F.col(point).cast("long") / _size(F.col("__level"), width)))
-    i = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", _level(F.col(start).cast("long"), F.col(end).cast("long"), width))
-    size = _size(F.col("__level"), width)
-    first, last = F.floor(F.col(start).cast("long") / size), F.floor(F.col(end).cast("long") / size)
-    i = i.withColumn("__bucket", F.explode(F.sequence(first, last)))
+    if how != "inner":
+        # key and point decide: they are looked up once each, and no row needs a number
+        keys = points.select(*on, point).distinct()
+        found = points_in_intervals(keys, intervals, on, point, start, end)
+        return points.join(found if how == "left" else found.select(*on, point).distinct(), [*on, point], how)
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, range(len(WIDTHS)))))).withColumn("__bucket", F.floor(F.col(point).cast("long") / _width(F.col("__level"))))
+    i = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", _level(F.col(start).cast("long"), F.col(end).cast("long")))
+    width = _width(F.col("__level"))
+    i = i.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(start).cast("long") / width), F.floor(F.col(end).cast("long") / width))))
     keys = [*on, "__level", "__bucket"]
-    inside = i.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    test = [F.col(k) == F.col(f"__r_{k}") for k in keys] + [F.col(point).between(F.col(start), F.col(end))]
-    condition = test[0]
-    for t in test[1:]:
-        condition = condition & t
     rest = [f"__r_{k}" for k in keys]
-    if how == "inner":
-        return p.join(inside, condition).drop("__level", "__bucket", *rest)
-    # each point was copied once per level: decide on the points themselves
-    marked = points.withColumn("__row", F.monotonically_increasing_id())
-    found = points_in_intervals(marked.select("__row", *on, point), intervals, on, point, start, end, width=width)
-    if how in ("left_semi", "left_anti"):
-        return marked.join(found.select("__row").distinct(), "__row", how).drop("__row")
-    return marked.join(found.drop(*on, point), "__row", "left").drop("__row")
+    inside = i.withColumnsRenamed(dict(zip(keys, rest, strict=True)))
+    return p.join(inside, _same(keys, rest) & F.col(point).between(F.col(start), F.col(end))).drop("__level", "__bucket", *rest)
 
 
-def overlapping(left: DataFrame, right: DataFrame, on: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str], width: int = 256) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, on: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
     """Pairs of closed intervals of the same key that overlap, each once.
 
-    Both are dealt to buckets; a pair counts in the bucket of its common start.
+    An interval is at home at its own level and a guest at all coarser ones,
+    where it spans two buckets at most. A pair meets at the coarser of its
+    levels, where one is at home, in the bucket of its common start.
     """
+
+    def spread(d: DataFrame, s: str, e: str, side: str) -> DataFrame:
+        first, last = F.col(s).cast("long"), F.col(e).cast("long")
+        at = d.where(F.col(s) <= F.col(e)).withColumn(f"__{side}_home", _level(first, last))
+        at = at.withColumn("__level", F.explode(F.sequence(F.col(f"__{side}_home"), F.lit(len(WIDTHS) - 1))))
+        width = _width(F.col("__level"))
+        return at.withColumn("__bucket", F.explode(F.sequence(F.floor(first / width), F.floor(last / width))))
+
     (ls, le), (rs, re_) = left_range, right_range
-    spread = lambda d, s, e: d.where(F.col(s) <= F.col(e)).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
-    joined = spread(left, ls, le).join(spread(right, rs, re_), [*on, "__bucket"])
-    here = F.col("__bucket") == F.floor(F.greatest(F.col(ls), F.col(rs)) / width)
-    return joined.where((F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le)) & here).drop("__bucket")
+    joined = spread(left, ls, le, "l").join(spread(right, rs, re_, "r"), [*on, "__level", "__bucket"])
+    meet = F.col("__level") == F.greatest("__l_home", "__r_home")
+    here = F.col("__bucket") == F.floor(F.greatest(F.col(ls), F.col(rs)).cast("long") / _width(F.col("__level")))
+    return joined.where(meet & here & (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))).drop("__level", "__bucket", "__l_home", "__r_home")
 
 
 def innermost(points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str, start: str, end: str, point_id: str, interval_id: str) -> DataFrame:

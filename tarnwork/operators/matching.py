@@ -1,18 +1,20 @@
 """Matching findings to truths: candidate pairs by a range join, then a greedy one-to-one choice.
 
 Truths choose in their given order, each the nearest finding still free, of
-equals that with the smaller id. Only contested pairs reach Python, case by
-case; a case's pairs are bounded by its truths and the tolerance.
+equals that with the smaller id. As all findings rank the truths alike, pairs
+that are first for each other can be settled together, round by round.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regions import line_distance
 from ..functions.weakness import equivalent
+from ..plans.scratch import written
 from ..values import LINE_TOLERANCE
 from .intervals import points_in_intervals
 
@@ -35,24 +37,26 @@ def candidate_pairs(truths: DataFrame, findings: DataFrame, on: tuple[str, ...]
     return found.select("case_id", "truth", "finding_id", line_distance(F.col("line"), F.col("start_line"), F.col("end_line")).cast("long").alias("distance"))
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    taken: set = set()
-    chosen = []
-    for truth, group in pairs.sort_values(["truth", "distance", "finding_id"]).groupby("truth", sort=True):
-        for finding in group["finding_id"]:
-            if finding not in taken:
-                taken.add(finding)
-                chosen.append((truth, finding))
-                break
-    out = pd.DataFrame(chosen, columns=["truth", "finding_id"])
-    return out.assign(case_id=pairs["case_id"].iloc[0])[["case_id", "truth", "finding_id"]]
-
-
 def match_one_to_one(pairs: DataFrame) -> DataFrame:
-    """case_id, truth, finding_id: at most one pair per truth and per finding."""
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("case_id", "truth", "finding_id"))
-    return pairs.groupBy("case_id").applyInPandas(lambda pdf: _greedy(pdf), schema)
+    """case_id, truth, finding_id: at most one pair per truth and per finding.
+
+    In rounds: a truth's nearest finding still free is its own if no earlier
+    truth may have that finding too. Pairs of truths and findings so decided
+    go, and every round decides the earliest truth of each case at least, and
+    all others that no such chain runs through. A case is never one task.
+    """
+    left = written(pairs.select("case_id", "truth", "finding_id", "distance").distinct())
+    chosen: list[DataFrame] = []
+    while left.limit(1).count():
+        best = left.groupBy("case_id", "truth").agg(F.min(F.struct("distance", "finding_id")).alias("b")).select("case_id", "truth", F.col("b.finding_id").alias("finding_id"))
+        first = left.groupBy("case_id", "finding_id").agg(F.min("truth").alias("truth"))
+        mutual = written(best.join(first, ["case_id", "truth", "finding_id"]))
+        chosen.append(mutual)
+        rest = left.join(mutual.select("case_id", "truth"), ["case_id", "truth"], "left_anti")
+        left = written(rest.join(mutual.select("case_id", "finding_id"), ["case_id", "finding_id"], "left_anti"))
+    if not chosen:
+        return left.select("case_id", "truth", "finding_id")
+    return functools.reduce(DataFrame.unionByName, chosen).select("case_id", "truth", "finding_id")
 
 
 def outcomes(truths: DataFrame, findings: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder the cluster names, or to one of our own where none is set (tests)."""
+    """df checkpointed to the folder the cluster names, or to one of our own where none is set and all runs on this machine (tests)."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnwork-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tarnwork-"))
     return df.checkpoint()

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import random
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -26,6 +29,45 @@ def test_message_loses_what_moves(spark):
     assert one(spark, ids.normalize_message(F.col("m")), m=once) == once
 
 
+def plain_message(m):
+    m = re.sub(r"(?i)(?:[\w.\-]+/)*[\w.\-]+\.(?:c|h|cc|cpp|cxx|hpp|hh|hxx|inc|ipp)\b", "<path>", m)
+    m = re.sub("'[^']*'|\"[^\"]*\"|`[^`]*`|‘[^’]*’", "<id>", m)
+    m = re.sub(r"\b0[xX][0-9a-fA-F]+\b|\b\d+\b", "<n>", m)
+    return re.sub(r"\s+", " ", m).strip().lower().rstrip(" .;:")
+
+
+def test_message_equals_plain_patterns(spark):
+    rng = random.Random(6)
+    pieces = ["a", "b.c", "/", "//", "/x.h", ".", "..", "-", " ", "'", '"', "`", "‘", "’", "12", "0x1f", "é.cpp", "x.cc/y", ".h", "c", "_", ";", ":", "\n", "a/b/", "z.inc2", "q.H"]
+    made = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(3000)]
+    table = spark.createDataFrame([(m,) for m in made], "m string").select("m", ids.normalize_message(F.col("m")).alias("n"))
+    for r in table.collect():
+        assert r["n"] == plain_message(r["m"]), r["m"]
+
+
+def test_very_long_messages(spark):
+    n = 1_000_000
+    long = {"segments": "a/" * n, "word": "x" * n, "dots": "." * n + "x", "quotes": "‘" * n, "mixed": "a//" * (n // 3), "numbers": "1" * n + "x", "path": "a/" * n + "b.c"}
+    table = spark.createDataFrame(list(long.items()), "k string, m string").repartition(7)
+    got = {r["k"]: r["n"] for r in table.select("k", ids.normalize_message(F.col("m")).alias("n")).collect()}
+    assert got["path"] == "<path>" and got["segments"] == "a/" * n and got["quotes"] == "‘" * n and got["dots"] == long["dots"]
+    assert table.select(F.sum(F.char_length(text.mask_paths(F.col("m"), r"^secret/")))).first()[0] == sum(map(len, long.values()))
+    assert not table.select(F.bool_or(paths.matches_any(F.col("m"), ["**/none/*.z"]))).first()[0]
+
+
+def test_canonical_hash_sorts_keys_and_keeps_nulls(spark):
+    kind = "b int, a struct<z:string,y:array<struct<d:int,c:string>>>, m map<string,int>"
+    df = spark.createDataFrame([(None, ("é", [(None, "q"), (2, None)]), {"k2": 1, "k1": None})], kind)
+    got = df.select(ids.canonical_hash(F.struct("b", "a", "m"), df.schema).alias("h")).first()["h"]
+    want = {"b": None, "a": {"z": "é", "y": [{"d": None, "c": "q"}, {"d": 2, "c": None}]}, "m": {"k2": 1, "k1": None}}
+    assert got == hashlib.sha256(json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    other = df.select("m", "a", "b")
+    assert other.select(ids.canonical_hash(F.struct("m", "a", "b"), other.schema).alias("h")).first()["h"] == got
+    made = spark.createDataFrame([(f"c{i % 3}", i, None if i % 2 else "x") for i in range(20)], "case_id string, n int, s string")
+    a, b = ids.set_hash(made, "case_id", ["n"]).first(), ids.set_hash(made.repartition(5).orderBy(F.desc("n")), "case_id", ["n"]).first()
+    assert a == b and a["members"] == 3 and ids.set_hash(made.where("n <> 7"), "case_id", ["n"]).first()["hash"] != a["hash"]
+
+
 def test_fingerprint_ignores_place_and_id_does_not(spark):
     f = lambda line: one(spark, ids.finding_id(F.lit("CWE-1"), F.lit("a.c"), F.lit(None).cast("string"), F.col("m"), F.lit(line), F.lit(line + 1)), m="x 1")
     assert f(1) != f(2) and f(1).startswith("finding-") and len(f(1)) == len("finding-") + 16

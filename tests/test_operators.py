@@ -32,6 +32,75 @@ def test_interval_joins_equal_brute_force(spark):
     assert sorted((x["sid"], x["sid2"]) for x in over.collect()) == sorted((a[0], b[0]) for a in spans for b in spans if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
 
 
+def test_intervals_of_any_length_and_all_join_kinds(spark):
+    rng = random.Random(14)
+    long = lambda: 2 ** rng.randint(0, 40)
+    spans = [(i, rng.choice("ab"), s := rng.randint(-50, 2**34), s + long()) for i in range(150)] + [(900, "a", 5, 4), (901, None, 0, 9)]
+    points = [(i % 90, rng.choice("ab"), rng.randint(-50, 2**34)) for i in range(200)] + [(999, None, 5), (998, "a", None)]
+    p, q = spark.createDataFrame(points, "pid long, path string, line long"), spark.createDataFrame(spans, "sid long, path string, s long, e long")
+    inside = [(a, b) for a in points for b in spans if a[1] == b[1] and None not in a and b[2] <= a[2] <= b[3]]
+    join = lambda how: [tuple(r) for r in intervals.points_in_intervals(p.repartition(7), q, ["path"], "line", "s", "e", how).select("pid", "line", *(["sid"] if how in ("inner", "left") else [])).collect()]
+    assert sorted(join("inner")) == sorted((a[0], a[2], b[0]) for a, b in inside)
+    hit = {a for a, _ in inside}
+    assert sorted(join("left_semi")) == sorted((a[0], a[2]) for a in points if a in hit)
+    assert sorted(join("left_anti"), key=repr) == sorted(((a[0], a[2]) for a in points if a not in hit), key=repr)
+    assert len(join("left")) == len(inside) + sum(a not in hit for a in points)
+    r = q.selectExpr("sid as sid2", "path", "s as s2", "e as e2")
+    over = intervals.overlapping(q, r, ["path"], ("s", "e"), ("s2", "e2"))
+    assert sorted((x["sid"], x["sid2"]) for x in over.collect()) == sorted((a[0], b[0]) for a in spans for b in spans if a[1] and a[1] == b[1] and a[2] <= a[3] and b[2] <= b[3] and a[2] <= b[3] and b[2] <= a[3])
+
+
+def test_merging_equals_a_plain_fold(spark):
+    rng = random.Random(21)
+    made = [(f"f{rng.randint(0, 2)}", rng.randint(0, 120), rng.choice(["s", "t", "u", None, None]), f"c{i:03d}", rng.choice("xyz")) for i in range(400)]
+    want, clusters = {}, {}
+    for fp, line, symbol in sorted({m[:3] for m in made}, key=lambda m: (m[0], m[1], m[2] is None, m[2] or "")):
+        for c in clusters.setdefault(fp, []):
+            if (symbol == c[1]) if None not in (symbol, c[1]) else abs(line - c[0]) <= 12:
+                break
+        else:
+            clusters[fp].append(c := (line, symbol))
+        want[fp, line, symbol] = c
+    merged: dict = {}
+    for m in made:
+        merged.setdefault((m[0], *want[m[:3]]), []).append(m)
+    expected = []
+    for (fp, *_), group in merged.items():
+        group.sort(key=lambda m: (m[1], m[3], m[4]))
+        expected.append((fp, group[0][1], group[0][3], len(group), list(dict.fromkeys(m[4] for m in group))))
+    got = dedup.merge_candidates(spark.createDataFrame(made, "fingerprint string, line int, symbol string, candidate_id string, tool string").repartition(5))
+    assert rows(got) == sorted(expected, key=repr)
+
+
+def test_matching_equals_a_plain_choice(spark):
+    rng = random.Random(5)
+    pairs = sorted({(rng.choice("ab"), rng.randint(0, 40), rng.randint(0, 30)) for _ in range(300)})
+    given = [(c, t, f, (t * 7 + f * 3) % 5) for c, t, f in pairs]
+    want = []
+    for case in "ab":
+        taken = set()
+        for t in sorted({p[1] for p in given if p[0] == case}):
+            free = [(p[3], p[2]) for p in given if p[:2] == (case, t) and p[2] not in taken]
+            if free:
+                taken.add(min(free)[1])
+                want.append((case, t, min(free)[1]))
+    got = matching.match_one_to_one(spark.createDataFrame(given, "case_id string, truth int, finding_id int, distance long"))
+    assert rows(got) == sorted(want, key=repr) and matching.match_one_to_one(got.withColumn("distance", F.lit(0).cast("long")).limit(0)).count() == 0
+
+
+def test_closure_and_macros_run_to_the_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(75)], "a int, b int")
+    assert graph.closure(chain, "a", "b").count() == 75 * 76 // 2
+    nested = spark.createDataFrame([(f"m{i}", "f.c" if i == 0 else "m.h", 3 if i == 0 else 100 * i, "m.h", 100 * (i + 1), 100 * (i + 1)) for i in range(20)], "usr string, path string, line int, body_path string, body_start int, body_end int")
+    assert graph.macro_fixpoint(spark.createDataFrame([("f.c", 1, 5)], "path string, start_line int, end_line int"), nested).count() == 20
+
+
+def test_quotations_are_compared_by_byte(spark):
+    answers = spark.createDataFrame([("c1", [("e1", "F"), ("e1", "d"), ("e1", "é"), ("e2", "x"), ("e1", None)])], "candidate_id string, quotations array<struct<evidence_id:string,text:string>>")
+    captured = spark.createDataFrame([("c1", "e1", bytearray("abcdfé".encode()))], "candidate_id string, evidence_id string, captured binary")
+    assert rows(gate.quotations(answers, captured), "subject") == [("e1",), ("e1",), ("e2",)]
+
+
 def test_one_truth_takes_one_finding(spark):
     truths = spark.createDataFrame([("c", "a.c", 0, 10, "CWE-787", "f", "vulnerable"), ("c", "a.c", 1, 11, "CWE-787", "f", "vulnerable"), ("c", "a.c", 2, 10, "CWE-787", "f", "fixed")], "case_id string, path string, truth int, line int, cwe string, family string, variant string")
     findings = spark.createDataFrame([("c", "a.c", "z", 11, 11, "CWE-121", "f"), ("c", "a.c", "y", 30, 30, "CWE-787", "f")], "case_id string, path string, finding_id string, start_line int, end_line int, cwe string, family string")
@@ -87,7 +156,8 @@ def test_walks(spark):
     seed = spark.createDataFrame([("a",)], "node string")
     down = graph.walk(seed, e, 2)
     assert rows(down) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
-    assert rows(graph.unresolved_from(down, e)) == [("a", 1)]
+    assert rows(graph.unresolved_from(down, e, 2)) == [("a", 1)]
+    assert rows(graph.unresolved_from(graph.walk(seed, e, 1), e, 1)) == []
     up = {(r["node"], r["depth"], r["unresolved"]) for r in graph.callers(seed, e, 1).collect()}
     assert up == {("a", 0, 1), ("c", 1, 1), ("x", 1, 1)}
     assert rows(graph.walked_edges(down, e, 2), "caller", "callee") == [("a", "b"), ("b", "c")]
