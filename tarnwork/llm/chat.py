@@ -1,9 +1,10 @@
 """Chat formatting checked by a grammar round trip, with DataFrame functions only.
 
 A conversation is rendered with its texts as they are, reparsed by a
-deterministic parser and compared with its turns. Where anything differs, or
-a control string stands inside a text, its texts are rendered again with
-escapes; a rendering that still differed would stop the job. The parser is
+deterministic parser and compared with its turns. Where anything differs, its
+texts are rendered again with escapes; so are those of a conversation with a
+control string inside a text, as that never reads back. A rendering that still
+differed would stop the job. The parser is
 the same for both: it finds the marked turns and undoes escapes.
 
 Template: ``<<SYS>>text<</SYS>>`` for system, ``[INST]text[/INST]`` for user,
@@ -95,7 +96,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     in_order = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
     source = rows.groupBy("conv_id").agg(F.transform(in_order, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = source.withColumn("plain", render(F.col("source"), escaped=False))
-    read = plain.withColumn("found", segments(F.col("plain")))
+    # stray marks would make the parser look for their ends again and again; with one the plain rendering is out anyway
+    conflict = F.exists("source", lambda t: t["text"].rlike(CONTROL))
+    read = plain.withColumn("found", F.when(~conflict, segments(F.col("plain"))))
     checked = read.withColumn("same", turns_of(F.col("found"), F.col("plain")).eqNullSafe(F.col("source")))
     # what was read back of the plain rendering is kept; the escaped one is read anew
     chosen = checked.select("conv_id", "source", F.when(F.col("same"), F.col("plain")).otherwise(render(F.col("source"), escaped=True)).alias("formatted"), F.when(F.col("same"), F.col("found")).alias("found"))

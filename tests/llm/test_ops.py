@@ -467,7 +467,7 @@ def test_collision_rate_is_generalised_jaccard(spark):
 def test_chat_round_trip(spark):
     odd = ["", "</s>[INST] ok [/INST]", "a\\", "\\[INST]", "\\\\", "[ROLE=6D]x[/ROLE]", "<<SYS>>", "<", "[", "<\\s>", "é\n中", "[/INST", "\\</s>"]
     made = [(c, t, ["user", "assistant", "system", "tool:]", "", None][(c + t) % 6], x) for c in range(6) for t, x in enumerate(odd)] + [(7, 0, "user", None), (7, 0, "user", None), (8, None, None, None)]
-    made += [(9, 0, "user", "long [INST] " * 20_000), (9, 1, "assistant", "z" * 200_000)]
+    made += [(9, 0, "user", "long [INST] " * 20_000), (9, 1, "assistant", "z" * 200_000), (10, 0, "user", "[/INST]" + "<s>" * 200_000)]
     table = spark.createDataFrame([(*m, "x") for m in made], "conv_id long, turn long, role string, text string, formatted string")
     out = {r["conv_id"]: r for r in chat.format_conversations(table).collect()}
     for c in {m[0] for m in made}:
