@@ -75,7 +75,7 @@ def on_flow_path(region: Column, flow: Column) -> Column:
 
 def count_code_lines(text: Column) -> Column:
     """Lines that are not blank and not only comment, block comments followed across lines."""
-    lines = F.transform(F.split(text, "\r\n|\r|\n"), F.trim)
+    lines = F.transform(F.split(text, "\r\n|\r|\n"), lambda x: F.trim(x))
     start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("block"))
 
     def step(s: Column, line: Column) -> Column:

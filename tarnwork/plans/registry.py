@@ -31,11 +31,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _all() -> None:
+    """The other modules add their queries when they are imported."""
+    from . import function_queries, relation_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -555,13 +562,6 @@ def diagnostic_lines(s: SparkSession, d: str) -> DataFrame:
     return lines.where(F.col("line").rlike('^a href="([^"]*)"')).select("page_id", "pos", F.regexp_extract("line", '^a href="([^"]*)"', 1).alias("path"))
 
 
-@query("redact_stock", "SELECT doc_id, 0::BIGINT AS redactions FROM documents WHERE false")
-def redact_stock(s: SparkSession, d: str) -> DataFrame:
-    found = t(s, d, "documents").select("doc_id", text.scrub(F.col("text")).alias("r"))
-    total = F.aggregate(F.map_values("r.counts"), F.lit(0).cast("long"), lambda n, x: n + x)
-    return found.select("doc_id", total.alias("redactions")).where("redactions > 0")
-
-
 #: A declared list of other rules: kind, pattern, group.
 CUSTOM_RULES = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0),
@@ -770,14 +770,6 @@ def usage_by_tier(s: SparkSession, d: str) -> DataFrame:
     return budget.usage_by_tier(e, ["input_tokens"])
 
 
-@query(
-    "code_lines",
-    """SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '//') AND NOT starts_with(trim(x), '/*')))::BIGINT AS code_lines FROM documents WHERE text IS NOT NULL AND NOT contains(text, '/*')""",
-)
-def code_lines(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "documents").where("text is not null and not contains(text, '/*')").select("doc_id", regions.count_code_lines(F.col("text")).alias("code_lines"))
-
-
 @query(
     "url_language",
     "SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS language, regexp_matches(url, '\\.html') AS is_html FROM pages",
