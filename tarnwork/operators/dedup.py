@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from ..values import MERGE_TOLERANCE
 
 
-def sort_candidates(candidates: DataFrame) -> DataFrame:
+def candidate_order() -> list[Column]:
     """The order of merging and reports."""
-    return candidates.orderBy("path", "start_line", "start_byte", "end_line", "candidate_id")
+    return [F.col(c) for c in ("path", "start_line", "start_byte", "end_line", "candidate_id")]
+
+
+def sort_candidates(candidates: DataFrame) -> DataFrame:
+    return candidates.orderBy(*candidate_order())
 
 
 def visit_order(candidates: DataFrame) -> DataFrame:

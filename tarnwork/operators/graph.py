@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
@@ -112,5 +112,10 @@ def longest_prefix(values: DataFrame, value: str, prefixes: DataFrame, prefix: s
     return values.join(best, value, "left")
 
 
+def edge_order() -> list[Column]:
+    """The order of edges in reports; an unresolved one is before the others of its caller."""
+    return [F.col("caller"), F.coalesce("callee", F.lit("")), *[F.col(c) for c in ("path", "start_line", "start_byte", "end_line", "end_byte", "kind")]]
+
+
 def sorted_edges(edges: DataFrame) -> DataFrame:
-    return edges.orderBy("caller", F.coalesce("callee", F.lit("")), "path", "start_line", "start_byte", "end_line", "end_byte", "kind")
+    return edges.orderBy(*edge_order())

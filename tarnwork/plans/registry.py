@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import build, ids, paths, ranks, regions, text, weakness
-from ..operators import budget, dedup, gate, graph, intake, intervals, matching, metrics, quality, resolution
+from ..operators import budget, dedup, gate, graph, intake, intervals, lookups, matching, metrics, quality, resolution
+from ..sources import diagnostics, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -148,11 +148,14 @@ def miscalibration(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "pooled_calibration",
-    f"WITH {_BINS} SELECT place, confidence, 2 * count::BIGINT AS count, 2 * correct::BIGINT AS correct, accuracy FROM acc",
+    """WITH x AS (SELECT CASE WHEN n_chars >= 3000 THEN 'high' WHEN n_chars >= 1000 THEN 'medium' ELSE 'review_required' END AS confidence, quality = 1 AS truth FROM labels JOIN documents USING (doc_id)
+      UNION ALL SELECT CASE WHEN l_returnflag = 'A' THEN 'high' ELSE 'medium' END, l_tax > 0.04 FROM lineitem),
+    n AS (SELECT place, l.confidence, count(x.confidence) AS count, count(*) FILTER (x.truth) AS correct FROM (VALUES (0, 'high'), (1, 'medium'), (2, 'review_required')) l(place, confidence) LEFT JOIN x USING (confidence) GROUP BY ALL)
+    SELECT *, CASE WHEN count = 0 THEN 1.0 ELSE correct::DOUBLE / count::DOUBLE END AS accuracy FROM n""",
 )
 def pooled_calibration(s: SparkSession, d: str) -> DataFrame:
-    bins = calibration_bins(s, d)
-    return quality.pooled(bins, bins)
+    other = t(s, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", "high").otherwise("medium").alias("confidence"), (F.col("l_tax") > 0.04).alias("truth"))
+    return quality.pooled(calibration_bins(s, d), quality.reliability(other))
 
 
 _LEVEL = "CASE WHEN {c} % 4 = 0 THEN 'critical' WHEN {c} % 4 = 1 THEN 'high' WHEN {c} % 4 = 2 THEN 'medium' ELSE 'low' END"
@@ -306,31 +309,44 @@ def _hour(c: str):
 
 
 _MERGE = """
-WITH RECURSIVE e AS (SELECT user_id || ':' || event_type AS fingerprint, floor(epoch(ts) / 3600)::BIGINT AS line, event_id FROM events),
-places AS (SELECT fingerprint, line, row_number() OVER (PARTITION BY fingerprint ORDER BY line) AS k FROM (SELECT DISTINCT fingerprint, line FROM e)),
+WITH RECURSIVE e AS (
+  SELECT user_id || ':' || event_type AS fingerprint, floor(epoch(ts) / 3600)::BIGINT AS line, event_id, CASE WHEN event_type = 'view' THEN (event_id % 3)::VARCHAR END AS symbol, 't' || (event_id % 2) AS tool FROM events
+),
+places AS (SELECT fingerprint, line, row_number() OVER (PARTITION BY fingerprint ORDER BY line) AS k FROM (SELECT DISTINCT fingerprint, line FROM e WHERE symbol IS NULL)),
 fold AS (
   SELECT fingerprint, k, line, line AS cluster FROM places WHERE k = 1
   UNION ALL
   SELECT p.fingerprint, p.k, p.line, CASE WHEN p.line - f.cluster <= 12 THEN f.cluster ELSE p.line END FROM fold f JOIN places p ON p.fingerprint = f.fingerprint AND p.k = f.k + 1
-)
-SELECT fingerprint, min(line) AS line, arg_min(event_id, (line, event_id)) AS candidate_id, count(*) AS merged FROM e JOIN fold USING (fingerprint, line) GROUP BY fingerprint, cluster"""
+), clustered AS (
+  SELECT e.*, cluster::VARCHAR AS c FROM e JOIN fold USING (fingerprint, line) WHERE symbol IS NULL UNION ALL SELECT e.*, 's' || symbol FROM e WHERE symbol IS NOT NULL
+), tools AS (SELECT fingerprint, c, tool, min((line, event_id)) AS first FROM clustered GROUP BY ALL)
+SELECT fingerprint, min(line) AS line, arg_min(event_id, (line, event_id)) AS candidate_id, count(*) AS merged, any_value(tools) AS tools
+FROM clustered JOIN (SELECT fingerprint, c, string_agg(tool, ',' ORDER BY first) AS tools FROM tools GROUP BY ALL) USING (fingerprint, c) GROUP BY fingerprint, c"""
 
 
 @query("merge_greedy", _MERGE)
 def merge_greedy(s: SparkSession, d: str) -> DataFrame:
-    e = t(s, d, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("fingerprint"), _hour("ts").alias("line"), F.lit(None).cast("string").alias("symbol"), F.col("event_id").alias("candidate_id"), F.lit("tool").alias("tool"))
-    return dedup.merge_candidates(e).drop("tools")
+    symbol = F.when(F.col("event_type") == "view", (F.col("event_id") % 3).cast("string"))
+    tool = F.concat(F.lit("t"), (F.col("event_id") % 2).cast("string"))
+    e = t(s, d, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("fingerprint"), _hour("ts").alias("line"), symbol.alias("symbol"), F.col("event_id").alias("candidate_id"), tool.alias("tool"))
+    return dedup.merge_candidates(e).withColumn("tools", F.array_join("tools", ","))
+
+
+_FOUND = ("CWE-121", "CWE-787", "CWE-416")
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    e = t(s, d, "events").select(F.col("user_id").alias("case_id"), F.lit("log").alias("path"), "event_id", "event_type", _hour("ts").alias("line"))
-    truths = e.where("event_type = 'purchase'").select("case_id", "path", F.col("event_id").alias("truth"), "line")
-    findings = e.where("event_type = 'click'").select("case_id", "path", F.col("event_id").alias("finding_id"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
-    return matching.candidate_pairs(truths, findings, check_cwe=False)
+    path = F.concat(F.lit("log"), (F.col("event_id") % 2).cast("string"))
+    e = t(s, d, "events").select(F.col("user_id").alias("case_id"), path.alias("path"), "event_id", "event_type", _hour("ts").alias("line"))
+    truths = e.where("event_type = 'purchase'").select("case_id", "path", F.col("event_id").alias("truth"), "line", F.when(F.col("event_id") % 3 == 0, "CWE-416").otherwise("CWE-787").alias("cwe"), F.when(F.col("event_id") % 7 == 0, "fixed").alias("variant"))
+    found = F.element_at(F.array(*map(F.lit, _FOUND)), (F.col("event_id") % 3 + 1).cast("int"))
+    findings = e.where("event_type = 'click'").select("case_id", "path", F.col("event_id").alias("finding_id"), F.col("line").alias("start_line"), (F.col("line") + F.col("event_id") % 4).alias("end_line"), found.alias("cwe"))
+    return matching.candidate_pairs(truths, findings)
 
 
-_PAIRS = """e AS (SELECT user_id AS case_id, event_id, event_type, floor(epoch(ts) / 3600)::BIGINT AS line FROM events),
-pairs AS (SELECT a.case_id, a.event_id AS truth, b.event_id AS finding_id, abs(a.line - b.line) AS distance FROM e a JOIN e b ON a.case_id = b.case_id AND abs(a.line - b.line) <= 3 WHERE a.event_type = 'purchase' AND b.event_type = 'click')"""
+_PAIRS = """e AS (SELECT user_id AS case_id, event_id, event_type, event_id % 2 AS path, floor(epoch(ts) / 3600)::BIGINT AS line, CASE WHEN event_id % 3 = 0 THEN 'CWE-416' ELSE 'CWE-787' END AS truth_cwe, ['CWE-121','CWE-787','CWE-416'][(event_id % 3 + 1)::INT] AS cwe FROM events),
+pairs AS (SELECT a.case_id, a.event_id AS truth, b.event_id AS finding_id, greatest(b.line - a.line, a.line - (b.line + b.event_id % 4), 0)::BIGINT AS distance FROM e a JOIN e b ON a.case_id = b.case_id AND a.path = b.path AND a.line BETWEEN b.line - 3 AND b.line + b.event_id % 4 + 3
+  WHERE a.event_type = 'purchase' AND b.event_type = 'click' AND a.event_id % 7 <> 0 AND (a.truth_cwe = b.cwe OR (a.truth_cwe = 'CWE-787' AND b.cwe = 'CWE-121')))"""
 
 
 @query("match_candidates", f"WITH {_PAIRS} SELECT * FROM pairs")
@@ -394,7 +410,8 @@ def interval_overlap(s: SparkSession, d: str) -> DataFrame:
 
 @query("reference_lookup", "SELECT l_partkey AS usr, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS targets FROM lineitem GROUP BY 1")
 def reference_lookup(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("usr")).agg(F.array_join(F.sort_array(F.collect_set("l_suppkey")).cast("array<string>"), ",").alias("targets"))
+    found = lookups.targets_of(t(s, d, "lineitem").select(F.col("l_partkey").alias("usr"), F.col("l_suppkey").alias("target")), "usr")
+    return found.select("usr", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
 
 
 @query(
@@ -419,12 +436,12 @@ def metrics_delta(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "manifest_diff",
-    """WITH a AS (SELECT c_nationkey::VARCHAR AS key, max(c_mktsegment) AS v FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), b AS (SELECT c_nationkey::VARCHAR AS key, max(c_mktsegment) AS v FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1)
+    """WITH a AS (SELECT c_nationkey::VARCHAR AS key, (count(*) % 3)::VARCHAR AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey::VARCHAR AS key, (count(*) % 3)::VARCHAR AS v FROM supplier GROUP BY 1)
     SELECT key, a.v AS left, b.v AS right FROM a FULL JOIN b USING (key) WHERE a.v IS DISTINCT FROM b.v""",
 )
 def manifest_diff(s: SparkSession, d: str) -> DataFrame:
-    side = lambda n: t(s, d, "customer").where(F.col("c_custkey") % n == 0).groupBy(F.col("c_nationkey").cast("string").alias("key")).agg(F.max("c_mktsegment").alias("v"))
-    return metrics.differing(side(2), side(3), "key", "v")
+    side = lambda name, key: t(s, d, name).groupBy(F.col(key).cast("string").alias("key")).agg((F.count(F.lit(1)) % 3).cast("string").alias("v"))
+    return metrics.differing(side("customer", "c_nationkey"), side("supplier", "s_nationkey"), "key", "v")
 
 
 _GRAPH = "edges AS (SELECT DISTINCT 'p' || l_partkey AS caller, 's' || l_suppkey AS callee FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"
@@ -507,15 +524,15 @@ _RANKS = "list_position(['critical','high','medium','low'], {a}) - 1"
 
 @query(
     "rank_findings",
-    f"""WITH x AS (SELECT l_partkey AS case_id, l_orderkey * 10 + l_linenumber AS finding_id, {_LEVEL.format(c='l_linenumber')} AS severity, l_returnflag, l_suppkey % 3 AS agreement, l_orderkey % 3 AS effort FROM lineitem),
-    k AS (SELECT case_id, finding_id, row_number() OVER (PARTITION BY case_id ORDER BY list_position(['critical','high','medium','low'], severity), list_position(['A','N','R'], l_returnflag), -agreement, effort, finding_id) AS place FROM x)
+    f"""WITH x AS (SELECT l_partkey AS case_id, l_orderkey * 10 + l_linenumber AS finding_id, {_LEVEL.format(c='l_linenumber')} AS severity, l_returnflag, l_suppkey % 3 AS agreement, l_orderkey % 3 AS effort, l_suppkey % 2 AS reach FROM lineitem),
+    k AS (SELECT case_id, finding_id, row_number() OVER (PARTITION BY case_id ORDER BY list_position(['critical','high','medium','low'], severity), list_position(['A','N','R'], l_returnflag), reach, -agreement, effort, finding_id) AS place FROM x)
     SELECT * FROM k WHERE place <= 5""",
 )
 def rank_findings(s: SparkSession, d: str) -> DataFrame:
     level = lambda c, names: F.element_at(F.array(*map(F.lit, names)), c.cast("int") + 1)
     x = t(s, d, "lineitem").select(
         F.col("l_partkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("finding_id"),
-        ranks.rank_key(_level("l_linenumber"), F.when(F.col("l_returnflag") == "A", "high").when(F.col("l_returnflag") == "N", "medium").otherwise("review_required"), F.lit("unknown"), F.col("l_suppkey") % 3, level(F.col("l_orderkey") % 3, ("local", "function", "cross_module"))).alias("key"),
+        ranks.rank_key(_level("l_linenumber"), F.when(F.col("l_returnflag") == "A", "high").when(F.col("l_returnflag") == "N", "medium").otherwise("review_required"), F.when(F.col("l_suppkey") % 2 == 0, "argued").otherwise("unknown"), F.col("l_suppkey") % 3, level(F.col("l_orderkey") % 3, ("local", "function", "cross_module"))).alias("key"),
     )
     return dedup.top_rank(x, ["case_id"], [F.col("key"), F.col("finding_id")]).where("place <= 5").select("case_id", "finding_id", F.col("place").cast("long").alias("place"))
 
@@ -534,8 +551,8 @@ def top_per_case(s: SparkSession, d: str) -> DataFrame:
     SELECT event_id, last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS header FROM x""",
 )
 def carry_forward(s: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return t(s, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w).alias("header"))
+    mark = F.when(F.col("event_type") == "view", F.col("event_id"))
+    return lookups.carried(t(s, d, "events"), "user_id", ["ts", "event_id"], mark, "header").select("event_id", "header")
 
 
 @query(
@@ -543,23 +560,30 @@ def carry_forward(s: SparkSession, d: str) -> DataFrame:
     "WITH x AS (SELECT user_id, event_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) SELECT event_id, value < next AS out_of_order FROM x WHERE next IS NOT NULL",
 )
 def adjacent_compare(s: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(s, d, "events").select("event_id", "value", F.lead("value").over(w).alias("next")).where("next is not null").select("event_id", (F.col("value") < F.col("next")).alias("out_of_order"))
+    return lookups.out_of_order(t(s, d, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "out_of_order")
 
 
-@query("json_scan", "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+@query("json_scan", "SELECT event_id, event_type AS event, user_id::VARCHAR AS run_id, (props::JSON ->> 'k')::BIGINT AS k, 2::INT AS others FROM events")
 def json_scan(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    line = F.concat(F.lit('{"event":"'), "event_type", F.lit('","run_id":"'), F.col("user_id").cast("string"), F.lit('","policy_version":"1","event_id":'), F.col("event_id").cast("string"), F.lit(","), F.substring(F.col("props"), F.lit(2), F.char_length("props")))
+    found = records.parse_trace(t(s, d, "events").select(line.alias("value")))
+    return found.select(F.col("fields.event_id").cast("long").alias("event_id"), "event", "run_id", F.col("fields.k").cast("long").alias("k"), F.size("fields").alias("others"))
 
 
 @query(
     "diagnostic_lines",
-    r"""WITH l AS (SELECT page_id, unnest(string_split(html, '><')) AS line, generate_subscripts(string_split(html, '><'), 1) - 1 AS pos FROM pages)
-    SELECT page_id, pos::INT AS pos, regexp_extract(line, '^a href="([^"]*)"', 1) AS path FROM l WHERE regexp_matches(line, '^a href="([^"]*)"')""",
+    """WITH x AS (SELECT l_orderkey AS run, l_linenumber, l_partkey, l_returnflag, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
+    y AS (SELECT *, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY pos) AS ordinal FROM x)
+    SELECT run, ordinal::BIGINT AS ordinal, max('p' || l_partkey || '.c') FILTER (l_returnflag <> 'R') AS path, (max(l_linenumber) FILTER (l_returnflag <> 'R'))::INT AS line, max(CASE l_returnflag WHEN 'A' THEN 'error' ELSE 'warning' END) FILTER (l_returnflag <> 'R') AS severity,
+    max(CASE WHEN l_returnflag = 'N' THEN '-Wx' || (l_suppkey % 5) END) AS rule_id, (count(*) FILTER (l_returnflag = 'R'))::INT AS notes FROM y WHERE ordinal > 0 GROUP BY run, ordinal""",
 )
 def diagnostic_lines(s: SparkSession, d: str) -> DataFrame:
-    lines = t(s, d, "pages").select("page_id", F.posexplode(F.split("html", "><")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike('^a href="([^"]*)"')).select("page_id", "pos", F.regexp_extract("line", '^a href="([^"]*)"', 1).alias("path"))
+    word = F.when(F.col("l_returnflag") == "A", "fatal error").when(F.col("l_returnflag") == "N", "warning").otherwise("note")
+    rule = F.when(F.col("l_returnflag") == "N", F.concat(F.lit(" [-Wx"), (F.col("l_suppkey") % 5).cast("string"), F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".c:"), F.col("l_linenumber").cast("string"), F.lit(":3: "), word, F.lit(": it is so"), rule)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))), lambda x: x["line"])
+    runs = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(F.concat(F.lit("2 warnings generated.\n"), F.array_join(in_order, "\n")).alias("text"))
+    return diagnostics.parse_text(runs).select("run", "ordinal", "path", "line", "severity", "rule_id", F.size("notes").alias("notes"))
 
 
 #: A declared list of other rules: kind, pattern, group.
@@ -638,8 +662,7 @@ def pair_score(s: SparkSession, d: str) -> DataFrame:
 
 @query("stratified_pick", "SELECT lang, arg_min(doc_id, (md5('7:' || doc_id), doc_id)) AS doc_id FROM documents GROUP BY 1")
 def stratified_pick(s: SparkSession, d: str) -> DataFrame:
-    key = F.struct(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("h"), F.col("doc_id").alias("i"))
-    return t(s, d, "documents").groupBy("lang").agg(F.min_by("doc_id", key).alias("doc_id"))
+    return lookups.stratified_pick(t(s, d, "documents"), "lang", "doc_id", 7)
 
 
 @query(

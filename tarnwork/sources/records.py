@@ -74,13 +74,18 @@ def family_rows(report: DataFrame) -> DataFrame:
     return report.select(F.explode("per_family").alias("family", "v")).select("family", F.col("v.true_positives").alias("tp"), F.col("v.false_positives").alias("fp"), F.col("v.false_negatives").alias("fn"))
 
 
-def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a run trace (JSON lines): event, run_id, policy_version and all other fields as a map."""
-    raw = spark.read.text(path).where("trim(value) <> ''")
-    parsed = raw.select(F.from_json("value", "event string, run_id string, policy_version string").alias("e"), F.from_json("value", "map<string,string>").alias("fields"))
+def parse_trace(lines: DataFrame) -> DataFrame:
+    """Events of lines (value, JSON objects): event, run_id, policy_version and all other fields as a map."""
+    kept = lines.where("trim(value) <> ''")
+    parsed = kept.select(F.from_json("value", "event string, run_id string, policy_version string").alias("e"), F.from_json("value", "map<string,string>").alias("fields"))
     return parsed.select("e.*", F.map_filter("fields", lambda k, _: ~k.isin("event", "run_id", "policy_version")).alias("fields"))
 
 
+def read_trace(spark: SparkSession, path: str) -> DataFrame:
+    """Events of a run trace (JSON lines)."""
+    return parse_trace(spark.read.text(path))
+
+
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The fact tables of an index snapshot (one JSON document): one table per list."""
     raw = spark.read.option("multiLine", "true").json(path)
