@@ -58,23 +58,13 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[st
 def overlapping(left: DataFrame, right: DataFrame, on: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
     """Pairs of closed intervals of the same key that overlap, each once.
 
-    An interval is at home at its own level and a guest at all coarser ones,
-    where it spans two buckets at most. A pair meets at the coarser of its
-    levels, where one is at home, in the bucket of its common start.
+    Of two that do, one starts inside the other: the right one, or else the
+    left one behind the right one's start. Both are searches of points.
     """
-
-    def spread(d: DataFrame, s: str, e: str, side: str) -> DataFrame:
-        first, last = F.col(s).cast("long"), F.col(e).cast("long")
-        at = d.where(F.col(s) <= F.col(e)).withColumn(f"__{side}_home", _level(first, last))
-        at = at.withColumn("__level", F.explode(F.sequence(F.col(f"__{side}_home"), F.lit(len(WIDTHS) - 1))))
-        width = _width(F.col("__level"))
-        return at.withColumn("__bucket", F.explode(F.sequence(F.floor(first / width), F.floor(last / width))))
-
     (ls, le), (rs, re_) = left_range, right_range
-    joined = spread(left, ls, le, "l").join(spread(right, rs, re_, "r"), [*on, "__level", "__bucket"])
-    meet = F.col("__level") == F.greatest("__l_home", "__r_home")
-    here = F.col("__bucket") == F.floor(F.greatest(F.col(ls), F.col(rs)).cast("long") / _width(F.col("__level")))
-    return joined.where(meet & here & (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))).drop("__level", "__bucket", "__l_home", "__r_home")
+    left, right = left.where(F.col(ls) <= F.col(le)), right.where(F.col(rs) <= F.col(re_))
+    starts_inside = points_in_intervals(right, left, on, rs, ls, le)
+    return starts_inside.unionByName(points_in_intervals(left, right, on, ls, rs, re_).where(F.col(ls) > F.col(rs)))
 
 
 def innermost(points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str, start: str, end: str, point_id: str, interval_id: str) -> DataFrame:

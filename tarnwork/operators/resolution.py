@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import canonical_path, matching_glob
 from ..functions.ranks import review_reason
 from ..functions.regions import line_to_bytes, slice_bytes
+from .intervals import overlapping
 
 
 def range_problem() -> Column:
@@ -78,12 +79,14 @@ def check_symbols(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
 
     symbols: name, usr, path, start_line, end_line (one row per region).
     """
-    wanted = resolved.where("status = 'ok' and symbol is not null").select("citation_id", "symbol", "path", "start_line", "end_line")
-    regions = symbols.select(F.explode(F.array("name", "usr")).alias("symbol"), F.col("path").alias("__p"), F.col("start_line").alias("__s"), F.col("end_line").alias("__e"))
-    here = (F.col("__p") == F.col("path")) & (F.col("__s") <= F.coalesce("end_line", "start_line")) & (F.col("__e") >= F.col("start_line"))
-    found = wanted.join(regions, "symbol", "left").groupBy("citation_id").agg(F.coalesce(F.bool_or(here), F.lit(False)).alias("__here"))
-    joined = resolved.join(found, "citation_id", "left")
-    return joined.withColumn("status", F.when(~F.col("__here"), "symbol_not_found").otherwise(F.col("status"))).drop("__here")
+    wanted = resolved.where("status = 'ok' and symbol is not null")
+    # places and regions once each, whoever cites or declares them
+    places = wanted.select("symbol", "path", "start_line", F.coalesce("end_line", "start_line").alias("__last")).distinct()
+    regions = symbols.select(F.explode(F.array("name", "usr")).alias("symbol"), "path", F.col("start_line").alias("__s"), F.col("end_line").alias("__e")).distinct()
+    met = overlapping(places, regions, ["symbol", "path"], ("start_line", "__last"), ("__s", "__e")).select("symbol", "path", "start_line", "__last").distinct().withColumn("__here", F.lit(True))
+    joined = resolved.withColumn("__last", F.coalesce("end_line", "start_line")).join(met, ["symbol", "path", "start_line", "__last"], "left")
+    absent = (F.col("status") == "ok") & F.col("symbol").isNotNull() & F.col("__here").isNull()
+    return joined.withColumn("status", F.when(absent, "symbol_not_found").otherwise(F.col("status"))).select(*resolved.columns)
 
 
 def check_edges(claims: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -310,8 +310,8 @@ def extract(units: DataFrame, tree: Sequence[str] = ()) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                yield pd.DataFrame(parse_unit(path, text, known), columns=COLUMNS)
+            rows = [fact for path, text in zip(batch["path"], batch["text"], strict=True) for fact in parse_unit(path, text, known)]
+            yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
 
     return units.select("path", "text").mapInPandas(run, FACT)
 
