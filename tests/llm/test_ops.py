@@ -648,6 +648,26 @@ def test_mixing_shares_and_copies(spark):
     assert rows(report) == rows(mixing.mix_report(table.repartition(5))) and mixing.mix_report(table.limit(0)).count() == 0
 
 
+def test_mixing_of_odd_rows(spark):
+    made = [(None, "a b c", "s"), (None, "d e f g", "s"), (1, "h", "s"), (1, "h", "s"), (2, None, None), (3, "", "t"), (4, "i j " * 40_000, "u")]
+    report = mixing.mix_report(spark.createDataFrame(made, "doc_id long, text string, source string"))
+    got = sorted((str(r["doc_id"]), r["size"], r["source_size"]) for r in report.collect())
+    assert got == sorted([("None", 3, 9), ("None", 4, 9), ("1", 1, 9), ("1", 1, 9), ("2", 0, 0), ("3", 0, 0), ("4", 80_000, 80_000)])
+    assert all(r["taken"] <= 3 * r["size"] for r in report.collect()) and len({r["copies"] for r in report.where("doc_id = 1").collect()}) == 1
+    zero = mixing.mix_report(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string"))
+    assert [r["target"] for r in zero.collect()] == [0.0, 0.0]
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "HOT_SHARE", 10)
+    made = [(i, "w " * (i % 7), f"s{i % 40}" if i % 3 else "hot") for i in range(600)] + [(-1, "x y", None)]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string")
+    report = rows(mixing.mix_report(table))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10_000)
+    assert report == rows(mixing.mix_report(table)) and len(report) == 601
+
+
 # --- 9 quality --------------------------------------------------------------
 
 
@@ -807,6 +827,9 @@ def test_suffix_cut_keeps_the_rest(spark, words):
     long = [str(i) for i in range(120_000)]
     again = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.repeats(docs(spark, [" ".join(long), " ".join(["x", *long[110_000:]])])).collect()}
     assert again == {0: [], 1: [(1, 10_001)]}
+    nulls = docs(spark, texts[:30]).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    spans = suffix_dedup.repeats(nulls)
+    assert spans.count() == 30 and suffix_dedup.clean(nulls).count() == 30
     twice = table.union(table.limit(30))
     assert suffix_dedup.clean(twice).count() == twice.count() and suffix_dedup.repeats(table.limit(0)).count() == 0
     assert suffix_dedup.cut("a  b\nc d", [(1, 3)]) == "a  d"
