@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the one
 before it kept, and returns the columns of documents; the last returns what
 the texts became as tokens.
+
+Defined cases, those of the operators taken together: a null text counts as
+empty, and stays; rows with a null doc_id are kept like others, and with equal
+texts are one document; rows equal in id and text are one document after the
+second stage; without any label the first stage keeps all, and all go where
+labels are 0 only; an empty table gives an empty result of the same columns;
+other columns of documents are carried along and not read.
 """
 
 from __future__ import annotations
