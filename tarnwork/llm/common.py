@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Internal columns carry this prefix, so that they cannot clash with columns of the input.
 OWN = "__tw_"
@@ -61,3 +62,18 @@ def materialize(df: DataFrame) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key with more than one in so many rows is a hot one.
+HOT_SHARE = 1_000
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, same: Column, n: Column, total: int) -> DataFrame:
+    """rows joined (inner) to per_key, one line per key, where n of all total rows have that key.
+
+    The lines of hot keys, fewer than HOT_SHARE, are broadcast, so the rows of
+    a hot key stay where they are; those of the others are shuffled.
+    """
+    is_hot = n > total / HOT_SHARE
+    hot = broadcast(per_key.where(is_hot))
+    return rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(per_key.where(~is_hot), same))

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 from .components import connected_components
 from .shingles import run_hashes
 
@@ -381,7 +381,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     families = families_of(nodes)
     linked = materialize(_exact_links(rows, nodes, families))
-    per_node = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", "doc_id", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "node").alias("component"))
+    found = nodes.select("node", "doc_id", "copies").join(linked, "node", "left")
+    per_node = materialize(found.select("node", "doc_id", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "node").alias("component")))
     return signed.select("doc_id", "node", "n_shingles"), per_node
 
 
@@ -392,10 +393,18 @@ def join(docs: DataFrame) -> DataFrame:
     n_links the number of other rows that the row is linked to.
     """
     signed, per_node = _classes(docs)
-    class_ids = per_node.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    result = per_node.join(class_ids, "component").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    joined = signed.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(result, "node", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    class_ids = materialize(per_node.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")))
+    result = materialize(_joined(per_node, class_ids, "component", "n").select("node", "copies", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    joined = _joined(signed.where("n_shingles > 0").select("doc_id", "node"), result, "node", "copies")
+    alone = signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links").unionByName(alone)
+
+
+def _joined(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined to per_key, where n rows have the key: the line of a text or class with very many is broadcast, not shuffled to."""
+    total = per_key.agg(F.sum(n)).first()[0] or 0
+    side = per_key.withColumnRenamed(key, "__tw_key")
+    return join_counted(rows, side, F.col(key) == F.col("__tw_key"), F.col(n), total).drop("__tw_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -411,9 +420,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own_id, own_node, goes = "__tw_doc_id", "__tw_node", "__tw_goes"
     signed, per_node = _classes(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "node")).alias("first")
-    heads = per_node.groupBy("component").agg(first, F.sum("copies").alias("rows")).where("rows > 1")
-    of_node = per_node.select("node", "component").join(heads, "component").select("node", "first")
-    decided = signed.where("n_shingles > 0").join(of_node, "node").groupBy("node", "doc_id").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    heads = materialize(per_node.groupBy("component").agg(first, F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("nodes")).where("rows > 1"))
+    of_node = materialize(_joined(per_node.select("node", "copies", "component"), heads, "component", "nodes").select("node", "copies", "first"))
+    decided = _joined(signed.where("n_shingles > 0").select("doc_id", "node"), of_node, "node", "copies").groupBy("node", "doc_id").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n"))
     gone = (F.col("node") != F.col("first.node")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     decided = materialize(decided.select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node), gone.alias(goes), "n").where(f"{goes} or n > 1"))
 

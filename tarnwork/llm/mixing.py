@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, materialize
+from .common import OWN, join_counted, materialize
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -40,8 +40,6 @@ MAX_RATE = 3
 CELLS = 1024
 #: Rows of the per-source table up to which it is broadcast; beyond, only sources of many rows are.
 BROADCAST_SOURCES = 10_000
-#: A source with more than one in so many rows is a hot one.
-HOT_SHARE = 1_000
 
 
 def token_count(text: Column) -> Column:
@@ -135,8 +133,8 @@ def rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MA
 def with_rates(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows (with source) and the line of found for their source; found is one row per source.
 
-    Beyond BROADCAST_SOURCES sources, the hot ones, no more than HOT_SHARE,
-    are broadcast, and the rows of the others are shuffled by source.
+    Beyond BROADCAST_SOURCES sources, those of the hot ones are broadcast, and
+    the rows of the others are shuffled by source.
     """
     found = materialize(found)
     side = found.select(*[F.col(c).alias(f"{OWN}{c}") for c in found.columns])
@@ -144,9 +142,7 @@ def with_rates(rows: DataFrame, found: DataFrame) -> DataFrame:
     sources, n = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     if sources <= BROADCAST_SOURCES:
         return rows.join(F.broadcast(side), same)
-    is_hot = F.col(f"{OWN}n_docs") > n / HOT_SHARE
-    hot = F.broadcast(side.where(is_hot))
-    return rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(side.where(~is_hot), same))
+    return join_counted(rows, side, same, F.col(f"{OWN}n_docs"), n)
 
 
 def copies(doc_id: Column, size: Column, seed: int = 0) -> Column:

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnwork.llm import bpe, chat, fingerprints, html_text, jaccard_join, licenses, mixing, quality, queries, suffix_dedup, transport
+from tarnwork.llm import bpe, chat, common, fingerprints, html_text, jaccard_join, licenses, mixing, quality, queries, suffix_dedup, transport
 from tarnwork.llm.components import connected_components
 
 from ..compare import connect, same
@@ -128,6 +128,7 @@ def test_jaccard_join_finds_every_link(spark, words):
 
 
 def test_jaccard_join_in_small_blocks(spark, words, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 100)
     monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 16)
     monkeypatch.setattr(jaccard_join, "SMALL", 8)
     texts = corpus(words)
@@ -660,7 +661,7 @@ def test_mixing_of_odd_rows(spark):
 
 def test_mixing_of_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
-    monkeypatch.setattr(mixing, "HOT_SHARE", 10)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
     made = [(i, "w " * (i % 7), f"s{i % 40}" if i % 3 else "hot") for i in range(600)] + [(-1, "x y", None)]
     table = spark.createDataFrame(made, "doc_id long, text string, source string")
     report = rows(mixing.mix_report(table))
