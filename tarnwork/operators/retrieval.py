@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import is_release_call
+from ..values import GOTO, LABEL
 from .graph import walk
 from .intervals import innermost, points_in_intervals
 
 UNIT = ["candidate_id", "role", "depth", "usr", "path", "start_line", "end_line"]
-GOTO = r"\bgoto\s+([A-Za-z_]\w*)\s*;"
-LABEL = r"^\s*([A-Za-z_]\w*)\s*:(?!:|=)"
 
 
 def containing(candidates: DataFrame, symbols: DataFrame) -> DataFrame:

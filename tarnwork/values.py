@@ -236,6 +236,11 @@ RELEASE_NAMES = (
 RELEASE_SUFFIXES = ("_free", "_release", "_destroy", "_close", "_unlock", "_delete", "_dispose", "_put")
 RELEASE_PREFIXES = ("free_", "release_", "destroy_", "close_", "unlock_")
 
+# --- Jumps and labels of C (fixed values: patterns of a line) ---------------
+
+GOTO = r"\bgoto\s+([A-Za-z_]\w*)\s*;"
+LABEL = r"^\s*([A-Za-z_]\w*)\s*:(?!:|=)"
+
 # --- Intake (fixed values) --------------------------------------------------
 
 EXCLUSIONS = ("not_selected", "generated", "third_party", "unsupported_language", "missing_source", "too_large")

@@ -115,6 +115,23 @@ def test_reports(spark, tmp_path):
     text = reports.render_markdown(f, {"files": 2}, none, limits, ["/root/x"])
     assert "/root/x" not in text and text == reports.render_markdown(f, {"files": 2}, none, limits, ["/root/x"])
     assert tuple(reports.summary(f).first()) == (1, 1)
+    evidence = spark.createDataFrame([("f2", 0, "e1", "control_flow_step", "a.c", 1, 1), ("f2", 1, "e2", "primary_code", "a.c", 1, 9), ("f2", 2, "e3", "control_flow_step", "b.c", 4, 4)], "finding_id string, ordinal int, evidence_id string, kind string, path string, start_line int, end_line int")
+    text = reports.render_markdown(f, {"files": 2}, spark.createDataFrame([("x", "generated")], "path string, reason string"), limits, evidence=evidence)
+    assert "1. `a.c:1` CWE-78: m (high, ok)\n   - primary_code `a.c:1-9` e2\n   - control_flow_step `a.c:1-1` e1\n   - control_flow_step `b.c:4-4` e3\n\n## Needs review" in text
+    assert "| excluded: generated | 1 |" in text and text.endswith("## Limitations\n\n- parse_failed: d (u)\n")
+    result = json.loads(reports.build_sarif(f, evidence=evidence))["runs"][0]["results"][0]
+    assert [x["location"]["physicalLocation"]["region"]["startLine"] for x in result["codeFlows"][0]["threadFlows"][0]["locations"]] == [1, 4] and len(result["relatedLocations"]) == 1
+
+    def joined(folder):
+        return "\n".join(p.read_text().rstrip("\n") for p in sorted(folder.glob("part-*")) if p.stat().st_size) + "\n"
+
+    many = f.crossJoin(spark.range(40).withColumnRenamed("id", "n")).withColumn("place", (F.col("n") + 1).cast("int")).withColumn("finding_id", F.concat("finding_id", F.lit("-"), F.col("n").cast("string"))).drop("n")
+    reports.write_sarif(many, str(tmp_path / "sarif"), ["n"])
+    assert json.loads(joined(tmp_path / "sarif")) == json.loads(reports.build_sarif(many, ["n"]))
+    reports.write_sarif(f.limit(0), str(tmp_path / "none"))
+    assert json.loads(joined(tmp_path / "none"))["runs"][0]["results"] == []
+    reports.write_markdown(reports.markdown_lines(many, {"files": 2}, none, limits), str(tmp_path / "md"))
+    assert joined(tmp_path / "md").split("\n") == reports.render_markdown(many, {"files": 2}, none, limits).split("\n")
     members = {"a.txt": b"1", "d/b.txt": b"2"}
     one, two = str(tmp_path / "1.tar"), str(tmp_path / "2.tar")
     reports.bundle(members, one)
