@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import set_hash
 from ..values import STAGES_OF_ATTRIBUTION
 
 
@@ -96,6 +97,20 @@ def repeatable(attempts: DataFrame) -> DataFrame:
     return attempts.agg(F.count(F.lit(1)).alias("attempts"), F.count_if("completed").alias("completed"), (F.count_distinct(done) == 1).alias("repeatable"))
 
 
+def run_repeatedly(spark: SparkSession, run: Callable[[int], DataFrame], repetitions: int, group: str, order: Sequence[str]) -> DataFrame:
+    """attempt, completed, result_hash of a run made several times over; a run that fails is an attempt that did not complete.
+
+    The hash names the set of a run's rows, whatever their order.
+    """
+    attempts = []
+    for i in range(repetitions):
+        try:
+            attempts.append((i, True, set_hash(run(i), group, order).first()["hash"]))
+        except Exception:  # the failure is the attempt's result
+            attempts.append((i, False, None))
+    return spark.createDataFrame(attempts, "attempt int, completed boolean, result_hash string")
+
+
 def identity(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """key, identity: a hash of each key's rows that does not depend on their order."""
     return rows.groupBy(key).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*order)))), 256).alias("identity"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -93,6 +94,20 @@ def revision(outputs: Mapping[str, str | None]) -> dict[str, object]:
     return {"revision": head, "dirty": dirty, "pinned": not dirty, "limitation": None}
 
 
+def git(root: str, arguments: list[str]) -> str | None:
+    """What version control says about a tree on the driver's disk, null where it fails or there is none."""
+    try:
+        done = subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, timeout=60, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout if done.returncode == 0 else None
+
+
+def resolve_revision(root: str, runner: Callable[[str, list[str]], str | None] = git) -> dict[str, object]:
+    """revision, dirty, pinned of a tree; one that is no repository is unknown, with a limitation. Untracked files make it dirty."""
+    return revision({"head": runner(root, ["rev-parse", "HEAD"]), "status": runner(root, ["status", "--porcelain"])})
+
+
 def run_manifest(values: Mapping[str, object], tools: DataFrame) -> dict[str, object]:
     """The record of a run; what must be known and is not is an error."""
     for field in ("revision", "policy_version", "config_hash"):

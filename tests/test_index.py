@@ -189,3 +189,34 @@ def test_control_conditions(spark):
     assert {r["candidate_id"]: (r["starved"], r["issued"]) for r in made.collect()} == {"c1": (False, ["e1", "e2"]), "c2": (False, None), "c3": (True, None)}
     out = adjudication.tools_baseline(spark.createDataFrame([("src/a.c", bytearray(b"int x;\nint y;\n"), [0, 7], ["-c"])], "path string, content binary, starts array<long>, arguments array<string>"), "/r", lambda path, tool, args: ("ok", f"/r/{path}:2:5: warning: bad thing [core.X]"), ["t"], "clang_tidy")
     assert [r["drop_reason"] for r in out["candidates"].collect()] == [None] and out["limitations"].count() == 0
+
+
+def test_revision_of_a_tree(tmp_path):
+    import subprocess
+
+    from tarnwork.plans import scan
+
+    assert scan.resolve_revision(str(tmp_path))["limitation"] == "revision_unavailable"
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.c").write_text("int x;")
+    run("add", "a.c")
+    run("commit", "-qm", "one")
+    clean = scan.resolve_revision(str(tmp_path))
+    assert clean["pinned"] and len(clean["revision"]) == 40
+    (tmp_path / "a.c").write_text("int y;")
+    assert scan.resolve_revision(str(tmp_path))["dirty"] and scan.resolve_revision("/", lambda root, a: None)["revision"] == "unknown"
+
+
+def test_runs_made_several_times(spark):
+    from tarnwork.operators import experiments
+
+    def run(i):
+        if i == 2:
+            raise RuntimeError("broken")
+        return spark.range(20).selectExpr("id", "id % 3 as g").repartition(i + 1)
+
+    attempts = experiments.run_repeatedly(spark, run, 4, "g", ["id"])
+    assert tuple(experiments.repeatable(attempts).first()) == (4, 3, True)
+    other = experiments.run_repeatedly(spark, lambda i: spark.range(20 + i).selectExpr("id", "id % 3 as g"), 2, "g", ["id"])
+    assert not experiments.repeatable(other).first()["repeatable"]
