@@ -66,7 +66,8 @@ MAIN_NAMES = re.compile(r"(?:^|\s)(?:main|content|main-content|article|article-b
 #: Elements whose content is no markup.
 RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in "script style textarea title noscript iframe template svg".split()}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
-QUOTES_CLOSE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+#: What is left of a tag: quotes hold a value only after an equals sign, and only where they are closed.
+REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -94,8 +95,6 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
     Each character is looked at a bounded number of times: what is never closed goes on to the end of the page.
     """
     at, n = 0, len(page)
-    # a quote that no other follows is a character like others
-    last = {q: page.rfind(q) for q in "\"'"}
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -119,13 +118,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "text", "<", ""
                 at = start + 1
             continue
-        end = m.end()
-        while True:
-            end = QUOTES_CLOSE.match(page, end).end()
-            if end < n and page[end] != ">" and end >= last[page[end]]:
-                end += 1
-            else:
-                break
+        end = REST.match(page, m.end()).end()
         if end >= n:
             return
         attributes, at = page[m.end() : end], end + 1

@@ -293,7 +293,7 @@ def test_common_lines_in_halves(monkeypatch):
         assert all(x in rest for x in kept) and len(kept) == lcs_length(a, b)
 
 
-@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a 'x", "<div>", "<p><b>", "</span>", "<script ", "<!-- ", "< ", "<ul><li>", "<i></b>", "<table><tr><td>", "&amp;<x", "<textarea>", "<div></p>", "a\n"])
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a 'x", '<a ="', "<a =' =\"", "<div>", "<p><b>", "</span>", "<script ", "<!-- ", "< ", "<ul><li>", "<i></b>", "<table><tr><td>", "&amp;<x", "<textarea>", "<div></p>", "a\n"])
 def test_html_broken_pages_take_one_pass(piece):
     import time
 
@@ -306,6 +306,7 @@ def test_html_broken_pages_take_one_pass(piece):
 def test_html_parsing_of_broken_markup():
     texts = lambda page: [x[0] for x in html_text.lines_of(page)]
     assert texts('<p title="a>b">one</p><p class=x title=it\'s>two</p>') == ["one", "two"]
+    assert texts("<a href=o'hara>it's</a> <b x='1' y=\"'>'\" \">z</b>") == ["it's z"] and texts("<p class = 'a>b' >c<p id=\"x>d") == ["c", "d"]
     assert texts("1 < 2 <3 </ x> four<br/>five</none><!doctype x><?php y ?>six") == ["1 < 2 <3 four fivesix"]
     assert texts("<p>a<script>if (a < b) '</p>'</SCRIPT >b<!-- <p>c --> d<style>x") == ["ab d"]
     assert texts("a<b title=\"never closed>c") == ["ac"] and texts("a<b") == ["a"] and texts("<svg/>x<math><mi>y</mi></math>") == ["xy"]
