@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank
+from ..plans.scratch import written
 from ..values import UNIT_CLASSES
 
 
@@ -69,6 +70,30 @@ def run_ledger(candidates: list[tuple[str, int]], per_run: int, per_candidate: i
     return out
 
 
+def ledger(candidates: DataFrame, per_run: int, per_candidate: int) -> DataFrame:
+    """candidates (candidate_id, place, tokens) with their allowance, what the run has spent after each, and starved.
+
+    The same as run_ledger in order of (place, candidate_id), without a driver's
+    list: no candidate takes more than its allowance, so what is spent is a
+    running total, cut at the run's budget. Ranges of the order are summed
+    apart; the driver sees one number per range.
+    """
+    spark = candidates.sparkSession
+    takes = F.greatest(F.lit(0), F.least(F.col("tokens"), F.lit(per_candidate))).cast("long")
+    ranged = written(candidates.withColumn("__takes", takes).repartitionByRange("place", "candidate_id").withColumn("__part", F.spark_partition_id()))
+    starts, total = [], 0
+    for part, n in sorted(map(tuple, ranged.groupBy("__part").agg(F.sum("__takes")).collect())):
+        starts.append((part, total))
+        total += n
+    offsets = F.broadcast(spark.createDataFrame(starts, "__part int, __start long"))
+    before = Window.partitionBy("__part").orderBy("place", "candidate_id").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.least(F.lit(per_run), F.col("__start") + F.coalesce(F.sum("__takes").over(before), F.lit(0))).cast("long")
+    found = ranged.join(offsets, "__part").withColumn("__spent", spent)
+    allowance = F.least(F.lit(per_candidate), F.greatest(F.lit(0), F.lit(per_run) - F.col("__spent"))).cast("long")
+    known = found.withColumn("allowance", allowance).withColumn("starved", F.col("allowance") <= 0)
+    return known.withColumn("spent", F.col("__spent") + F.least("__takes", F.greatest("allowance", F.lit(0)))).drop("__takes", "__part", "__start", "__spent")
+
+
 class Account:
     """Calls, tokens and quota of a run, per tier. State of the driver: calls are made one after another."""
 

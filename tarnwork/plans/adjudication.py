@@ -246,17 +246,13 @@ def tools_baseline(files: DataFrame, root: str, runner: Callable[[str, str, list
 def requests(prompts: DataFrame, issued: DataFrame, severities: DataFrame, per_run: int, per_candidate: int) -> DataFrame:
     """candidates for adjudicate(): prompts (candidate_id, place, prompt) with their ids, and starved where the run's budget had ended.
 
-    The ledger is a running sum over one number per candidate in visiting
-    order; a candidate takes what its prompt is estimated at, within its own
-    allowance.
+    The ledger is a running total of numbers in visiting order; a candidate
+    takes what its prompt is estimated at, within its own allowance.
     """
-    from ..operators.budget import run_ledger
+    from ..operators.budget import ledger
 
-    sizes = prompts.select("candidate_id", "place", F.least(token_estimate(F.col("prompt")), F.lit(per_candidate)).cast("long").alias("tokens"))
-    # one id and number per candidate: what a run's calls are made one after another for
-    order = sizes.orderBy("place", "candidate_id").select("candidate_id", "tokens").collect()
-    ledger = run_ledger([(r[0], r[1]) for r in order], per_run, per_candidate)
-    starved = prompts.sparkSession.createDataFrame([(c, s) for c, _, _, s in ledger], "candidate_id string, starved boolean")
+    sizes = prompts.select("candidate_id", "place", token_estimate(F.col("prompt")).alias("tokens"))
+    starved = ledger(sizes, per_run, per_candidate).select("candidate_id", "starved")
     ids_of = issued.groupBy("candidate_id").agg(F.sort_array(F.collect_set("evidence_id")).alias("issued"))
     return prompts.join(starved, "candidate_id").join(ids_of, "candidate_id", "left").join(severities, "candidate_id", "left").select("candidate_id", "prompt", "issued", "severity", F.lit(True).alias("triage"), "starved")
 

@@ -143,6 +143,17 @@ def test_selection_skips_and_continues(spark):
     assert budget.run_ledger([("a", 60), ("b", 60), ("c", 1)], 100, 80) == [("a", 80, 60, False), ("b", 40, 100, False), ("c", 0, 100, True)]
 
 
+def test_ledger_equals_the_fold(spark):
+    rng = random.Random(3)
+    made = [(f"c{i:03d}", rng.randint(0, 50), rng.choice([0, 3, 10, 40, -2])) for i in range(300)]
+    table = spark.createDataFrame(made, "candidate_id string, place int, tokens long").repartition(7)
+    in_order = [(c, n) for c, _, n in sorted(made, key=lambda m: (m[1], m[0]))]
+    for per_run, per_candidate in ((700, 15), (0, 5), (10**6, 20), (37, 100)):
+        got = budget.ledger(table, per_run, per_candidate).orderBy("place", "candidate_id").select("candidate_id", "allowance", "spent", "starved").collect()
+        assert [tuple(r) for r in got] == budget.run_ledger(in_order, per_run, per_candidate)
+    assert budget.ledger(table.limit(0), 5, 5).count() == 0
+
+
 def test_account(spark):
     a = budget.Account(requests=1, tokens=100, per_run=50, pricing={"triage": {"input": 2.0}})
     r = a.reserve(30)
