@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, html_text, jaccard_join, licenses, mixing, quality, suffix_dedup, transport
+from . import bpe, chat, exact_dedup, fingerprints, hard_negatives, html_text, jaccard_join, licenses, merkle, mixing, quality, suffix_dedup, transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_quality": quality.query,
         "op10_suffix": suffix_dedup.query,
+        "op11_exact": exact_dedup.query,
+        "op12_merkle": merkle.query,
+        "op13_negatives": hard_negatives.query,
     }
 
 
@@ -31,4 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat": chat.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
         "op10_suffix": suffix_dedup.ORACLE_SQL,
+        "op11_exact": exact_dedup.ORACLE_SQL,
+        "op12_merkle": merkle.ORACLE_SQL,
+        "op13_negatives": hard_negatives.ORACLE_SQL,
     }
