@@ -10,10 +10,15 @@ for each page, and where articles themselves recur on pages beside each other.
 So two kinds of lines are decided by markup: what stands in elements that
 declare themselves as menus, headers, footers, sidebars, notices, adverts,
 forms or comments is never text, and what stands in the page's article elements
-is not deleted. Differencing decides the other lines: those of its main element
-around the articles, those of main where there is no article, and all lines of
-pages with neither; where that would leave nothing of a page (the neighbour is a
-copy), it does not count.
+is not deleted. Differencing decides all other lines; where that would leave
+nothing of a page (the neighbour is a copy), it does not count.
+
+A form, or an element whose class or id names a menu, an advert and the like,
+may also be what a page is wrapped in. It counts as text if no article or main
+part is outside of such elements and it holds ``HOLDS_PAGE`` of the page's text.
+Names count as whole words of a class; inside an article only where the class
+says nothing else, and never on paragraphs, headings and the like. A header in
+the article or main part of a page belongs to it.
 
 Parsing takes one pass over a page, whatever is broken in it, and an alignment
 takes memory in proportion to the lines. Only line hashes of a neighbour meet a
@@ -50,18 +55,28 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("html body option optgroup".split())
 SAME_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 # Elements and names that declare what is not the article.
-NEVER = frozenset("head script style noscript template svg iframe object canvas audio video nav footer aside form button select textarea input dialog menu".split())
+NEVER = frozenset("head script style noscript template svg iframe object canvas audio video nav footer aside button select textarea input dialog menu".split())
 OUTSIDE_ONLY = frozenset(["header"])
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"side-?bar|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|toolbar|topbar|masthead|footer|site-?header|page-?header|comments?|comment-?list|respond|replies|disqus|"
-    r"share|sharing|social|related|recommended|pagination|pager|skip-?link)(?:$|[\s_-])",
-    re.I,
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
+#: Parts of a class or id that name what is no text, words that go with them, and beginnings of such parts.
+NAMES = frozenset(
+    "ad ads adsense banner banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription signup login "
+    "sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toolbar topbar masthead footer comment comments respond replies disqus "
+    "share sharing social related recommended pagination pager skiplink".split()
+)
+WITH_NAMES = frozenset(
+    "box bar block list link links button buttons icon icons section area container wrapper wrap inner outer form post posts article articles story stories item items title heading header top bottom left right main site page slot unit panel media reader thread clearfix row col".split()
 )
+BEGINNINGS = ("advert", "sponsor", "promo")
+#: Of those, what names what readers wrote: it holds the page only where there is no other text.
+READERS = re.compile(r"comment|respond|replies|disqus", re.I)
+#: Elements of running text, which no name inside an article makes an advert or a menu.
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption".split())
+#: Share of a page's text from which an element that is named or a form holds the page, if nothing outside such elements is called the article.
+HOLDS_PAGE = 0.8
 #: What an article element itself has to be called to be no article, and what is a header outside of one.
 NOT_THE_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|comment-\S+|reader-comments?|teaser|related|recommended|ads?|advert\S*|promo\S*|sponsored)(?:$|\s)", re.I)
-HEADER_NAMES = re.compile(r"(?:^|\s)(?:header|top|brand|logo|copyright|legal|imprint)(?:$|\s)", re.I)
+HEADER_NAMES = re.compile(r"(?:^|\s)(?:header|site-?header|page-?header|masthead|top|brand|logo|copyright|legal|imprint)(?:$|\s)", re.I)
 MAIN_NAMES = re.compile(r"(?:^|\s)(?:main|content|main-content|article|article-body|post|post-content|entry|entry-content|story|page-content)(?:$|\s)", re.I)
 #: Elements whose content is no markup.
 RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in "script style textarea title noscript iframe template svg".split()}
@@ -71,22 +86,45 @@ REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _declares(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
-    """Whether an element is no text, and how much it is the article: 2 article, 1 main, 0 neither."""
-    if name in NEVER or (name in OUTSIDE_ONLY and not in_article):
-        return True, 0
+def _named(token: str) -> tuple[bool, bool]:
+    """Whether a class or id names what is no text, and whether it says nothing else."""
+    parts = token.lower().replace("side-bar", "sidebar").replace("skip-link", "skiplink").replace("_", "-").split("-")
+    names = [x in NAMES or x.startswith(BEGINNINGS) for x in parts]
+    whole = all(n or x in WITH_NAMES or x.isdigit() or not x for n, x in zip(names, parts, strict=True))
+    return any(names) and whole, whole
+
+
+def _declares(name: str, attributes: str, around: int) -> tuple[bool, bool, int]:
+    """Whether an element is no text, whether it is none unless it holds the page, and how much it is the article: 2 article, 1 main, 0 neither.
+
+    around is how much of the article the element stands in.
+    """
+    if name in NEVER or (name in OUTSIDE_ONLY and not around):
+        return True, False, 0
+    soft = name == "form"
     rank = 2 if name == "article" else 1 if name == "main" else 0
     if attributes and name not in ("html", "body"):
         found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        style = found.get("style", "").replace(" ", "").lower()
-        if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or found.get("role", "").lower() in ROLES:
-            return True, 0
+        style, role = found.get("style", "").replace(" ", "").lower(), found.get("role", "").lower()
+        if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or role in ROLES:
+            return True, False, 0
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        if (NOT_THE_ARTICLE if rank else NAMES).search(names) or (not in_article and not rank and HEADER_NAMES.search(names)):
-            return True, 0
-        if not rank and (found.get("role") == "main" or found.get("itemprop") == "articleBody" or MAIN_NAMES.search(names)):
+        if rank:
+            soft |= bool(NOT_THE_ARTICLE.search(names))
+        elif around < 2:
+            soft |= any(_named(x)[0] for x in names.split()) or (not around and bool(HEADER_NAMES.search(names)))
+        elif name not in TEXT_ELEMENTS:
+            said = [_named(x) for x in names.split()]
+            soft |= any(x for x, _ in said) and all(x for _, x in said)
+        if not rank and (role == "main" or found.get("itemprop") == "articleBody" or MAIN_NAMES.search(names)):
             rank = 1
-    return False, rank
+        soft |= role == "form"
+    return False, soft, 0 if soft else rank
+
+
+def _closed(attributes: str) -> bool:
+    """Whether a tag closes itself: a slash after white space or a quote; after an unquoted value it is the value's."""
+    return attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\f\r\"'")
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -128,7 +166,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
         elif name in RAW:
             if name == "textarea":
                 yield "text", " ", ""
-            if not attributes.endswith("/"):
+            if not _closed(attributes):
                 closed = RAW[name].search(page, at)
                 at = closed.end() if closed else n
         else:
@@ -137,9 +175,10 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
     """The lines of a page: text, whether it can be text of the article, rank and number of the element that may be the article."""
-    out: list[tuple[str, bool, int, int]] = []
-    # open elements: name, not text, rank, number of the element the rank comes from
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    out: list[tuple[str, bool, int, int, int]] = []
+    # open elements: name, not text, rank, number of the element the rank comes from, the nearest element around that may be no text
+    stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]
+    above, needs = [0], [0.0]
     held: collections.Counter[str] = collections.Counter()
     parts: list[str] = []
     numbered = 0
@@ -148,8 +187,8 @@ def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, never, rank, number = stack[-1]
-                out.append((text, not never, rank, number))
+                _, never, rank, number, inside = stack[-1]
+                out.append((text, not never, rank, number, inside))
             parts.clear()
 
     def cut(i: int) -> None:
@@ -182,7 +221,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    if name in BLOCKS or any(s[0] in BLOCKS for s in stack[i:]) or stack[i][1] != stack[i - 1][1]:
+                    if name in BLOCKS or any(s[0] in BLOCKS for s in stack[i:]) or stack[i][1] != stack[i - 1][1] or stack[i][4] != stack[i - 1][4]:
                         flush()
                     cut(i)
                     break
@@ -197,24 +236,49 @@ def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
             if name in ("br", "hr", "img"):
                 parts.append(" ")
             continue
-        _, never, rank, number = stack[-1]
-        own_never, own_rank = (True, 0) if never else _declares(name, attributes, rank == 2)
-        if own_never and not never:
+        _, never, rank, number, inside = stack[-1]
+        own_never, own_soft, own_rank = (True, False, 0) if never else _declares(name, attributes, rank)
+        if own_soft or (own_never and not never):
             flush()
         if own_rank > rank:
             numbered += 1
             rank, number = own_rank, numbered
-        if not attributes.endswith("/"):
-            stack.append((name, own_never, rank, number))
+        if own_soft:
+            needs.append(1.0 if READERS.search(attributes) else HOLDS_PAGE)
+            above.append(inside)
+            inside = len(above) - 1
+        if not _closed(attributes):
+            stack.append((name, own_never, rank, number, inside))
             held[name] += 1
     flush()
-    return out
+    gone = _no_text(out, above, needs)
+    return [(text, may and not gone[inside], rank, number) for text, may, rank, number, inside in out]
+
+
+def _no_text(lines: list[tuple[str, bool, int, int, int]], above: list[int], needs: list[float]) -> list[bool]:
+    """Whether lines in each of the elements that are no text unless they hold the page are none; above has the element around each, 0 is no element, needs the share of the text to hold.
+
+    All are none if the article or main part of the page is outside of them;
+    else those that hold most of the page's text are let go, from the outside
+    in, until it is.
+    """
+    size, ranked = [0] * len(above), set()
+    for text, may, rank, _, inside in lines:
+        if may:
+            size[inside] += len(text)
+            ranked |= {inside} if rank else set()
+    for i in range(len(above) - 1, 0, -1):
+        size[above[i]] += size[i]
+    gone, outside = [False] * len(above), 0 in ranked
+    for i in range(1, len(above)):
+        gone[i] = gone[above[i]] or outside or not size[0] or size[i] < needs[i] * size[0]
+        outside |= not gone[i] and i in ranked
+    return gone
 
 
 def candidates(lines: list[tuple[str, bool, int, int]]) -> list[tuple[bool, bool]]:
     """Of each line whether it may be text, and whether it is for sure: it stands in an article."""
-    best = max((rank for _, may, rank, _ in lines if may), default=0)
-    return [(may and rank >= min(best, 1), may and rank == 2) for _, may, rank, _ in lines]
+    return [(may, may and rank == 2) for _, may, rank, _ in lines]
 
 
 def _states(x: list[int], y: list[int]) -> Iterator[int]:

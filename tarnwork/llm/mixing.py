@@ -1,16 +1,17 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Tokens are aggregated per source, a repetition rate is derived for each
-source, and each document is emitted floor(rate) times plus one more time by a
-Bernoulli draw, a hash of its id. For the first draws of a source the
-probability is the fraction of the rate. A few very large documents would take
-the sum far from the target, so the draws are stratified: documents of a
-source are taken by size class (powers of two), from the largest down, and the
-probability of each class is the share of its words that is still wanted after
-the classes above it. In expectation every document keeps the fraction.
-Only sums per (source, class, cell of the draw) are needed to know what the
-classes above took, so a rerun, a lost executor or another partitioning gives
-the same copies.
+source, and each document is emitted floor(rate) times plus one more time with
+the fraction of the rate as probability, by a hash of its id and text. Draws
+of a source are not independent, as a few very large documents would then take
+its sum far from the target: the documents of one size class (powers of two)
+that are taken once more are those of the smallest hashes, and their number is
+the fraction of the class, rounded up or down by a running sum over the classes
+that starts at a hash of the source. So over seeds every document has exactly
+the fraction, and the words taken come near the target. Which hash is the last
+one taken in a class is found by counts per leading digits of the hashes, and a
+sort of the one set of digits that holds it; a rerun, a lost executor or another
+partitioning gives the same copies.
 
 Targets come from rounds of aggregates over one row per source: shares go by
 weight, sources whose share is above their cap stop there, and the rest is
@@ -19,9 +20,11 @@ task, and no documents of one source ever meet.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ordered last; documents of size 0 are emitted floor(rate) times (a source
-without tokens has rate 0); repeated rows are repeated decisions; equal ids
-share the draw, and null ids one; an empty table gives an empty result; other
-columns are kept by ``mix`` and not read.
+without tokens has rate 0); rows of one id, or of none, draw apart by their
+texts; rows equal in id and text draw apart by their place in the scan, so that
+a source of repeated rows comes near its target too (which of them are taken
+then depends on how the table is cut into files; nothing else does); an empty
+table gives an empty result; other columns are kept by ``mix`` and not read.
 """
 
 from __future__ import annotations
@@ -31,13 +34,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, join_counted, materialize
+from .common import HOT_SHARE, OWN, join_counted, materialize
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
-#: Cells of a draw: probabilities are multiples of 1 / CELLS.
-CELLS = 1024
+#: Leading digits of a draw by which draws of a class are counted.
+DIGITS = 3
 #: Rows of the per-source table up to which it is broadcast; beyond, only sources of many rows are.
 BROADCAST_SOURCES = 10_000
 
@@ -92,10 +95,18 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
     return caps.select("source", "source_size", "n_docs", F.when(stops, F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def draw(doc_id: Column, seed: int = 0) -> Column:
-    """The cell, 0 to CELLS - 1, that an id alone draws."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(CELLS)).cast("int")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with what each row draws by: a digest of its id and text; and, where others have the same, its place in the scan."""
+    return docs.withColumns({f"{OWN}key": key_of(F.col("doc_id"), F.col("text")), f"{OWN}place": F.monotonically_increasing_id()})
+
+
+def key_of(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def draw(key: Column, seed: int = 0) -> Column:
+    """What a key draws: 32 digits, of which the smallest win."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key))
 
 
 def size_class(size: Column) -> Column:
@@ -104,30 +115,32 @@ def size_class(size: Column) -> Column:
 
 
 def rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0) -> DataFrame:
-    """source, source_size, n_docs, target, whole, chances from rows (doc_id, source, size).
+    """source, source_size, n_docs, target, whole, last from rows (source, size, draw).
 
     whole is the number of copies that all documents get; a document gets one
-    more if its draw is below the chance of its size class, chances[class].
+    more if its draw is not beyond the last one of its size class, last[class].
     """
-    targets = materialize(source_targets(sized, weights, max_rate))
-    cells = sized.groupBy("source", size_class(F.col("size")).alias("class"), draw(F.col("doc_id"), seed).alias("cell")).agg(F.sum("size").alias("words"))
-    # at most 63 classes of 1,024 cells for a source, each class sorted by cell
-    by_class = cells.groupBy("source", "class").agg(F.sum("words").alias("words"), F.collect_list(F.struct("cell", F.col("words").alias("taken"))).alias("cells"))
-    classes = by_class.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "words", "cells")), asc=False).alias("classes")).withColumnRenamed("source", f"{OWN}source")
-    joined = targets.join(classes, F.col("source").eqNullSafe(F.col(f"{OWN}source")))
+    targets = source_targets(sized, weights, max_rate)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    # down the classes: words still wanted, words not yet decided on, chances so far
-    wanted = F.col("target") - (whole * F.col("source_size")).cast("double")
-    start = F.struct(wanted.alias("wanted"), F.col("source_size").alias("left"), F.create_map().cast("map<int,int>").alias("chances"))
-
-    def step(state: Column, c: Column) -> Column:
-        share = F.when(state["left"] > 0, state["wanted"] / state["left"].cast("double")).otherwise(F.lit(0.0))
-        chance = F.greatest(F.lit(0), F.least(F.lit(CELLS), F.floor(share * CELLS + 0.5).cast("int")))
-        took = F.aggregate(c["cells"], F.lit(0).cast("long"), lambda n, x: n + F.when(x["cell"] < chance, x["taken"]).otherwise(F.lit(0).cast("long")))
-        return F.struct((state["wanted"] - took.cast("double")).alias("wanted"), (state["left"] - c["words"]).alias("left"), F.map_concat(state["chances"], F.create_map(c["class"], chance)).alias("chances"))
-
-    return joined.select("source", "source_size", "n_docs", "target", whole.alias("whole"), F.aggregate("classes", start, step, lambda s: s["chances"]).alias("chances"))
+    rated = materialize(targets.select("*", F.floor(rate).alias("whole"), (rate - F.floor(rate).cast("double")).alias("fraction")))
+    rows = sized.select("source", size_class(F.col("size")).alias("class"), F.col(f"{OWN}draw").alias("draw"), F.substring(f"{OWN}draw", 1, DIGITS).alias("digits"))
+    counted = rows.groupBy("source", "class", "digits").agg(F.count(F.lit(1)).alias("n"))
+    # at most 16 ** DIGITS sets of digits for a class, at most 64 classes for a source
+    by_class = counted.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("digits", "n"))).alias("cells"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("class")))
+    side = rated.select(F.col("source").alias(f"{OWN}source"), "fraction")
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    reached = lambda n: F.floor(n.cast("double") * F.col("fraction") + start)
+    sized_classes = by_class.withColumn("upto", upto).join(side, F.col("source").eqNullSafe(F.col(f"{OWN}source")))
+    wanted = sized_classes.select("source", "class", "cells", (reached(F.col("upto")) - reached(F.col("upto") - F.col("n"))).alias("m")).where("m > 0")
+    none = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("string").alias("digits"))
+    step = lambda s, c: F.when(s["digits"].isNotNull(), s).otherwise(F.struct(F.when(s["before"] + c["n"] < F.col("m"), s["before"] + c["n"]).otherwise(s["before"]).alias("before"), F.when(s["before"] + c["n"] >= F.col("m"), c["digits"]).alias("digits")))
+    at = wanted.withColumn("at", F.aggregate("cells", none, step)).select(F.col("source").alias(f"{OWN}source"), F.col("class").alias(f"{OWN}class"), F.col("at.digits").alias(f"{OWN}digits"), (F.col("m") - F.col("at.before")).alias("rank"))
+    same = F.col("source").eqNullSafe(F.col(f"{OWN}source")) & (F.col("class") == F.col(f"{OWN}class")) & (F.col("digits") == F.col(f"{OWN}digits"))
+    order = F.row_number().over(Window.partitionBy("source", "class").orderBy("draw"))
+    ends = rows.join(at, same).withColumn("k", order).where("k = rank")
+    last = ends.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("class", "draw"))).alias("last")).withColumnRenamed("source", f"{OWN}source")
+    return rated.join(last, F.col("source").eqNullSafe(F.col(f"{OWN}source")), "left").select("source", "source_size", "n_docs", "target", "whole", F.coalesce("last", F.create_map().cast("map<int,string>")).alias("last"))
 
 
 def with_rates(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -145,37 +158,65 @@ def with_rates(rows: DataFrame, found: DataFrame) -> DataFrame:
     return join_counted(rows, side, same, F.col(f"{OWN}n_docs"), n)
 
 
-def copies(doc_id: Column, size: Column, seed: int = 0) -> Column:
-    """How often a document is taken, beside the columns of with_rates."""
-    more = F.coalesce(draw(doc_id, seed) < F.col(f"{OWN}chances")[size_class(size)], F.lit(False))
+def copies(size: Column) -> Column:
+    """How often a document is taken, beside its draw and the columns of with_rates."""
+    more = F.coalesce(F.col(f"{OWN}draw") <= F.col(f"{OWN}last")[size_class(size)], F.lit(False))
     return (F.col(f"{OWN}whole") + more.cast("long")).cast("long")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", token_count(F.col("text")).alias("size"))
+def repeats(rows: DataFrame) -> DataFrame | None:
+    """The keys of two rows or more, with their number of rows; None where there are none."""
+    found = materialize(rows.groupBy(f"{OWN}key").agg(F.count(F.lit(1)).alias(f"{OWN}n")).where(f"{OWN}n > 1"))
+    return None if found.isEmpty() else found
+
+
+def with_draws(rows: DataFrame, again: DataFrame | None, seed: int) -> DataFrame:
+    """rows (of keyed) with their draw instead of key and place; rows whose key is among again draw by their place too."""
+    key, columns = F.col(f"{OWN}key"), [c for c in rows.columns if c not in (f"{OWN}key", f"{OWN}place")]
+    if again is None:
+        return rows.select(*columns, draw(key, seed).alias(f"{OWN}draw"))
+    keys, total = again.agg(F.count(F.lit(1)), F.sum(f"{OWN}n")).first()
+    marked = again.select(F.col(f"{OWN}key").alias(f"{OWN}again"), f"{OWN}n")
+    same = key == F.col(f"{OWN}again")
+    if keys <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(marked), same, "left")
+    else:
+        hot = F.col(f"{OWN}n") > total / HOT_SHARE
+        often = F.broadcast(marked.where(hot))
+        joined = rows.join(often, same).unionByName(rows.join(often, same, "left_anti").join(marked.where(~hot), same, "left"))
+    apart = F.concat(key, F.lit(":"), F.col(f"{OWN}place").cast("string"))
+    return joined.select(*columns, draw(F.when(F.col(f"{OWN}again").isNull(), key).otherwise(apart), seed).alias(f"{OWN}draw"))
+
+
+def _sized(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, source, size, draw of each row, and the keys that repeat."""
+    rows = materialize(keyed(docs).select("doc_id", "source", token_count(F.col("text")).alias("size"), f"{OWN}key", f"{OWN}place"))
+    again = repeats(rows)
+    return materialize(with_draws(rows, again, seed)), again
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0) -> DataFrame:
     """What the mix takes, one row per row of docs: doc_id, size, source_size, target, copies, taken."""
-    sized = materialize(_sized(docs))
+    sized, _ = _sized(docs, seed)
     joined = with_rates(sized, rates(sized, weights, max_rate, seed))
-    times = copies(F.col("doc_id"), F.col("size"), seed)
-    return joined.select("doc_id", "size", F.col(f"{OWN}source_size").alias("source_size"), F.col(f"{OWN}target").alias("target"), times.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return joined.select("doc_id", "size", F.col(f"{OWN}source_size").alias("source_size"), F.col(f"{OWN}target").alias("target"), copies(F.col("size")).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0) -> DataFrame:
     """The mixed documents: each row of docs, all its columns, as often as it is taken."""
-    joined = with_rates(docs, rates(materialize(_sized(docs)), weights, max_rate, seed))
-    times = copies(F.col("doc_id"), token_count(F.col("text")), seed)
+    sized, again = _sized(docs, seed)
+    drawn = with_draws(keyed(docs), again, seed)
+    times = copies(token_count(F.col("text")))
     repeated = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>")))
-    return joined.withColumn(f"{OWN}copy", repeated).select(*docs.columns)
+    return with_rates(drawn, rates(sized, weights, max_rate, seed)).withColumn(f"{OWN}copy", repeated).select(*docs.columns)
 
 
-ORACLE_SQL = f"""
-WITH RECURSIVE sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+ORACLE_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents
 ), drawn AS (
-  SELECT *, length(bin(size)) AS class, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % {CELLS} AS cell FROM sized
+  SELECT *, length(bin(size)) AS class, md5('0:' || key) AS draw FROM sized
 ), per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), caps AS (
@@ -192,21 +233,19 @@ WITH RECURSIVE sized AS (
          CASE WHEN l.rnk < f.rnk THEN l.cap::DOUBLE ELSE (l.w * f.lft)::DOUBLE / f.w_left::DOUBLE END AS target
   FROM level l, f
 ), rated AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS whole FROM targets
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
+         ('0x' || substr(md5('0:' || coalesce('=' || source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE AS start FROM targets
 ), classes AS (
-  SELECT source, class, sum(size)::BIGINT AS words, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS k FROM drawn GROUP BY source, class
-), steps AS (
-  SELECT source, 0::BIGINT AS k, target - (whole * source_size)::DOUBLE AS wanted, source_size AS lft, NULL::BIGINT AS class, 0::BIGINT AS chance FROM rated
-  UNION ALL
-  SELECT source, k, wanted - coalesce((SELECT sum(size) FROM drawn d WHERE d.source IS NOT DISTINCT FROM n.source AND d.class = n.class AND d.cell < n.chance), 0)::DOUBLE, lft - words, class, chance
-  FROM (
-    SELECT s.source, c.k, s.wanted, s.lft, c.words, c.class,
-           greatest(0, least({CELLS}, floor(CASE WHEN s.lft > 0 THEN s.wanted / s.lft::DOUBLE ELSE 0.0 END * {CELLS} + 0.5)))::BIGINT AS chance
-    FROM steps s JOIN classes c ON s.source IS NOT DISTINCT FROM c.source AND c.k = s.k + 1
-  ) n
+  SELECT source, class, count(*) AS n, sum(count(*)) OVER (PARTITION BY source ORDER BY class DESC) AS upto FROM drawn GROUP BY source, class
+), more AS (
+  SELECT c.source, c.class, r.source_size, r.target, floor(r.rate)::BIGINT AS whole,
+         floor(c.upto::DOUBLE * (r.rate - floor(r.rate)) + r.start) - floor((c.upto - c.n)::DOUBLE * (r.rate - floor(r.rate)) + r.start) AS m
+  FROM classes c JOIN rated r ON c.source IS NOT DISTINCT FROM r.source
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY draw) AS k FROM drawn
 )
-SELECT d.doc_id, d.size, r.source_size, r.target, (d.size * (r.whole + (d.cell < s.chance)::BIGINT))::BIGINT AS taken
-FROM drawn d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.class = d.class
+SELECT d.doc_id, d.size, m.source_size, m.target, (d.size * (m.whole + (d.k <= m.m)::BIGINT))::BIGINT AS taken
+FROM ranked d JOIN more m ON m.source IS NOT DISTINCT FROM d.source AND m.class = d.class
 """
 
 
