@@ -127,6 +127,15 @@ def canonical_hash(value: Column, kind: DataType) -> Column:
     return F.sha2(canonical_json(value, kind), 256)
 
 
+def bag_digest(digest: Column) -> Column:
+    """Aggregate: names a bag of digests (64 hex digits each) whatever their order and partitions, in memory that does not grow.
+
+    The count and the sums of the eight parts of the digests, in a digest.
+    """
+    part = lambda k: F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(20,0)"))
+    return F.sha2(F.concat_ws(" ", F.count(digest).cast("string"), *[F.coalesce(part(k), F.lit(0)).cast("string") for k in range(8)]), 256)
+
+
 def set_hash(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """One row (members, hash) that names a set of rows, whatever their order and partitions.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,56 +16,94 @@ from ..functions.build import strip_compile_only
 from ..functions.paths import matches_any, relative_to
 from ..functions.regions import line_starts
 from ..functions.text import split_command
+from ..plans.scratch import written
 from ..values import HEADERS, MAX_ARGUMENTS, MAX_RESPONSE_DEPTH, SOURCE_LANGUAGE
+from . import json_arrays
 
-ENTRY = "ordinal int, directory string, file string, output string, arguments array<string>, command string"
+ENTRY = "path string, ordinal long, directory string, file string, output string, arguments array<string>, command string, problem string"
+#: Bytes up to which a document that is no array is parsed to say what it is instead.
+SMALL = 1_000_000
 
 
 class IntakeError(ValueError):
     """A compilation database that cannot be used, and why."""
 
 
-def load_entries(spark: SparkSession, path: str) -> DataFrame:
-    """ordinal, directory, file, output, arguments of a compilation database, in its order.
+def _problem(entry: object) -> str | None:
+    """What is wrong with an entry of a compilation database."""
+    if not isinstance(entry, dict):
+        return "is not an object"
+    for field in ("file", "directory"):
+        if not isinstance(entry.get(field), str) or not entry[field].strip():
+            return f"has no {field}"
+    if not entry["directory"].startswith("/"):
+        return "has a relative directory"
+    arguments, command = entry.get("arguments"), entry.get("command")
+    if arguments is not None:
+        if not (isinstance(arguments, list) and all(isinstance(a, str) for a in arguments)):
+            return "has arguments that are no list of strings"
+        return None if arguments else "has an empty list of arguments"
+    return None if isinstance(command, str) and command.strip() else "has neither arguments nor a command"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 3, pa.list_(pa.string()), *[pa.string()] * 2]
+    for batch in batches:
+        out = []
+        for path, ordinal, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            try:
+                entry = json.loads(text)
+                problem = _problem(entry)
+            except ValueError as e:
+                entry, problem = None, f"is not JSON: {e}" if text.strip() else "is empty"
+            if problem:
+                out.append((path, ordinal, *[None] * 5, problem))
+                continue
+            output = entry.get("output")
+            out.append((path, ordinal, entry["directory"], entry["file"], output if isinstance(output, str) else None, entry.get("arguments"), entry.get("command") if entry.get("arguments") is None else None, None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 8, kinds, strict=True)], [c.split()[0] for c in ENTRY.split(", ")])
+
+
+def _kind(spark: SparkSession, path: str) -> str | None:
+    """What a small document is, if it is JSON and no array."""
+    if (spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or SMALL) >= SMALL:
+        return None
+    try:
+        return {dict: "an object", str: "a string", list: None}.get(type(json.loads(spark.read.text(path, wholetext=True).first()[0])), "a single value")
+    except ValueError:
+        return None
+
+
+def load_databases(spark: SparkSession, path: str) -> DataFrame:
+    """path, ordinal, directory, file, output, arguments of the entries of all compilation databases at path.
 
-    One JSON document, read through Spark so that it may lie in any store.
-    Absent, empty, malformed and mistyped databases raise IntakeError, each
-    with its own message. Arguments win over a command, which is cut as a
-    shell does.
+    Read and parsed in parallel at byte ranges, from any store; the driver gets
+    one row per range and the first entry that cannot be used. Absent, empty,
+    malformed and mistyped databases raise IntakeError, each with its own
+    message. Arguments win over a command, which is cut as a shell does.
     """
     try:
-        rows = spark.read.text(path, wholetext=True).collect()
-    except Exception as e:
+        found = json_arrays.elements(spark, path)
+    except AnalysisException as e:
         raise IntakeError(f"{path}: there is no compilation database") from e
-    content = rows[0][0] if rows else ""
-    if not content.strip():
-        raise IntakeError(f"{path}: the compilation database is empty")
-    try:
-        parsed = json.loads(content)
-    except json.JSONDecodeError as e:
-        raise IntakeError(f"{path}: not JSON: {e}") from e
-    if not isinstance(parsed, list):
-        raise IntakeError(f"{path}: a compilation database is an array of entries")
-    if not parsed:
-        raise IntakeError(f"{path}: the compilation database has no entries")
-    out = []
-    for i, entry in enumerate(parsed):
-        if not isinstance(entry, dict):
-            raise IntakeError(f"{path}: entry {i} is not an object")
-        for field in ("directory", "file"):
-            if not isinstance(entry.get(field), str) or not entry[field]:
-                raise IntakeError(f"{path}: entry {i} has no {field}")
-        if not entry["directory"].startswith("/"):
-            raise IntakeError(f"{path}: entry {i} has a relative directory")
-        arguments, command = entry.get("arguments"), entry.get("command")
-        if arguments is not None and not (isinstance(arguments, list) and all(isinstance(a, str) for a in arguments)):
-            raise IntakeError(f"{path}: entry {i} has arguments that are no list of strings")
-        if arguments is None and not isinstance(command, str):
-            raise IntakeError(f"{path}: entry {i} has neither arguments nor a command")
-        output = entry.get("output")
-        out.append((i, entry["directory"], entry["file"], output if isinstance(output, str) else None, arguments, command))
-    entries = spark.createDataFrame(out, ENTRY)
-    return entries.withColumn("arguments", F.coalesce("arguments", split_command(F.col("command")))).drop("command")
+    except json_arrays.NotAnArray as e:
+        if kind := _kind(spark, path):
+            raise IntakeError(f"{path}: a compilation database is an array of entries, this is {kind}") from e
+        raise IntakeError(str(e).replace("the document", "the compilation database")) from e
+    entries = written(found.mapInArrow(_parsed, ENTRY))
+    bad = entries.where("problem is not null")
+    # a file that is not JSON is that first of all
+    first = bad.orderBy("path", ~F.col("problem").rlike("^is (not JSON|empty)"), "ordinal").first()
+    if first and first.problem == "is empty" and not first.ordinal and not entries.where((F.col("path") == first.path) & (F.col("ordinal") > 0)).limit(1).count():
+        raise IntakeError(f"{first.path}: the compilation database has no entries")
+    if first:
+        raise IntakeError(f"{first.path}: entry {first.ordinal} {first.problem}")
+    return entries.withColumn("arguments", F.coalesce("arguments", split_command(F.col("command")))).drop("command", "problem")
+
+
+def load_entries(spark: SparkSession, path: str) -> DataFrame:
+    """ordinal, directory, file, output, arguments of one compilation database; see load_databases."""
+    return load_databases(spark, path).drop("path")
 
 
 def expand_responses(entries: DataFrame, files: DataFrame, max_depth: int = MAX_RESPONSE_DEPTH) -> DataFrame:

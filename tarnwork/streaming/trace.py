@@ -1,9 +1,19 @@
-"""Run traces as streams: events of JSON lines counted as they are appended."""
+"""Run traces as streams: events counted as they are appended, written exactly once, and followed from a run's first to its last."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sinks.commits import Commits, Conflict
 
 EVENT = "event string, run_id string, policy_version string, at timestamp"
 
@@ -17,3 +27,73 @@ def event_counts(events: DataFrame, every: str = "5 minutes", late: str = "10 mi
     """run_id, event, start, n per window; events later than the watermark are left out, state is bounded by it."""
     counted = events.withWatermark("at", late).groupBy(F.window("at", every), "run_id", "event").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("run_id", "event", F.col("window.start").alias("start"), "n")
+
+
+def append_batch(batch: DataFrame, number: int, folder: str) -> bool:
+    """Write a batch of a stream to a trace folder, once: a batch whose number is committed changes nothing. Whether it was written."""
+    commits = Commits(batch.sparkSession, f"{folder}/commits")
+    entry = number + 1
+    if entry in commits.numbers():
+        return False
+    part = uuid.uuid4().hex
+    batch.write.parquet(f"{folder}/events/{part}")
+    try:
+        commits.put(entry, {"batch": number, "part": part, "schema": batch.schema.json()})
+    except Conflict:  # another attempt at this batch was first
+        return False
+    return True
+
+
+def write_trace(events: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Start appending a stream of events to a trace folder, each batch exactly once, whatever is replayed."""
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: append_batch(batch, number, folder))
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_committed(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of all committed batches of a trace folder, with their batch."""
+    commits = Commits(spark, f"{folder}/commits")
+    found = [commits.read(n) for n in commits.numbers()]
+    if not found:
+        raise ValueError(f"{folder} has no committed batch")
+    schema = T.StructType.fromJson(json.loads(found[-1]["schema"]))
+    rows = spark.read.schema(schema).parquet(*[f"{folder}/events/{e['part']}" for e in found])
+    batch_of = spark.createDataFrame([(e["part"], e["batch"]) for e in found], "__part string, batch long")
+    part = F.regexp_extract(F.col("_metadata.file_path"), "/events/([^/]*)/[^/]*$", 1)
+    return rows.withColumn("__part", part).join(F.broadcast(batch_of), "__part").drop("__part")
+
+
+RUN = "run_id string, opened timestamp, closed timestamp, last timestamp, events long, outcome string"
+RUN_STATE = "opened long, closed long, last long, events long"
+#: Microseconds later than any event: no closing event yet.
+NEVER = 1 << 62
+
+
+def runs(events: DataFrame, closing: str = "run_closed", silent: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """One row per run of a stream of events (run_id, event, at), once no more of it can come.
+
+    A run is closed when the watermark passes its first closing event, and
+    abandoned when the watermark passes its last event by silent. The state of
+    a run is four numbers, whatever the number and order of its events, so
+    results do not depend on how the stream is cut into batches.
+    """
+    wait = int(pd.Timedelta(silent).total_seconds() * 1e6)
+    moment = lambda x: pd.to_datetime([x], unit="us")
+
+    def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, closed, last, n = state.get if state.exists else (NEVER, NEVER, -NEVER, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"run_id": [key[0]], "opened": moment(opened), "closed": moment(None if closed == NEVER else closed), "last": moment(last), "events": [n], "outcome": ["abandoned" if closed == NEVER else "closed"]})
+            return
+        for chunk in chunks:
+            at = chunk["at"].to_numpy().astype("datetime64[us]").astype("int64")
+            ends = at[(chunk["event"] == closing).to_numpy()]
+            opened, last, n = min(opened, int(at.min())), max(last, int(at.max())), n + len(chunk)
+            closed = min(closed, int(ends.min())) if len(ends) else closed
+        state.update((opened, closed, last, n))
+        due = last + wait if closed == NEVER else closed
+        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
+
+    keyed = events.withWatermark("at", late).groupBy("run_id")
+    return keyed.applyInPandasWithState(follow, RUN, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
