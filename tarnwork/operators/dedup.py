@@ -83,14 +83,19 @@ def cluster_places(candidates: DataFrame, tolerance: int = MERGE_TOLERANCE) -> D
     return sorted_places.mapInPandas(lambda it: _fold(it, tolerance), schema)
 
 
+def _clustered(candidates: DataFrame, tolerance: int) -> DataFrame:
+    """candidates with the cluster of their place."""
+    places = cluster_places(candidates, tolerance).withColumnsRenamed({"fingerprint": "__fp", "line": "__line", "symbol": "__symbol"})
+    same_place = (F.col("fingerprint") == F.col("__fp")) & (F.col("line") == F.col("__line")) & F.col("symbol").eqNullSafe(F.col("__symbol"))
+    return candidates.join(places, same_place).drop("__fp", "__line", "__symbol")
+
+
 def merge_candidates(candidates: DataFrame, tolerance: int = MERGE_TOLERANCE) -> DataFrame:
     """One row per cluster: the earliest candidate's id and line, the number merged, and all tools in first-seen order.
 
     candidates: fingerprint, line, symbol, candidate_id, tool.
     """
-    places = cluster_places(candidates, tolerance).withColumnsRenamed({"fingerprint": "__fp", "line": "__line", "symbol": "__symbol"})
-    same_place = (F.col("fingerprint") == F.col("__fp")) & (F.col("line") == F.col("__line")) & F.col("symbol").eqNullSafe(F.col("__symbol"))
-    clustered = candidates.join(places, same_place)
+    clustered = _clustered(candidates, tolerance)
     # a row per cluster and tool first, so that a cluster brings no more than its tools together
     first = F.min(F.struct("line", "candidate_id")).alias("first")
     by_tool = clustered.groupBy("fingerprint", "cluster", "cluster_symbol", "tool").agg(first, F.count(F.lit(1)).alias("merged"))
@@ -99,6 +104,28 @@ def merge_candidates(candidates: DataFrame, tolerance: int = MERGE_TOLERANCE) ->
     return merged.select("fingerprint", F.col("first.line").alias("line"), F.col("first.candidate_id").alias("candidate_id"), "merged", "tools")
 
 
+def merged_lists(candidates: DataFrame, tolerance: int = MERGE_TOLERANCE) -> DataFrame:
+    """fingerprint, candidate_id of each cluster of merge_candidates, with all cwes and provenance of its members in first-seen order.
+
+    candidates: fingerprint, line, symbol, candidate_id, cwes (array), and
+    provenance (array of strings). Members come by (line, candidate_id), and
+    within one its lists in their order. A cluster brings one row per distinct
+    value together, not its members.
+    """
+    clustered = _clustered(candidates, tolerance)
+    cluster = ["fingerprint", "cluster", "cluster_symbol"]
+    first = clustered.groupBy(*cluster).agg(F.min(F.struct("line", "candidate_id")).alias("first"))
+    out = first.select(*cluster, F.col("first.candidate_id").alias("candidate_id"))
+    for name in ("cwes", "provenance"):
+        seen = clustered.select(*cluster, "line", "candidate_id", F.posexplode(name).alias("at", "value")).groupBy(*cluster, "value").agg(F.min(F.struct("line", "candidate_id", "at")).alias("seen"))
+        lists = seen.groupBy(*cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "value"))), lambda x: x["value"]).alias(name))
+        mine = lists.withColumnsRenamed({c: f"__{c}" for c in cluster})
+        same = (F.col("fingerprint") == F.col("__fingerprint")) & (F.col("cluster") == F.col("__cluster")) & F.col("cluster_symbol").eqNullSafe(F.col("__cluster_symbol"))
+        out = out.join(mine, same, "left").drop(*[f"__{c}" for c in cluster])
+    none = F.array().cast("array<string>")
+    return out.select("fingerprint", "candidate_id", F.coalesce("cwes", none).alias("cwes"), F.coalesce("provenance", none).alias("provenance"))
+
+
 def merge_by_fingerprint(candidates: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each fingerprint in order, with the number merged: place is ignored."""
     rest = [c for c in candidates.columns if c != key]

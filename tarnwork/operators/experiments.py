@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import set_hash
+from ..functions.ids import bag_digest, set_hash
 from ..values import STAGES_OF_ATTRIBUTION
 
 
@@ -34,9 +34,12 @@ def differing_fields(left: Mapping[str, object], right: Mapping[str, object]) ->
 
 
 def deltas(scores: DataFrame, baseline: str) -> DataFrame:
-    """name, score, delta to the baseline's score."""
-    base = scores.where(F.col("name") == baseline).select(F.col("score").alias("__base"))
-    return scores.crossJoin(F.broadcast(base)).select("name", "score", (F.col("score") - F.col("__base")).alias("delta"))
+    """name, score, delta to the baseline's score; scores that have no such baseline, or two, raise."""
+    # one row
+    base = scores.where(F.col("name") == baseline).agg(F.count(F.lit(1)).alias("__n"), F.max("score").alias("__base"))
+    none = F.raise_error(F.lit(f"there is no single baseline {baseline}")).cast("double")
+    delta = F.when(F.col("__n") != 1, none).otherwise(F.col("score") - F.col("__base"))
+    return scores.crossJoin(F.broadcast(base)).select("name", "score", delta.alias("delta"))
 
 
 def earns_itself(scores: DataFrame, baseline: str, control: str, measure: str = "score") -> DataFrame:
@@ -46,8 +49,8 @@ def earns_itself(scores: DataFrame, baseline: str, control: str, measure: str =
 
 
 def exclusions_agree(excluded: DataFrame) -> DataFrame:
-    """One row: whether all configurations excluded the same cases; rows (name, case_id)."""
-    sets = excluded.groupBy("name").agg(F.sort_array(F.collect_set("case_id")).alias("cases"))
+    """One row: whether all configurations excluded the same cases; rows (name, case_id). Sets are compared by their digests."""
+    sets = excluded.select("name", "case_id").distinct().groupBy("name").agg(bag_digest(F.sha2(F.col("case_id").cast("string"), 256)).alias("cases"))
     return sets.agg((F.count_distinct("cases") <= 1).alias("agree"))
 
 
@@ -75,20 +78,30 @@ def comparable(left: Mapping[str, object], right: Mapping[str, object]) -> list[
 
 
 def caveats(left: Mapping[str, object], right: Mapping[str, object]) -> list[str]:
-    """What could not be checked when two runs are compared."""
+    """What could not be checked when two runs are compared, and what the comparison is not about."""
     out = [f"{side} records no experiment" for side, run in (("baseline", left), ("other", right)) if not run.get("experiment")]
-    return out + [f"{side} records no scope" for side, run in (("baseline", left), ("other", right)) if not run.get("scope")]
+    out += [f"{side} records no scope" for side, run in (("baseline", left), ("other", right)) if not run.get("scope")]
+    a, b = bool(left.get("adjudicated")), bool(right.get("adjudicated"))
+    recorded = lambda run, policy: (run.get("policies") or {}).get(policy)
+    for policy in ("matching", *(("prompt", "retrieval") if a and b else ())):
+        if not (recorded(left, policy) and recorded(right, policy)):
+            out.append(f"the {policy} policy is not recorded by both")
+    if a == b:
+        out.append("both took part with a model: a change between two such runs" if a else "no model took part: two measurements of analyzers")
+    return out
 
 
 def attribution(reports: DataFrame, deferred: Sequence[str] = ()) -> DataFrame:
-    """stage, status, macro_f2 of every stage, measured or not; an identity other than A0's is an error."""
+    """stage, status, macro_f2 of every stage, measured or not; reports without A0, or of another identity than A0's, raise."""
     spark = reports.sparkSession
     stages = spark.createDataFrame([(s, s in deferred) for s in STAGES_OF_ATTRIBUTION], "stage string, deferred boolean")
-    first = reports.where("stage = 'A0'").select(F.col("identity").alias("__first"))
-    joined = stages.join(reports, "stage", "left").join(F.broadcast(first))
+    # one row, also where there is no such stage
+    first = reports.where("stage = 'A0'").agg(F.max("identity").alias("__first"))
+    joined = stages.join(reports, "stage", "left").crossJoin(F.broadcast(first))
     wrong = F.col("identity").isNotNull() & (F.col("identity") != F.col("__first"))
-    status = F.when(wrong, F.raise_error(F.concat(F.lit("another experiment in stage "), F.col("stage"))).cast("string")).when(F.col("identity").isNotNull(), "measured").when(F.col("deferred"), "deferred").otherwise("not_run")
-    return joined.select("stage", status.alias("status"), "macro_f2")
+    fail = lambda *text: F.raise_error(F.concat(*text)).cast("string")
+    status = F.when(F.col("__first").isNull(), fail(F.lit("stage A0 is not among the reports"))).when(wrong, fail(F.lit("another experiment in stage "), F.col("stage")))
+    return joined.select("stage", status.when(F.col("identity").isNotNull(), "measured").when(F.col("deferred"), "deferred").otherwise("not_run").alias("status"), "macro_f2")
 
 
 def repeatable(attempts: DataFrame) -> DataFrame:
@@ -111,6 +124,6 @@ def run_repeatedly(spark: SparkSession, run: Callable[[int], DataFrame], repetit
     return spark.createDataFrame(attempts, "attempt int, completed boolean, result_hash string")
 
 
-def identity(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """key, identity: a hash of each key's rows that does not depend on their order."""
-    return rows.groupBy(key).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*order)))), 256).alias("identity"))
+def identity(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """key, identity: a digest of each key's rows that does not depend on their order, in memory that does not grow with them."""
+    return rows.groupBy(key).agg(bag_digest(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)).alias("identity"))

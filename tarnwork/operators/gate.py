@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ranks, weakness
+from ..functions import ids, ranks, weakness
 from ..values import BLOCKING_REASONS, EXPLOITABILITIES, FLOW_KINDS, REACHABILITIES, UPSTREAM_ROLES
+from .dedup import evidence_union
 
 #: Failures that lower a claim and the confidence, and do not refuse the answer.
 LOWERING = ("impact_exceeds_evidence",)
@@ -110,17 +111,77 @@ def promote(candidates: DataFrame, files: DataFrame) -> DataFrame:
     from ..functions.regions import slice_bytes
     from ..values import IMPACT_OF_FAMILY
 
-    joined = candidates.join(files.select("path", "content"), "path", "left")
+    by_case = [c for c in ("case_id",) if c in files.columns]
+    joined = candidates.join(files.select(*by_case, "path", "content"), [*by_case, "path"], "left")
     stale = F.coalesce(F.sha2(slice_bytes(F.col("content"), F.col("start_byte"), F.col("end_byte")), 256) != F.lower("sha256"), F.lit(True))
     family = F.get(weakness.families_of(F.col("cwes")), F.lit(0))
     part = lambda i, other: F.coalesce(lookup({f: v[i] for f, v in IMPACT_OF_FAMILY.items()}, family), F.lit(other))
     reason = F.when(stale, "hash_mismatch").when(family.isNull(), "out_of_scope_family").otherwise("analyzer_only")
     return joined.select(
-        "candidate_id", weakness.primary(F.col("cwes"), F.col("message")).alias("cwe"), family.alias("family"), part(0, "undefined_behavior").alias("impact"), part(1, "low").alias("severity"),
+        "candidate_id", *by_case, weakness.primary(F.col("cwes"), F.col("message")).alias("cwe"), family.alias("family"), part(0, "undefined_behavior").alias("impact"), part(1, "low").alias("severity"),
         F.when(reason == "analyzer_only", "medium").otherwise("review_required").alias("confidence"), reason.alias("reason"), F.lit("unknown").alias("reachability"), F.lit("unknown").alias("exploitability"),
     )
 
 
+ITEM = "struct<evidence_id:string,kind:string,path:string,start_line:int,end_line:int,start_byte:bigint,end_byte:bigint,sha256:string,symbol:string>"
+#: What to do about a weakness of each family, and about others.
+REMEDIES = {
+    "out_of_bounds": "Check the index or length against the size of the object before the access.",
+    "memory_lifetime": "Give the object one owner, and drop every other reference when it is freed.",
+    "null_uninitialized": "Initialize the value, or test it, on every path that leads to its use.",
+    "integer": "Test the operands before the operation, or compute in a wider type.",
+    "resource_leak": "Release the resource on every way out, early returns and errors included.",
+    "injection": "Keep untrusted text out of the command or query: pass it as data.",
+}
+OTHER_REMEDY = "Review the diagnostic and the code around it."
+LIMIT = "array<struct<kind:string,detail:string,affects:string>>"
+
+
+def _item(kind: str, path: Column, region: Column, symbol: Column) -> Column:
+    start, end = region["start_byte"].cast("long"), region["end_byte"].cast("long")
+    name = ids.evidence_id(F.lit(kind), path, start, end, region["sha256"])
+    fields = {"evidence_id": name, "kind": F.lit(kind), "path": path, "start_line": region["start_line"], "end_line": region["end_line"], "start_byte": start, "end_byte": end, "sha256": region["sha256"], "symbol": symbol}
+    return F.struct(*[c.alias(n) for n, c in fields.items()]).cast(ITEM)
+
+
+def findings(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """Whole findings without a model: what ``promote`` decides, and finding_id, fingerprint, evidence, symbol, texts, limitations.
+
+    candidates: as for promote, and start_line, end_line, symbol (a name or
+    null), enclosing (the region that holds the symbol: struct of lines, bytes
+    and sha256, or null), steps (array of ITEM, the analyzer's path). Evidence
+    is the diagnostic, the enclosing code, then the steps in their order, each
+    id once. A symbol is carried only with a region that proves it; one that
+    is not proven is a limitation. Where candidates and files have a case_id,
+    both belong together by it.
+    """
+    from ..functions.build import lookup
+
+    by_case = [c for c in ("case_id",) if c in files.columns]
+    rows = promote(candidates, files).join(candidates.select("candidate_id", *by_case, "path", "start_line", "end_line", "start_byte", "end_byte", "sha256", "message", "symbol", "enclosing", "steps"), ["candidate_id", *by_case])
+    enclosed = F.col("enclosing").isNotNull()
+    proven = F.when(enclosed, F.col("symbol"))
+    region = F.struct("start_line", "end_line", "start_byte", "end_byte", "sha256")
+    none = F.array().cast(f"array<{ITEM}>")
+    own = F.array(_item("analyzer_diagnostic", F.col("path"), region, F.lit(None).cast("string")))
+    around = F.when(enclosed, F.array(_item("primary_code", F.col("path"), F.col("enclosing"), proven))).otherwise(none)
+    evidence = evidence_union(F.concat(own, around), F.coalesce(F.col("steps").cast(f"array<{ITEM}>"), none))
+    where = F.concat("path", F.lit(":"), F.col("start_line").cast("string"))
+    rationale = F.when(F.col("reason") == "out_of_scope_family", F.concat(F.col("cwe"), F.lit(" is not among the families that are judged"))).otherwise(F.concat(F.lit("the rule behind the diagnostic stands for "), "cwe"))
+    limit = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), F.col("path").alias("affects"))
+    unproven = F.col("symbol").isNotNull() & ~enclosed
+    limits = F.concat(
+        F.array(limit("no_evidence_expansion", F.lit("analyzer only: nothing was retrieved and no model was asked"))).cast(LIMIT),
+        F.when(unproven, F.array(limit("unresolved_symbol", F.concat(F.lit("no region proves that the line is inside "), F.coalesce("symbol", F.lit(""))))).cast(LIMIT)).otherwise(F.array().cast(LIMIT)),
+    )
+    return rows.select(
+        "candidate_id", *by_case, ids.finding_id(F.col("cwe"), F.col("path"), proven, F.col("message"), F.col("start_byte"), F.col("end_byte")).alias("finding_id"), ids.dedup_fingerprint(F.col("cwe"), F.col("path"), proven, F.col("message")).alias("fingerprint"),
+        "cwe", rationale.alias("cwe_rationale"), "family", "path", "start_line", "end_line", "start_byte", "end_byte", "sha256", proven.alias("symbol"), evidence.alias("evidence"), "impact", "severity", F.col("message").alias("description"),
+        F.concat(F.lit("an analyzer reported this at "), where, F.lit("; the evidence is its diagnostic and that region")).alias("evidence_supports"), "reachability", "exploitability", "confidence", "reason",
+        F.coalesce(lookup(REMEDIES, F.col("family")), F.lit(OTHER_REMEDY)).alias("remediation"), limits.alias("limitations"),
+    )
+
+
 def sections(findings: DataFrame, resolved: DataFrame) -> DataFrame:
     """findings with section (confirmed, needs_review), and confidence and reason lowered by their first failing citation.
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import difflib
+import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..values import COVERAGE_FLOOR, FLOOR_EPSILON
 from .dedup import last_entry
 from .metrics import ratio
 
+#: Targets that are compared in one task at most.
+TARGETS = 200
+
 
 def plan(entries: DataFrame, path: str = "path", ordinal: str = "ordinal") -> DataFrame:
     """Entries inside the root, the last of each path; those outside have a null path and are dropped."""
@@ -53,16 +59,39 @@ def unmatched_targets(targets: DataFrame, paths: DataFrame) -> DataFrame:
     return targets.join(prefixes, "target", "left_anti")
 
 
-def suggestions(missing: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
-    """missing, suggestion: known paths of the same base name or nearest edit distance, for messages only.
+def suggestions(missing: DataFrame, known: DataFrame, most: int = 3, least: float = 0.4) -> DataFrame:
+    """target, suggestions: the known paths closest to each missing target, for messages; none are an empty list.
 
-    Only paths that share a first letter of the base name are compared.
+    Closeness is the ratio of difflib, at least ``least``; the best first, of
+    equal ones the path that is later by code point, as get_close_matches has
+    it. Targets are what a user asked for, so every target meets every path:
+    in blocks of TARGETS, the paths dealt out, each task keeping its best.
     """
-    base = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
-    m = missing.select(F.col("target"), base(F.col("target")).alias("b"), F.substring(base(F.col("target")), 1, 1).alias("k"))
-    k = known.select(F.col("path"), base(F.col("path")).alias("pb"), F.substring(base(F.col("path")), 1, 1).alias("k"))
-    scored = m.join(k, "k").withColumn("d", F.levenshtein("b", "pb", 3)).where("d >= 0")
-    return scored.groupBy("target").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("d", "path"))), 1, most), lambda x: x["path"]).alias("suggestions"))
+    targets = missing.select(F.col("target").cast("string").alias("target")).where("target is not null").distinct()
+    paths = known.select(F.col("path").cast("string").alias("path")).where("path is not null").distinct()
+    blocks = max(1, -(-targets.count() // TARGETS))
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = targets.withColumn("block", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int")).withColumn("slice", every(parts))
+    right = paths.withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+
+    def closest(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for target in mine["target"]:
+            matcher = difflib.SequenceMatcher(b=target)
+            held: list[tuple[float, str]] = []
+            for path in theirs["path"]:
+                matcher.set_seq1(path)
+                floor = max(least, held[0][0]) if len(held) == most else least
+                if matcher.real_quick_ratio() >= floor and matcher.quick_ratio() >= floor and (ratio := matcher.ratio()) >= floor:
+                    (heapq.heappushpop if len(held) == most else heapq.heappush)(held, (ratio, path))
+            found += [(target, ratio, path) for ratio, path in held]
+        return pd.DataFrame(found, columns=["target", "ratio", "path"])
+
+    best = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(closest, "target string, ratio double, path string")
+    ranked = best.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("ratio"), F.desc("path")))).where(F.col("k") <= most)
+    listed = ranked.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"]).alias("suggestions"))
+    return targets.join(listed, "target", "left").select("target", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
 
 
 def reusable_units(inputs: DataFrame, current: DataFrame) -> DataFrame:

@@ -48,18 +48,26 @@ def resolve(citations: DataFrame, files: DataFrame, exclude: Sequence[str] = (),
     citations: citation_id, evidence_id, issued, path, lines, bytes, sha256;
     files: path, size, starts (line offsets), content. The order is: id
     issued, path given, inside the root, numbers, filter, presence, size,
-    lines, bytes, hash.
+    lines, bytes, hash. Where files have a case_id, a citation is resolved
+    against the files of its own case; a path that has two files raises.
     """
-    f = files.select(F.col("path").alias("__path"), F.col("size").alias("__size"), F.col("starts").alias("__starts"), F.col("content").alias("__content"))
+    by_case = "case_id" in files.columns
+    case = [F.col("case_id").alias("__case")] if by_case else []
+    key = [*(["__case"] if by_case else []), "__path"]
+    f = files.select(*case, F.col("path").alias("__path"), F.col("size").alias("__size"), F.col("starts").alias("__starts"), F.col("content").alias("__content"))
+    twice = f.groupBy(*key).agg(F.count(F.lit(1)).alias("__files")).where("__files > 1")
+    f = f.join(twice, key, "left")
     clean = citations.withColumn("__clean", canonical_path(F.col("path")))
-    joined = clean.join(f, F.col("__clean") == F.col("__path"), "left")
+    same = F.col("__clean") == F.col("__path")
+    joined = clean.join(f, same & (F.col("case_id") == F.col("__case")) if by_case else same, "left")
     first = F.coalesce("start_line", F.lit(1))
     last = F.coalesce("end_line", first)
     span = line_to_bytes(F.col("__starts"), F.col("__size").cast("long"), first, last)
     begin, end = F.coalesce("start_byte", span["start"]), F.coalesce("end_byte", span["end"])
     seen = F.sha2(slice_bytes(F.col("__content"), begin, end), 256)
     status = (
-        F.when(F.col("evidence_id").isNotNull() & F.col("issued").isNull(), "unknown_evidence_id")
+        F.when(F.col("__files") > 1, F.raise_error(F.concat(F.lit("two files are called "), F.col("__path"))).cast("string"))
+        .when(F.col("evidence_id").isNotNull() & F.col("issued").isNull(), "unknown_evidence_id")
         .when(F.col("path").isNull(), "byte_range_invalid")
         .when(F.col("__clean").isNull(), "outside_repo_root")
         .when(range_problem().isNotNull(), "byte_range_invalid")
@@ -71,7 +79,7 @@ def resolve(citations: DataFrame, files: DataFrame, exclude: Sequence[str] = (),
         .when(F.col("sha256").isNotNull() & (F.lower("sha256") != seen), "hash_mismatch")
         .otherwise("ok")
     )
-    return joined.withColumn("status", status).drop("__path", "__size", "__starts", "__content", "__clean")
+    return joined.withColumn("status", status).drop("__path", "__size", "__starts", "__content", "__clean", "__files", "__case")
 
 
 def check_symbols(resolved: DataFrame, symbols: DataFrame) -> DataFrame:

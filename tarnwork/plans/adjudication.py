@@ -175,7 +175,7 @@ def adjudicate(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in OUTCOME.replace("struct<tier:string,number:int,outcome:string,detail:string>", "x").split(", ")]
         for batch in batches:
-            rows = [adjudicate_one(r, provider, allow_escalation, escalate_at, most) for r in batch.to_dict("records")]
+            rows = [adjudicate_one(r, provider.anew() if isinstance(provider, Replay) else provider, allow_escalation, escalate_at, most) for r in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=names).assign(attempts=lambda d: [[{"tier": t, "number": n, "outcome": o, "detail": x} for t, n, o, x in log] for log in d["attempts"]])
 
     asked = known.where("prompt is not null and not starved").select("candidate_id", "prompt", "issued", "severity", "triage", "remembered").mapInPandas(run, OUTCOME)
@@ -187,11 +187,18 @@ def adjudicate(
 
 
 class Replay:
-    """A provider of recorded turns: those of a prompt's key and tier in order, then failures of transport."""
+    """A provider of recorded turns: those of a prompt's key and tier in order, then failures of transport.
+
+    Each candidate hears them from the first, so an answer does not depend on
+    which other candidates its task has.
+    """
 
     def __init__(self, turns: Mapping[tuple[str, str], Sequence[Mapping[str, object]]]) -> None:
         self.turns, self.at = turns, {}
 
+    def anew(self) -> Replay:
+        return Replay(self.turns)
+
     def __call__(self, tier: str, prompt: str, correction: str | None) -> Reply:
         place = (prompt, tier)
         n = self.at[place] = self.at.get(place, -1) + 1

@@ -24,10 +24,16 @@ def run_suite(candidates: DataFrame, truths: DataFrame, files: DataFrame, lines_
 
     Findings are promoted without a model, every location is resolved against
     the files, confirmed ones are matched to truths, and metrics and gates are
-    computed. lines_of_code: case_id, n.
+    computed. lines_of_code: case_id, n. Where files have a case_id, each case
+    has its own; a finding is known by its case and candidate.
     """
-    promoted = gate.promote(candidates, files).join(candidates.select("candidate_id", "case_id", "path", "start_line", "end_line", "start_byte", "end_byte", "sha256"), "candidate_id").withColumn("finding_id", F.col("candidate_id"))
-    citations = promoted.select(F.col("finding_id").alias("citation_id"), F.lit(None).cast("string").alias("evidence_id"), F.lit(None).cast("boolean").alias("issued"), "path", "start_line", "end_line", "start_byte", "end_byte", "sha256")
+    places = candidates.select("candidate_id", "case_id", "path", "start_line", "end_line", "start_byte", "end_byte", "sha256")
+    if "case_id" in files.columns:
+        promoted = gate.promote(candidates, files).join(places, ["candidate_id", "case_id"])
+        promoted = promoted.withColumn("finding_id", F.concat("case_id", F.lit("/"), "candidate_id"))
+    else:
+        promoted = gate.promote(candidates, files).join(places, "candidate_id").withColumn("finding_id", F.col("candidate_id"))
+    citations = promoted.select("case_id", F.col("finding_id").alias("citation_id"), F.lit(None).cast("string").alias("evidence_id"), F.lit(None).cast("boolean").alias("issued"), "path", "start_line", "end_line", "start_byte", "end_byte", "sha256")
     resolved = resolution.resolve(citations, files)
     findings = gate.sections(promoted, resolved.select(F.col("citation_id").alias("finding_id"), F.lit(0).alias("place"), "status"))
     confirmed = findings.where("section = 'confirmed'")

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _all() -> None:
     """The other modules add their queries when they are imported."""
-    from . import function_queries, relation_queries, store_queries  # noqa: F401
+    from . import finding_queries, function_queries, relation_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -730,7 +730,13 @@ def repeatability(s: SparkSession, d: str) -> DataFrame:
     return experiments.repeatable(t(s, d, "orders").select((F.col("o_orderstatus") != "P").alias("completed"), F.concat(F.lit("h"), (F.col("o_orderkey") % 2).cast("string")).alias("result_hash")))
 
 
-@query("identities", """SELECT l_partkey, sha256('[' || string_agg('{"l_suppkey":' || l_suppkey || ',"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || '}', ',' ORDER BY l_suppkey, l_orderkey, l_linenumber) || ']') AS identity FROM lineitem GROUP BY 1""")
+@query(
+    "identities",
+    """WITH h AS (SELECT l_partkey, sha256('{"l_suppkey":' || l_suppkey || ',"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || '}') AS h FROM lineitem)
+    SELECT l_partkey, sha256(count(*)"""
+    + "".join(f" || ' ' || sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT)" for k in range(8))
+    + ") AS identity FROM h GROUP BY 1",
+)
 def identities(s: SparkSession, d: str) -> DataFrame:
     return experiments.identity(t(s, d, "lineitem"), "l_partkey", ["l_suppkey", "l_orderkey", "l_linenumber"])
 

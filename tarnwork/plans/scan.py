@@ -59,15 +59,20 @@ def run_limitations(runs: DataFrame) -> DataFrame:
 
 
 def generate_candidates(outputs: DataFrame, files: DataFrame, root: str, producer: str, checks: DataFrame, kind: str = "text") -> DataFrame:
-    """Merged candidates of analyzer outputs (run, text): parsed, placed, classified by rule, merged by place."""
+    """Merged candidates of analyzer outputs (run, text): parsed, placed, classified by rule, merged by place.
+
+    A merged candidate has the weaknesses and rules of all its members, in
+    first-seen order, and the region and message of the earliest.
+    """
     parse = {"text": d.parse_text, "json": d.parse_json, "sarif": d.parse_sarif}[kind]
     parsed = parse(outputs).withColumn("rule_id", F.coalesce("rule_id", F.lit("")))
     matched = intake.rules_lookup(parsed.select("rule_id").distinct(), checks.select("check_id"))
     rules = matched.join(checks.select("check_id", "cwes"), "check_id", "left").select("rule_id", "cwes")
     found = d.candidates(parsed, files, root, producer, rules).where("drop_reason is null")
-    placed = found.select("fingerprint", F.col("region.start_line").alias("line"), "symbol", "candidate_id", F.lit(producer).alias("tool"))
-    merged = dedup.merge_candidates(placed)
-    return merged.join(found.select("candidate_id", "region", "message", "cwes").dropDuplicates(["candidate_id"]), "candidate_id")
+    rule = F.array(F.concat_ws(":", F.lit(producer), "rule_id"))
+    placed = found.select("fingerprint", F.col("region.start_line").alias("line"), "symbol", "candidate_id", F.lit(producer).alias("tool"), "cwes", rule.alias("provenance"))
+    merged = dedup.merge_candidates(placed).join(dedup.merged_lists(placed), ["fingerprint", "candidate_id"])
+    return merged.join(found.select("candidate_id", "region", "message").dropDuplicates(["candidate_id"]), "candidate_id")
 
 
 def build_index(inputs: DataFrame, current: DataFrame, cached: DataFrame, parse: Callable[[DataFrame], DataFrame], units: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,5 +130,9 @@ def notifications(partial: bool, coverage: Mapping[str, object], counts: Mapping
 
 
 def exit_code(failed: bool, confirmed: int, partial: bool) -> int:
-    """0 clean, 1 findings, 2 partial, 3 nothing could run."""
-    return 3 if failed else 2 if partial else 1 if confirmed else 0
+    """1 with confirmed findings, also of a partial run; 3 where nothing could run, or a partial run found nothing; else 0. 2 is for wrong usage, which no run reports."""
+    if failed:
+        return 3
+    if confirmed:
+        return 1
+    return 3 if partial else 0

@@ -15,12 +15,16 @@ import os
 import tarfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.weakness import sort_key
 from ..operators.dedup import first_of
+from .commits import Commits
+
+#: Rules, and weaknesses, that the head of a report lists at most: it is one value.
+MOST_RULES = 100_000
 
 
 def ordered_evidence(evidence: Column) -> Column:
@@ -110,8 +114,10 @@ def sarif_results(findings: DataFrame, evidence: DataFrame | None = None) -> Dat
 
 
 def _indexed(findings: DataFrame, tool: str) -> tuple[DataFrame, list[str]]:
-    """findings with the index of their rule; rules and weaknesses are lists of a catalogue's size."""
-    names = [r["rule_id"] for r in rules(findings.withColumn("tool", F.lit(tool))).collect()]
+    """findings with the index of their rule; rules and weaknesses are lists of a catalogue's size, and more than that is an error."""
+    names = [r["rule_id"] for r in rules(findings.withColumn("tool", F.lit(tool))).limit(MOST_RULES + 1).collect()]
+    if len(names) > MOST_RULES or taxa(findings).limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules or weaknesses are no catalogue")
     index = findings.sparkSession.createDataFrame(list(enumerate(names)), "rule_index int, rule_id string")
     return findings.join(F.broadcast(index), "rule_id"), names
 
@@ -251,9 +257,19 @@ def verify_bundle(path: str) -> dict[str, str]:
     return manifest
 
 
-def record_access(ledger: DataFrame, policy_version: str) -> int:
-    """How often held-out data were used under a policy version, this time included."""
-    return ledger.where(F.col("policy_version") == policy_version).count() + 1
+def record_access(spark: SparkSession, folder: str, policy_version: str, **about: object) -> int:
+    """Note that held-out data are used under a policy version; how often they were, this time included.
+
+    The note is an entry that only one run can make under its number, so two
+    runs at once never both were the first.
+    """
+    return Commits(spark, f"{folder}/{hashlib.sha256(policy_version.encode()).hexdigest()[:32]}").append({"policy_version": policy_version, **about})
+
+
+def accesses(spark: SparkSession, folder: str, policy_version: str) -> list[dict]:
+    """The notes of record_access under a policy version, in order."""
+    log = Commits(spark, f"{folder}/{hashlib.sha256(policy_version.encode()).hexdigest()[:32]}")
+    return [log.read(n) for n in log.numbers()]
 
 
 def put_responses(new: DataFrame, stored: DataFrame) -> DataFrame:

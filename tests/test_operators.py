@@ -262,7 +262,6 @@ def test_intake(spark):
     assert dict(rows(intake.rules_lookup(ids, checks))) == {"clang-analyzer-unix.Malloc": "unix.Malloc", "core.NullDereference": "core.Null*", "core.X": "core.*", "clang-diagnostic-format": "-Wformat", "zzz": None}
     cov = spark.createDataFrame([(10, 6, 0.6), (10, 5, 0.5), (10, 10, 1.0)], "present int, covered int, ratio double")
     assert [r["verdict"] for r in intake.completeness(cov).collect()] == ["limited", "refused", "complete"]
-    assert rows(intake.suggestions(spark.createDataFrame([("src/mian.c",)], "target string"), spark.createDataFrame([("a/main.c",), ("b/zoo.c",)], "path string"))) == [("src/mian.c", ["a/main.c"])]
 
 
 def test_experiments(spark):
