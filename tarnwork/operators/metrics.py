@@ -33,10 +33,10 @@ def f_beta(p: Column, r: Column, beta: float = 2.0) -> Column:
     return F.when((p == 0) & (r == 0), F.lit(0.0)).otherwise((1 + weight) * p * r / (weight * p + r))
 
 
-def counts_by_family(outcomes: DataFrame) -> DataFrame:
-    """family, tp, fp, fn from rows (family, outcome)."""
+def counts_by_family(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, family, tp, fp, fn from rows (by, family, outcome)."""
     count = lambda kind: F.count_if(F.col("outcome") == kind).alias(kind)
-    return outcomes.groupBy("family").agg(count("tp"), count("fp"), count("fn"))
+    return outcomes.groupBy(*by, "family").agg(count("tp"), count("fp"), count("fn"))
 
 
 def family_metrics(counts: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def family_metrics(counts: DataFrame) -> DataFrame:
     return scored.withColumn("f2", f_beta(F.col("precision"), F.col("recall"))).withColumn("scored", tp + fp + fn > 0)
 
 
-def overall_metrics(families: DataFrame) -> DataFrame:
-    """One row: tp, fp, fn, precision, recall, macro_f2 over the scored families."""
+def overall_metrics(families: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (of each by): tp, fp, fn, precision, recall, macro_f2 over the scored families."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
-    one = families.agg(total("tp"), total("fp"), total("fn"), F.round(F.coalesce(F.avg(F.when(F.col("scored"), F.col("f2"))), F.lit(0.0)), 9).alias("macro_f2"))
-    return one.select("tp", "fp", "fn", precision(F.col("tp"), F.col("fp")).alias("precision"), recall(F.col("tp"), F.col("fn")).alias("recall"), "macro_f2")
+    one = families.groupBy(*by).agg(total("tp"), total("fp"), total("fn"), F.round(F.coalesce(F.avg(F.when(F.col("scored"), F.col("f2"))), F.lit(0.0)), 9).alias("macro_f2"))
+    return one.select(*by, "tp", "fp", "fn", precision(F.col("tp"), F.col("fp")).alias("precision"), recall(F.col("tp"), F.col("fn")).alias("recall"), "macro_f2")
 
 
 def fp_per_thousand(false_positives: Column, units: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, gate
+from . import grid
 from .function_queries import by, pick
 from .registry import query, t
 from .relation_queries import name
@@ -74,3 +75,36 @@ def merged_lists(s: SparkSession, d: str) -> DataFrame:
     rows = t(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("fingerprint"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("symbol"), key.alias("candidate_id"), F.array(F.concat("l_returnflag", "l_linestatus")).alias("cwes"), F.array(F.col("l_shipdate").cast("date").cast("string")).alias("provenance"))
     found = dedup.merged_lists(rows)
     return found.select("fingerprint", F.col("candidate_id").cast("string").alias("candidate_id"), F.array_join("cwes", ",").alias("cwes"), F.array_join("provenance", ",").alias("provenance"))
+
+
+CONFIGS = [("baseline", 3, "low", None, True, None), ("wide", 6, "low", None, True, None), ("severe", 3, "high", None, True, None), ("any_weakness", 3, None, None, False, None), ("one_family", 3, None, ["integer"], True, None), ("first_only", 3, None, None, True, 1), ("nothing", 0, "critical", ["injection"], True, None)]
+
+
+@query(
+    "grid_scores",
+    f"""
+    WITH c(name, tolerance, least, family, check_cwe, most) AS (VALUES {', '.join(f"('{n}', {k}, {dict(critical=1, high=2, low=4).get(least or 'low')}, {chr(39) + f[0] + chr(39) if f else 'NULL'}, {w}, {m or 'NULL'})" for n, k, least, f, w, m in CONFIGS)}),
+    x AS (SELECT doc_id, lang, {by('doc_id', 'CWE-787', 'CWE-190', 'CWE-401')} AS cwe, {by('doc_id', 'out_of_bounds', 'integer', 'resource_leak')} AS family, doc_id % 7 AS off, {by('doc_id', '2', '3', '4')}::INT AS severity FROM documents),
+    f AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'CWE-476' ELSE cwe END AS found, CASE WHEN doc_id % 5 = 0 THEN 'null_uninitialized' ELSE family END AS found_family FROM x WHERE doc_id % 4 <> 0),
+    k AS (SELECT c.name, c.most, f.*, c.tolerance >= off AND (NOT check_cwe OR found = cwe) AS hit, row_number() OVER (PARTITION BY c.name, lang ORDER BY severity, doc_id) AS place FROM f JOIN c ON severity <= least AND (c.family IS NULL OR c.family = found_family)),
+    kept AS (SELECT * FROM k WHERE most IS NULL OR place <= most),
+    o AS (
+      SELECT name, found_family AS family, 0 AS tp, 1 AS fp, 0 AS fn FROM kept WHERE NOT hit
+      UNION ALL SELECT c.name, x.family, (k.doc_id IS NOT NULL)::INT, 0, (k.doc_id IS NULL)::INT FROM c CROSS JOIN x LEFT JOIN (SELECT * FROM kept WHERE hit) k ON k.name = c.name AND k.doc_id = x.doc_id
+    ), s AS (SELECT name, family, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM o GROUP BY ALL),
+    r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fn) END AS q FROM s),
+    m AS (SELECT name, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(avg(CASE WHEN p = 0 AND q = 0 THEN 0.0 ELSE 5 * p * q / (4 * p + q) END), 9) AS macro_f2 FROM r GROUP BY name)
+    SELECT name, tp, fp, fn, macro_f2, round(macro_f2 - (SELECT macro_f2 FROM m WHERE name = 'baseline'), 9) AS delta FROM m
+    """,
+)
+def grid_scores(s: SparkSession, d: str) -> DataFrame:
+    """Documents as findings of seven configurations at once: severities, families, tolerances, budgets."""
+    c = F.col("doc_id")
+    cwe, family = pick(c, "CWE-787", "CWE-190", "CWE-401"), pick(c, "out_of_bounds", "integer", "resource_leak")
+    docs = t(s, d, "documents").select("doc_id", F.col("lang").alias("case_id"), F.lit("p").alias("path"), cwe.alias("cwe"), family.alias("family"), pick(c, "high", "medium", "low").alias("severity"))
+    truths = docs.select("case_id", "path", F.col("doc_id").alias("truth"), (c * 100).cast("int").alias("line"), "cwe", "family", F.lit("vulnerable").alias("variant"))
+    line = (c * 100 + c % 7).cast("int")
+    other = c % 5 == 0
+    findings = docs.where(c % 4 != 0).select("case_id", "path", F.lpad(c.cast("string"), 12, "0").alias("finding_id"), line.alias("start_line"), line.alias("end_line"), F.when(other, "CWE-476").otherwise(F.col("cwe")).alias("cwe"), F.when(other, "null_uninitialized").otherwise(F.col("family")).alias("family"), "severity")
+    found = grid.run_grid(findings, truths, s.createDataFrame(CONFIGS, grid.CONFIG), "baseline")
+    return found.summary.join(found.deltas, "name").select("name", "tp", "fp", "fn", "macro_f2", F.round("delta", 9).alias("delta"))

@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.regions import line_starts
 from ..operators import accounts
+from ..sinks import bundles
 from ..sinks.journal import Journal, identity_of
 from ..sinks.store import TableStore
-from ..sources import builds
+from ..sources import builds, diagnostics
 from ..streaming import trace
 from .registry import query, t
 from .scratch import scratch_folder
@@ -215,3 +217,54 @@ def stage_resumed(s: SparkSession, d: str) -> DataFrame:
         pass
     done = Journal(s, where, me).run(work, "doc_id", answer, "doc_id long, answer string", 4)
     return done.groupBy("doc_id").agg(F.min("answer").alias("answer"), F.count(F.lit(1)).alias("times"))
+
+
+# --- bundles ------------------------------------------------------------------
+
+
+@query(
+    "bundle_offsets",
+    """
+    WITH m AS (SELECT source || '/' || doc_id AS name, coalesce(text, '') AS text FROM documents),
+    s AS (SELECT name, sha256(text) AS sha256, 512 + (strlen(text) + 511) // 512 * 512 AS n FROM m)
+    SELECT name, sha256, (sum(n) OVER (ORDER BY encode(name)) - n)::BIGINT AS "offset", n::BIGINT AS bytes FROM s
+    """,
+)
+def bundle_offsets(s: SparkSession, d: str) -> DataFrame:
+    """The documents as members of an archive, written as blocks and checked: where each lies, and its hash."""
+    docs = t(s, d, "documents")
+    out = f"{folder(docs)}/bundle"
+    bundles.write_bundle(docs.select(F.concat("source", F.lit("/"), "doc_id").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), out)
+    bundles.verify_blocks(s, out)
+    return s.read.parquet(out).where("kind = 'member'").select("name", "sha256", "offset", F.octet_length("bytes").cast("long").alias("bytes"))
+
+
+# --- places of exported fixes -------------------------------------------------
+
+_AT = "1 + length(left(text, {c})) - length(replace(left(text, {c}), chr(10), ''))"
+_COLUMN = "1 + strlen(left(text, {c})) - coalesce(strlen(left(text, {c})) - strlen(regexp_extract(left(text, {c}), '[^\n]*$')), 0)"
+
+
+@query(
+    "fix_places",
+    f"""
+    WITH x AS (SELECT doc_id, doc_id % 3 AS k, coalesce(text, '') AS text FROM documents), y AS (SELECT *, (doc_id * 37 % (length(text) + 1))::BIGINT AS a, (doc_id * 101 % (length(text) + 1))::BIGINT AS b FROM x)
+    SELECT doc_id AS run, {_AT.format(c='a')} AS line, {_COLUMN.format(c='a')} AS "column", CASE WHEN k > 0 THEN {_AT.format(c='b')} END AS note_line,
+           CASE WHEN k > 1 THEN {_AT.format(c='least(a, b)')} END AS from_line, CASE WHEN k > 1 THEN {_AT.format(c='greatest(a, b)')} END AS to_line FROM y
+    """,
+)
+def fix_places(s: SparkSession, d: str) -> DataFrame:
+    """Documents as files with a diagnostic, a note and a replacement each, whose byte offsets become lines."""
+    content = F.coalesce("text", F.lit(""))
+    size = F.char_length(content) + 1
+    docs = t(s, d, "documents").select(F.col("doc_id").cast("string").alias("run"), F.col("doc_id").cast("string").alias("path"), content.alias("text"), "doc_id", (F.col("doc_id") * 37 % size).cast("int").alias("a"), (F.col("doc_id") * 101 % size).cast("int").alias("b"))
+    byte = lambda c: F.octet_length(F.substring(F.col("text"), F.lit(1), c)).cast("long")
+    a, b = byte(F.col("a")), byte(F.col("b"))
+    note = F.struct(F.lit(0).alias("pos"), F.col("path").alias("path"), b.alias("offset"), F.lit("n").alias("message"))
+    change = F.struct(F.col("path").alias("path"), F.least(a, b).alias("offset"), F.abs(a - b).alias("length"), F.lit("").alias("text"))
+    some = lambda least, item: F.when(F.col("doc_id") % 3 > least, F.array(item)).otherwise(F.filter(F.array(item), lambda _: F.lit(False)))
+    fixes = docs.select("run", F.lit(0).alias("ordinal"), "path", a.alias("offset"), F.lit("warning").alias("severity"), F.lit("m").alias("message"), F.lit("r").alias("rule_id"), some(0, note).alias("notes"), some(1, change).alias("replacements"))
+    files = docs.select("path", F.octet_length("text").alias("size"), line_starts(F.encode("text", "UTF-8")).alias("starts"))
+    found = diagnostics.placed_fixes(fixes, files)
+    get = lambda c, f: F.get(F.col(c), F.lit(0))[f]
+    return found.select(F.col("run").cast("long").alias("run"), "line", "column", get("notes", "line").alias("note_line"), get("replacements", "line").alias("from_line"), get("replacements", "end_line").alias("to_line"))

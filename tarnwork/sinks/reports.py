@@ -9,10 +9,8 @@ tables behind it are written as Parquet.
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import os
-import tarfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -227,36 +225,6 @@ def schema_drift(committed: DataFrame, fresh: DataFrame) -> DataFrame:
     return joined.select("name", state.alias("state")).where("state is not null")
 
 
-def bundle(members: Mapping[str, bytes], path: str) -> dict[str, str]:
-    """A tar of members with a manifest of their hashes; equal members give equal bytes."""
-    hashes = {name: hashlib.sha256(data).hexdigest() for name, data in members.items()}
-    every = {**members, "manifest.json": (json.dumps(hashes, sort_keys=True, indent=2) + "\n").encode()}
-    with tarfile.open(path, "w", format=tarfile.USTAR_FORMAT) as tar:
-        for name in sorted(every):
-            if name.startswith("/") or ".." in name.split("/"):
-                raise ValueError(f"unsafe member name {name}")
-            info = tarfile.TarInfo(name)
-            info.size = len(every[name])
-            tar.addfile(info, io.BytesIO(every[name]))
-    return hashes
-
-
-def verify_bundle(path: str) -> dict[str, str]:
-    """The manifest of a bundle whose members are all there, once, under safe names, with the recorded hashes."""
-    with tarfile.open(path) as tar:
-        names = tar.getnames()
-        if len(names) != len(set(names)):
-            raise ValueError("a member comes twice")
-        if any(n.startswith("/") or ".." in n.split("/") for n in names):
-            raise ValueError("unsafe member name")
-        data = {n: tar.extractfile(n).read() for n in names}
-    manifest = json.loads(data.pop("manifest.json"))
-    found = {n: hashlib.sha256(d).hexdigest() for n, d in data.items()}
-    if found != manifest:
-        raise ValueError(f"members differ from the manifest: {sorted(set(found.items()) ^ set(manifest.items()))}")
-    return manifest
-
-
 def record_access(spark: SparkSession, folder: str, policy_version: str, **about: object) -> int:
     """Note that held-out data are used under a policy version; how often they were, this time included.
 

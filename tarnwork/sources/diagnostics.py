@@ -14,7 +14,8 @@ from ..functions import ids
 from ..functions.build import lookup
 from ..functions.paths import relative_to
 from ..functions.ranks import diagnostic_severity
-from ..functions.regions import byte_to_line, make_region
+from ..functions.regions import make_region
+from ..operators.ranges import last_seen
 
 #: path:line:column: severity: message [rule]
 TEXT_LINE = r"^([^:\n]+):(\d+):(\d+):\s+(fatal error|error|warning|note|remark):\s+(.*?)(?:\s+\[(-W[\w+.\-]+)\])?$"
@@ -103,8 +104,7 @@ def parse_fixes(documents: DataFrame) -> DataFrame:
 
 def offsets_to_lines(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
     """diagnostics with the line of their byte offset; an unknown file gives line 1."""
-    known = files.select("path", "starts")
-    return diagnostics.join(known, "path", "left").withColumn("line", F.coalesce(byte_to_line(F.col("starts"), F.col("offset")), F.lit(1))).drop("starts")
+    return _swept(diagnostics, files).withColumn("line", F.coalesce("seen.line", F.lit(1))).drop("seen")
 
 
 def in_order(diagnostics: DataFrame) -> DataFrame:
@@ -165,3 +165,52 @@ def checker_names(output: Column, prefix: str = r"^\s{2,}([A-Za-z]\w*(?:\.\w+)+)
 
 def severity_words(mapping: dict[str, str], word: Column) -> Column:
     return F.coalesce(lookup(mapping, F.lower(word)), F.lit("warning"))
+
+
+def _swept(points: DataFrame, files: DataFrame) -> DataFrame:
+    """points (path, offset and others) with seen: the number and offset of the last line start up to each.
+
+    Line starts and points are swept together in ranges of (path, offset), so
+    neither a file's starts nor its points ever meet in one row.
+    """
+    kinds = {c: t for c, t in points.dtypes if c not in ("path", "offset")}
+    none = [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    starts = files.select("path", F.posexplode("starts").alias("__n", "offset")).select("path", F.col("offset").cast("long").alias("offset"), F.lit(0).alias("__kind"), (F.col("__n") + 1).alias("__line"), *none)
+    asked = points.select("path", F.col("offset").cast("long").alias("offset"), F.lit(1).alias("__kind"), F.lit(None).cast("int").alias("__line"), *kinds)
+    start = F.when(F.col("__kind") == 0, F.struct(F.col("__line").alias("line"), F.col("offset").alias("start")))
+    return last_seen(starts.unionByName(asked), ["path"], ["offset", "__kind"], start).where("__kind = 1").drop("__kind", "__line")
+
+
+def at_lines(points: DataFrame, files: DataFrame) -> DataFrame:
+    """points (path, offset in bytes and others) with line and column (in bytes), both from 1; null outside of the file or without it.
+
+    files: path, size, starts.
+    """
+    size = files.select("path", F.col("size").cast("long").alias("__size"))
+    found = _swept(points, files).join(size, "path", "left")
+    inside = (F.col("offset") >= 0) & (F.col("offset") <= F.col("__size"))
+    return found.withColumns({"line": F.when(inside, F.col("seen.line")), "column": F.when(inside, F.col("offset") - F.col("seen.start") + 1)}).drop("seen", "__size")
+
+
+def placed_fixes(fixes: DataFrame, files: DataFrame) -> DataFrame:
+    """Exported fixes (as of parse_fixes) with line and column of each diagnostic, note and replacement.
+
+    run, ordinal, path, line, column, severity, message, rule_id, notes (pos,
+    path, line, column, message), replacements (pos, path, line, column,
+    end_line, end_column, length, text): a replacement ends after its length.
+    """
+    key = ["run", "ordinal"]
+    point = lambda kind, pos, path, offset: [*key, F.lit(kind).alias("kind"), pos.alias("pos"), path.alias("path"), offset.alias("offset")]
+    notes = fixes.select(*key, F.explode("notes").alias("n"))
+    changes = fixes.select(*key, F.posexplode("replacements").alias("pos", "r"))
+    end = F.col("r.offset") + F.col("r.length")
+    points = fixes.select(*point("own", F.lit(0), F.col("path"), F.col("offset"))).unionByName(notes.select(*point("note", F.col("n.pos"), F.col("n.path"), F.col("n.offset"))))
+    points = points.unionByName(changes.select(*point("from", F.col("pos"), F.col("r.path"), F.col("r.offset")))).unionByName(changes.select(*point("to", F.col("pos"), F.col("r.path"), end)))
+    at = F.struct("kind", "pos", "line", "column")
+    met = at_lines(points, files).groupBy(*key).agg(F.collect_list(at).alias("places"))
+    joined = fixes.join(met, key)
+    of = lambda kind, pos: F.get(F.filter("places", lambda p: (p["kind"] == kind) & (p["pos"] == pos)), F.lit(0))
+    fields = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
+    note = F.transform("notes", lambda n: fields(pos=n["pos"], path=n["path"], line=of("note", n["pos"])["line"], column=of("note", n["pos"])["column"], message=n["message"]))
+    change = F.transform("replacements", lambda r, i: fields(pos=i, path=r["path"], line=of("from", i)["line"], column=of("from", i)["column"], end_line=of("to", i)["line"], end_column=of("to", i)["column"], length=r["length"], text=r["text"]))
+    return joined.select(*key, "path", of("own", F.lit(0))["line"].alias("line"), of("own", F.lit(0))["column"].alias("column"), "severity", "message", "rule_id", note.alias("notes"), change.alias("replacements"))

@@ -126,11 +126,6 @@ def test_reports(spark, tmp_path):
     assert json.loads(joined(tmp_path / "none"))["runs"][0]["results"] == []
     reports.write_markdown(reports.markdown_lines(many, {"files": 2}, none, limits), str(tmp_path / "md"))
     assert joined(tmp_path / "md").split("\n") == reports.render_markdown(many, {"files": 2}, none, limits).split("\n")
-    members = {"a.txt": b"1", "d/b.txt": b"2"}
-    one, two = str(tmp_path / "1.tar"), str(tmp_path / "2.tar")
-    reports.bundle(members, one)
-    reports.bundle(dict(reversed(members.items())), two)
-    assert open(one, "rb").read() == open(two, "rb").read() and set(reports.verify_bundle(one)) == set(members)
     drift = reports.schema_drift(spark.createDataFrame([("a", "1"), ("b", "1")], "name string, text string"), spark.createDataFrame([("a", "2"), ("c", "1")], "name string, text string"))
     assert rows(drift) == [("a", "changed"), ("b", "missing"), ("c", "new")]
 
