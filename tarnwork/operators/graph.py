@@ -50,11 +50,16 @@ def walked_edges(reached: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 
 def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """source, target of the transitive closure, in as many rounds as the longest path has steps."""
+    """source, target of the transitive closure, in as many rounds as the longest path's length has binary digits.
+
+    After each round all pairs at most 2 ** round steps apart are known; those
+    further apart by up to twice as much begin with a pair of exactly that
+    distance, which the round before found.
+    """
     step = written(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct())
     known = fresh = step
     while True:
-        further = fresh.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
+        further = fresh.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
         fresh = written(further.join(known, ["a", "b"], "left_anti"))
         if not fresh.limit(1).count():
             break

@@ -115,7 +115,7 @@ def expand_responses(entries: DataFrame, files: DataFrame, max_depth: int = MAX_
     rows = entries.select("ordinal", F.posexplode("arguments").alias("p", "a")).select("ordinal", F.array("p").alias("key"), "a")
     known = files.select(F.concat(F.lit("@"), "path").alias("a"), F.col("arguments").alias("more"))
     for level in range(max_depth + 1):
-        joined = rows.join(known, "a", "left")
+        joined = written(rows.join(known, "a", "left"))
         if not joined.where("more is not null").limit(1).count():
             break
         if level == max_depth:
