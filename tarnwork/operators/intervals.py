@@ -3,8 +3,10 @@
 Spark has no strategy for them, so both sides are dealt to buckets of the
 line number and joined on key and bucket, with the exact test as residual. An
 interval goes to the finest of the level widths in which it spans few buckets, a
-point probes every level: no interval is copied more than SPAN + 1 times a level
-however long it is, and a hot key is spread over its buckets.
+point probes every level that has an interval: none is copied more than SPAN + 1
+times however long it is, and a hot key is spread over its buckets. Both sides
+grow with the input, so the joins ask for a merge: the size of a compact Parquet
+file says little about that of its rows in a broadcast.
 """
 
 from __future__ import annotations
@@ -31,6 +33,16 @@ def _width(level: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w).cast("long") for w in WIDTHS]), level + 1)
 
 
+def _bucket(at: Column, width: Column) -> Column:
+    return F.floor(at.cast("long") / width)
+
+
+def _dealt(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """intervals with __level, once for each bucket that they span."""
+    width = _width(F.col("__level"))
+    return intervals.withColumn("__bucket", F.explode(F.sequence(_bucket(F.col(start), width), _bucket(F.col(end), width))))
+
+
 def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return functools.reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in zip(left, right, strict=True)])
 
@@ -40,18 +52,26 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[st
 
     Null keys, points and ends join nothing. Columns of both sides stay, the keys once.
     """
+    i = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", _level(F.col(start).cast("long"), F.col(end).cast("long")))
+    used = i.select("__level").distinct()
+    if how in ("left_semi", "left_anti"):
+        # six values at most; with one level a point has one bucket, and the rows themselves are looked up
+        levels = [r[0] for r in used.collect()]
+        if len(levels) < 2:
+            p = points.withColumn("__bucket", _bucket(F.col(point), F.lit(WIDTHS[levels[0] if levels else 0])))
+            inside = _dealt(i.select(*on, start, end, "__level"), start, end).toDF(*[f"__r_{k}" for k in on], "__start", "__end", "__l", "__b").hint("merge")
+            holds = _same(on, [f"__r_{k}" for k in on]) & (F.col("__bucket") == F.col("__b")) & F.col(point).between(F.col("__start"), F.col("__end"))
+            return p.join(inside, holds, how).drop("__bucket")
     if how != "inner":
         # key and point decide: they are looked up once each, and no row needs a number
         keys = points.select(*on, point).distinct()
         found = points_in_intervals(keys, intervals, on, point, start, end)
         return points.join(found if how == "left" else found.select(*on, point).distinct(), [*on, point], how)
-    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, range(len(WIDTHS)))))).withColumn("__bucket", F.floor(F.col(point).cast("long") / _width(F.col("__level"))))
-    i = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", _level(F.col(start).cast("long"), F.col(end).cast("long")))
-    width = _width(F.col("__level"))
-    i = i.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(start).cast("long") / width), F.floor(F.col(end).cast("long") / width))))
+    p = points.crossJoin(F.broadcast(used)).withColumn("__bucket", _bucket(F.col(point), _width(F.col("__level"))))
+    i = _dealt(i, start, end)
     keys = [*on, "__level", "__bucket"]
     rest = [f"__r_{k}" for k in keys]
-    inside = i.withColumnsRenamed(dict(zip(keys, rest, strict=True)))
+    inside = i.withColumnsRenamed(dict(zip(keys, rest, strict=True))).hint("merge")
     return p.join(inside, _same(keys, rest) & F.col(point).between(F.col(start), F.col(end))).drop("__level", "__bucket", *rest)
 
 
