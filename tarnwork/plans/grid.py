@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank
-from ..functions.weakness import equivalent
 from ..operators import experiments, matching, metrics
 from ..values import SEVERITIES
 from .scratch import written
@@ -69,9 +68,8 @@ def run_grid(findings: DataFrame, truths: DataFrame, configs: DataFrame, baselin
     own = F.concat("name", F.lit(APART), "case_id")
     mine = written(keyed(findings, configs).withColumn("case_id", own))
     asked = written(truths.crossJoin(configs.select("name")).withColumn("case_id", own))
-    pairs = matching.candidate_pairs(asked, mine, tolerance=F.col("tolerance"), check_cwe=False)
-    cwes = pairs.join(mine.select("case_id", "finding_id", "check_cwe", F.col("cwe").alias("__found")), ["case_id", "finding_id"]).join(asked.select("case_id", "truth", F.col("cwe").alias("__true")), ["case_id", "truth"])
-    credited = matching.match_one_to_one(cwes.where(~F.col("check_cwe") | equivalent(F.col("__true"), F.col("__found"))))
+    pairs = matching.candidate_pairs(asked, mine, tolerance=F.col("tolerance"), check_cwe=F.col("check_cwe"))
+    credited = matching.match_one_to_one(pairs)
     outcomes = matching.outcomes(asked, mine, credited).withColumn("name", F.substring_index("case_id", APART, 1))
     counts = metrics.counts_by_family(outcomes, ["name"])
     # a configuration that lets nothing through, over no truths, has no outcome and is still one of the grid

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwork.operators import intervals
+from tarnwork.operators import intervals, matching
 
 from .conftest import rows
 
@@ -24,3 +24,12 @@ def test_points_probe_the_levels_in_use(spark):
     assert "explode([0" not in plan(join(spans, "inner")).replace("array(0", "[0") and "Aggregate" not in plan(join(spans, "left_semi"))
     long = spans.unionByName(spark.createDataFrame([(5, "a", 20, 2**30)], "sid int, path string, s int, e int"))
     assert sorted(r.pid for r in join(long, "left_semi").collect()) == [*range(3, 10), *range(20, 40)]
+
+
+def test_matching_broadcasts_no_table_that_grows(spark):
+    truths = spark.createDataFrame([("k", "p", i, 20 * i, "CWE-787") for i in range(9)], "case_id string, path string, truth int, line int, cwe string")
+    findings = spark.createDataFrame([("k", "p", f"f{i}", 20 * i + 1, 20 * i + 1, ["CWE-787", "CWE-79"][i % 2], i % 4, i < 6) for i in range(9)], "case_id string, path string, finding_id string, start_line int, end_line int, cwe string, tolerance int, check_cwe boolean")
+    pairs = matching.candidate_pairs(truths, findings, tolerance=F.col("tolerance"), check_cwe=F.col("check_cwe"))
+    assert rows(pairs, "truth", "finding_id") == [(2, "f2"), (6, "f6"), (7, "f7")]
+    left = matching.outcomes(truths.withColumns({"family": F.lit("x"), "variant": F.lit("vulnerable")}), findings.withColumn("family", F.lit("x")), pairs)
+    assert "BroadcastHashJoin" not in plan(pairs) + plan(left)
