@@ -26,7 +26,8 @@ def containing(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
     callable_ = symbols.where(F.col("kind").isin("function", "method", "constructor", "destructor"))
     inner = innermost(candidates, callable_, ["path"], "line", "start_line", "end_line", "candidate_id", "usr")
     regions = callable_.select("usr", F.col("start_line").alias("__s"), F.col("end_line").alias("__e"))
-    joined = candidates.join(inner, "candidate_id", "left").join(regions, "usr", "left")
+    # the regions meet those that have one: candidates in none, all with a null usr, would be one task's
+    joined = candidates.join(inner.join(regions.hint("merge"), "usr").hint("merge"), "candidate_id", "left")
     return joined.select("candidate_id", "usr", "path", F.coalesce("__s", "line").alias("start_line"), F.coalesce("__e", F.coalesce("end_line", "line")).alias("end_line"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwork.operators import intervals, matching
+from tarnwork.operators import intervals, matching, retrieval
 
 from .conftest import rows
 
@@ -33,3 +33,12 @@ def test_matching_broadcasts_no_table_that_grows(spark):
     assert rows(pairs, "truth", "finding_id") == [(2, "f2"), (6, "f6"), (7, "f7")]
     left = matching.outcomes(truths.withColumns({"family": F.lit("x"), "variant": F.lit("vulnerable")}), findings.withColumn("family", F.lit("x")), pairs)
     assert "BroadcastHashJoin" not in plan(pairs) + plan(left)
+
+
+def test_containing_regions_meet_no_null_key(spark):
+    candidates = spark.createDataFrame([(i, "a", i, None) for i in range(40)], "candidate_id int, path string, line int, end_line int")
+    symbols = spark.createDataFrame([("f", "function", "a", 3, 9), ("g", "function", "a", 4, 5), ("g", "function", "a", 50, 51)], "usr string, kind string, path string, start_line int, end_line int")
+    got = retrieval.containing(candidates, symbols)
+    assert {(r.candidate_id, r.usr, r.start_line) for r in got.collect()} == {(i, "f", 3) for i in (3, 6, 7, 8, 9)} | {(i, "g", s) for i in (4, 5) for s in (4, 50)} | {(i, None, i) for i in range(40) if not 3 <= i <= 9}
+    # candidates in no function all have a null usr: an outer join by it would have them in one task
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter") == 1
