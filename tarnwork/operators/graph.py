@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
-from .intervals import overlapping
+from .intervals import points_in_intervals
+
+#: Parts that the callers of one class and suffix are dealt to, and copies of its methods.
+SALTS = 32
 
 
 def walk(seeds: DataFrame, edges: DataFrame, depth: int, source: str = "caller", target: str = "callee") -> DataFrame:
@@ -72,16 +75,19 @@ def macro_fixpoint(regions: DataFrame, expansions: DataFrame) -> DataFrame:
 
     expansions: usr, path, line, body_path, body_start, body_end.
     """
-    sites = expansions.select("usr", "path", F.col("line").alias("site_start"), F.col("line").alias("site_end"))
+    # places and bodies once each, whoever is expanded at them: pairs of them grow with places, not with macros
+    open_ = expansions.select("path", "line").where("path is not null and line is not null").distinct()
     bodies = expansions.select("usr", F.col("body_path").alias("path"), F.col("body_start").alias("start_line"), F.col("body_end").alias("end_line")).where("path is not null").distinct()
-    known, seeds = None, regions.select("path", "start_line", "end_line")
+    known, seeds = None, regions.select("path", "start_line", "end_line").distinct()
     for hop in itertools.count():
-        found = overlapping(seeds, sites, ["path"], ("start_line", "end_line"), ("site_start", "site_end")).select("usr").distinct()
+        met = written(points_in_intervals(open_, seeds, ["path"], "line", "start_line", "end_line", how="left_semi"))
+        open_ = written(open_.join(met, ["path", "line"], "left_anti"))
+        found = expansions.join(met, ["path", "line"], "left_semi").select("usr").distinct()
         fresh = written((found if known is None else found.join(known, "usr", "left_anti")).select("usr", F.lit(hop).alias("round")))
         if not fresh.limit(1).count():
             break
         known = fresh if known is None else written(known.unionByName(fresh))
-        seeds = bodies.join(fresh, "usr").select("path", "start_line", "end_line")
+        seeds = bodies.join(fresh, "usr").select("path", "start_line", "end_line").distinct()
     return known if known is not None else fresh
 
 
@@ -91,17 +97,23 @@ def resolve_virtual(calls: DataFrame, derived: DataFrame, methods: DataFrame) ->
     calls: caller, callee, kind; derived: base, class (closed); methods: usr,
     class, suffix (name and parameters).
     """
-    target = methods.select(F.col("usr").alias("callee"), F.col("class").alias("base"), "suffix")
-    overrides = target.join(derived, "base").join(methods.select(F.col("usr").alias("override"), "class", "suffix"), ["class", "suffix"])
-    fanned = calls.where("kind = 'virtual'").join(overrides.select("callee", "override"), "callee").select("caller", F.col("override").alias("callee"), "kind", F.lit(True).alias("inferred"))
-    return calls.withColumn("inferred", F.lit(False)).unionByName(fanned).distinct()
+    below = derived.select("base", "class").distinct()
+    target = methods.select(F.col("usr").alias("callee"), F.col("class").alias("base"), "suffix").join(below, "base").select("callee", "class", "suffix")
+    # what a caller asks for, once, before it is fanned out: of one place in the classes, an override comes once
+    asked = calls.where("kind = 'virtual'").join(target, "callee").select("caller", "kind", "class", "suffix").distinct().withColumn("__salt", F.pmod(F.xxhash64("caller"), F.lit(SALTS)))
+    places = methods.join(below.select("class").distinct(), "class", "left_semi").groupBy("usr").agg(F.collect_set(F.struct("class", "suffix")).alias("p"))
+    own = places.select(F.col("usr").alias("callee"), (F.size("p") > 1).alias("__many"), F.explode("p").alias("p")).select("callee", "__many", "p.*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    fan = lambda which: asked.join(own.where(which).hint("merge"), ["class", "suffix", "__salt"]).select("caller", "callee", "kind", F.lit(True).alias("inferred"))
+    # only a method that stands at several places can come twice; all others go out as they are met, without a shuffle
+    return calls.withColumn("inferred", F.lit(False)).distinct().unionByName(fan(~F.col("__many"))).unionByName(fan(F.col("__many")).distinct())
 
 
 def classify_macro_calls(calls: DataFrame, expansions: DataFrame) -> DataFrame:
     """calls with direct ones that lie inside a macro's expansion (path, start_byte, end_byte) called macro."""
     direct = calls.where("kind = 'direct'")
     spans = expansions.select("path", F.col("start_byte").alias("__s"), F.col("end_byte").alias("__e"))
-    inside = overlapping(direct.select("path", "call_id", "start_byte", "end_byte"), spans, ["path"], ("start_byte", "end_byte"), ("__s", "__e")).where("__s <= start_byte and end_byte <= __e")
+    # a call inside a span starts inside it: one search of points
+    inside = points_in_intervals(direct.select("path", "call_id", "start_byte", "end_byte").where("start_byte <= end_byte"), spans, ["path"], "start_byte", "__s", "__e").where("end_byte <= __e")
     marked = calls.join(inside.select("call_id", F.lit(True).alias("__macro")).distinct(), "call_id", "left")
     return marked.withColumn("kind", F.when(F.col("__macro"), "macro").otherwise(F.col("kind"))).drop("__macro")
 
