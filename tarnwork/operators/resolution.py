@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.paths import canonical_path, matching_glob
 from ..functions.ranks import review_reason
 from ..functions.regions import line_to_bytes, slice_bytes
+from ..plans.scratch import written
 from .intervals import overlapping
 
+#: Rows citing one place beyond which it is broadcast: there is one such place in as many rows at most.
+HOT = 10_000
+
 
 def range_problem() -> Column:
     """What is wrong with a citation's own numbers, in order; null if nothing."""
@@ -89,11 +93,17 @@ def check_symbols(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     wanted = resolved.where("status = 'ok' and symbol is not null")
     # places and regions once each, whoever cites or declares them
-    places = wanted.select("symbol", "path", "start_line", F.coalesce("end_line", "start_line").alias("__last")).distinct()
+    place = ["symbol", "path", "start_line", "__last"]
+    places = written(wanted.withColumn("__last", F.coalesce("end_line", "start_line")).groupBy(*place).agg(F.count(F.lit(1)).alias("__n")))
     regions = symbols.select(F.explode(F.array("name", "usr")).alias("symbol"), "path", F.col("start_line").alias("__s"), F.col("end_line").alias("__e")).distinct()
-    met = overlapping(places, regions, ["symbol", "path"], ("start_line", "__last"), ("__s", "__e")).select("symbol", "path", "start_line", "__last").distinct().withColumn("__here", F.lit(True))
-    joined = resolved.withColumn("__last", F.coalesce("end_line", "start_line")).join(met, ["symbol", "path", "start_line", "__last"], "left")
-    absent = (F.col("status") == "ok") & F.col("symbol").isNotNull() & F.col("__here").isNull()
+    met = overlapping(places, regions, ["symbol", "path"], ("start_line", "__last"), ("__s", "__e")).select(*place, "__n").distinct().withColumn("__here", F.lit(True))
+    # places that many rows cite are broadcast, known or not: their rows, and those that ask for nothing, are dealt out and meet nothing
+    hot = F.broadcast(places.where(F.col("__n") > HOT).join(met.drop("__n"), place, "left").select(*place, F.coalesce("__here", F.lit(False)).alias("__hot")))
+    cold = met.where(F.col("__n") <= HOT).select(*place, "__here", F.lit(0).cast("long").alias("__salt")).hint("merge")
+    asks = (F.col("status") == "ok") & F.col("symbol").isNotNull()
+    dealt = F.when(F.coalesce(asks, F.lit(False)) & F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("citation_id"), F.lit(997)) + 1).cast("long")
+    joined = resolved.withColumn("__last", F.coalesce("end_line", "start_line")).join(hot, place, "left").withColumn("__salt", dealt).join(cold, [*place, "__salt"], "left")
+    absent = asks & ~F.coalesce("__here", "__hot", F.lit(False))
     return joined.withColumn("status", F.when(absent, "symbol_not_found").otherwise(F.col("status"))).select(*resolved.columns)
 
 
