@@ -23,6 +23,21 @@ def line_starts(content: Column) -> Column:
     return F.pandas_udf(run, "array<long>")(content)
 
 
+def text_line_starts(text: Column) -> Column:
+    """line_starts of a text's UTF-8: only the lengths of its lines go to Python, whatever it holds."""
+
+    def one(lengths: np.ndarray | None) -> list[int] | None:
+        if lengths is None:
+            return None
+        ends = np.cumsum(lengths.astype("int64") + 1)
+        return [0, *ends[:-1][ends[:-1] < ends[-1] - 1].tolist()]
+
+    def run(lengths: pd.Series) -> pd.Series:
+        return lengths.map(one)
+
+    return F.pandas_udf(run, "array<long>")(F.transform(F.split(text, "\n"), lambda line: F.octet_length(line)))
+
+
 def line_to_bytes(starts: Column, size: Column, first: Column, last: Column) -> Column:
     """struct(start, end) of lines first..last, half open; null outside the file."""
     inside = (first >= 1) & (last >= first) & (last <= F.size(starts))

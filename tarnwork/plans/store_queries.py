@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.regions import line_starts
+from ..functions.regions import text_line_starts
 from ..operators import accounts
 from ..sinks import bundles
 from ..sinks.journal import Journal, identity_of
@@ -66,9 +66,10 @@ def _facts(docs: DataFrame, changed: Callable[[DataFrame], DataFrame] = lambda x
     current = texts.select("unit", F.md5("text").alias("input_hash"))
 
     def parse(units: DataFrame) -> dict[str, DataFrame]:
-        mine = texts.join(units.select("unit"), "unit")
-        words = mine.select("unit", F.explode(F.split("text", r"\s+")).alias("word")).groupBy("unit").agg(F.count(F.lit(1)).alias("words"), F.max("word").alias("last"))
-        return {"words": words, "languages": mine.select("unit", "lang")}
+        mine = texts.join(units.select("unit").hint("shuffle_hash"), "unit")
+        # within the row: words as rows of their own would be sorted and shuffled by unit
+        words = F.split("text", r"\s+")
+        return {"words": mine.select("unit", F.size(words).cast("long").alias("words"), F.array_max(words).alias("last")), "languages": mine.select("unit", "lang")}
 
     return current, parse
 
@@ -264,7 +265,7 @@ def fix_places(s: SparkSession, d: str) -> DataFrame:
     change = F.struct(F.col("path").alias("path"), F.least(a, b).alias("offset"), F.abs(a - b).alias("length"), F.lit("").alias("text"))
     some = lambda least, item: F.when(F.col("doc_id") % 3 > least, F.array(item)).otherwise(F.filter(F.array(item), lambda _: F.lit(False)))
     fixes = docs.select("run", F.lit(0).alias("ordinal"), "path", a.alias("offset"), F.lit("warning").alias("severity"), F.lit("m").alias("message"), F.lit("r").alias("rule_id"), some(0, note).alias("notes"), some(1, change).alias("replacements"))
-    files = docs.select("path", F.octet_length("text").alias("size"), line_starts(F.encode("text", "UTF-8")).alias("starts"))
+    files = docs.select("path", F.octet_length("text").alias("size"), text_line_starts(F.col("text")).alias("starts"))
     found = diagnostics.placed_fixes(fixes, files)
     get = lambda c, f: F.get(F.col(c), F.lit(0))[f]
     return found.select(F.col("run").cast("long").alias("run"), "line", "column", get("notes", "line").alias("note_line"), get("replacements", "line").alias("from_line"), get("replacements", "end_line").alias("to_line"))

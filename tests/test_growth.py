@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwork.operators import intervals, matching, retrieval
+from tarnwork.functions.regions import line_starts, text_line_starts
+from tarnwork.operators import graph, intervals, matching, resolution, retrieval
 
 from .conftest import rows
 
@@ -42,3 +43,26 @@ def test_containing_regions_meet_no_null_key(spark):
     assert {(r.candidate_id, r.usr, r.start_line) for r in got.collect()} == {(i, "f", 3) for i in (3, 6, 7, 8, 9)} | {(i, "g", s) for i in (4, 5) for s in (4, 50)} | {(i, None, i) for i in range(40) if not 3 <= i <= 9}
     # candidates in no function all have a null usr: an outer join by it would have them in one task
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter") == 1
+
+
+def test_overrides_are_fanned_out_from_distinct_asks(spark):
+    calls = spark.createDataFrame([(c, f"B{i}", "virtual") for c in "xy" for i in range(5)] + [("x", "g", "direct")], "caller string, callee string, kind string")
+    derived = spark.createDataFrame([("B", "D"), ("B", "E"), ("D", "E")], "base string, class string")
+    methods = spark.createDataFrame([(f"B{i}", "B", "f") for i in range(5)] + [("D0", "D", "f"), ("E0", "E", "f"), ("E0", "D", "f"), ("E1", "E", "h")], "usr string, class string, suffix string")
+    got = graph.resolve_virtual(calls, derived, methods)
+    assert "32" in plan(got) and rows(got.where("inferred"), "caller", "callee") == [("x", "D0"), ("x", "E0"), ("y", "D0"), ("y", "E0")] and got.where("not inferred").count() == 11
+
+
+def test_symbols_cited_by_many_rows_are_not_one_task(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "HOT", 3)
+    cited = [(i, "ok", ["f", "gone", "g", None][i % 4], "a", 5, None) for i in range(40)] + [(40, "ok", "g", "a", 50, 60), (41, "missing_file", "f", "a", 5, 5), (42, "ok", "f", "a", 6, 6)]
+    symbols = spark.createDataFrame([("f", "u1", "a", 1, 5), ("g", "u2", "a", 55, 58)], "name string, usr string, path string, start_line int, end_line int")
+    got = resolution.check_symbols(spark.createDataFrame(cited, "citation_id int, status string, symbol string, path string, start_line int, end_line int"), symbols)
+    want = {i: "ok" if i % 4 in (0, 3) else "symbol_not_found" for i in range(40)} | {40: "ok", 41: "missing_file", 42: "symbol_not_found"}
+    assert {r.citation_id: r.status for r in got.collect()} == want and got.count() == 43
+
+
+def test_line_starts_of_texts_equal_those_of_their_bytes(spark):
+    df = spark.createDataFrame([(x,) for x in ("", "\n", "a", "a\n", "é\nb\r\n\n", "\n\nx", None)], "text string")
+    got = df.select(line_starts(F.encode("text", "UTF-8")).alias("a"), text_line_starts(F.col("text")).alias("b"))
+    assert all(r.a == r.b for r in got.collect()) and got.where("b is null").count() == 1
