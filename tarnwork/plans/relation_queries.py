@@ -15,6 +15,8 @@ from .function_queries import by, pick
 from .registry import _SITES, _sites, _windows, query, t
 
 NONE = "array<string>"
+#: Sources that one task reads facts of, and counts them.
+UNITS_PER_TASK = 20_000
 
 
 def name(prefix: str, column: str) -> Column:
@@ -589,8 +591,11 @@ def source_facts(s: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey").cast("string")
     body = pick(F.col("c_custkey"), "x = SIZE;", 'puts("g(1)"); /* g(2) */', "(*hook)(1);")
     source = F.concat(F.lit('#include "a.h"\n#define SIZE 3\nstatic int total = 0;\nint f'), key, F.lit("(int x);\nint f"), key, F.lit("(int x) {\n  total = g(x); // call\n  "), body, F.lit("\n}\n"))
-    facts = cfacts.extract(t(s, d, "customer").select(F.concat(F.lit("src/"), key, F.lit(".c")).alias("path"), source.alias("text")), ["src/a.h"])
-    return facts.groupBy("kind", F.regexp_extract("unit", r"(\d+)", 1).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    # sources are far larger than the keys they are made of: tasks by their number
+    units = t(s, d, "customer").select("c_custkey")
+    tasks = -(-units.count() // UNITS_PER_TASK) or 1
+    facts = cfacts.extract(units.repartition(tasks).select(F.concat(F.lit("src/"), key, F.lit(".c")).alias("path"), source.alias("text")), ["src/a.h"])
+    return facts.select("kind", F.regexp_extract("unit", r"(\d+)", 1).cast("long").alias("k")).repartition(tasks, "kind", "k").groupBy("kind", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("source_calls", "SELECT 'c:@F@f' || c_custkey AS caller, 'c:@F@f' || (c_custkey * 7 % 100) AS callee, 2::INT AS line, octet_length(encode('int f' || c_custkey || '() {' || chr(10) || 'é'))::BIGINT AS start_byte FROM customer")
