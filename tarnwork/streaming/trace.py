@@ -63,10 +63,12 @@ def read_committed(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("__part", part).join(F.broadcast(batch_of), "__part").drop("__part")
 
 
-RUN = "run_id string, opened timestamp, closed timestamp, last timestamp, events long, outcome string"
-RUN_STATE = "opened long, closed long, last long, events long"
+RUN = "run_id string, opened long, closed long, last long, events long"
+RUN_STATE = "run_id array<string>, opened array<long>, closed array<long>, last array<long>, events array<long>, until array<long>"
 #: Microseconds later than any event: no closing event yet.
 NEVER = 1 << 62
+#: Groups of runs, by hash; a stream's checkpoint belongs to one number. A call of Python costs milliseconds, so each follows many runs.
+GROUPS = 1024
 
 
 def runs(events: DataFrame, closing: str = "run_closed", silent: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -74,26 +76,41 @@ def runs(events: DataFrame, closing: str = "run_closed", silent: str = "1 hour",
 
     A run is closed when the watermark passes its first closing event, and
     abandoned when the watermark passes its last event by silent. The state of
-    a run is four numbers, whatever the number and order of its events, so
-    results do not depend on how the stream is cut into batches.
+    a run is four numbers and when it is due, whatever the number and order of
+    its events, so results do not depend on how the stream is cut into batches.
+    Runs of a group are followed in one call, by column.
     """
     wait = int(pd.Timedelta(silent).total_seconds() * 1e6)
-    moment = lambda x: pd.to_datetime([x], unit="us")
+    kinds = {"opened": "min", "closed": "min", "last": "max", "events": "sum", "until": "min"}
+
+    def folded(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        found = pd.concat(parts).groupby("run_id", sort=False, dropna=False, as_index=False).agg(kinds)
+        return found.assign(run_id=found["run_id"].astype(object).where(found["run_id"].notna(), None))
 
     def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, closed, last, n = state.get if state.exists else (NEVER, NEVER, -NEVER, 0)
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        known = pd.DataFrame(dict(zip(["run_id", *kinds], state.get))) if state.exists else None
+        if not state.hasTimedOut:
+            # until 0: due anew, and not in this batch
+            fresh = [folded([chunk.assign(events=1, until=0)]) for chunk in chunks]
+            known = folded(fresh if known is None else [known, *fresh])
+            due = known["last"].add(wait).where(known["closed"] == NEVER, known["closed"]).floordiv(1000).clip(lower=now + 1)
+            known["until"] = known["until"].where(known["until"] > 0, due.where(known["last"] > -NEVER, NEVER))
+        over = known["until"] < now
+        left = known[~over]
+        if len(left):
+            state.update(tuple(left[c].tolist() for c in ["run_id", *kinds]))
+            state.setTimeoutTimestamp(int(left["until"].min()))
+        else:
             state.remove()
-            yield pd.DataFrame({"run_id": [key[0]], "opened": moment(opened), "closed": moment(None if closed == NEVER else closed), "last": moment(last), "events": [n], "outcome": ["abandoned" if closed == NEVER else "closed"]})
-            return
-        for chunk in chunks:
-            at = chunk["at"].to_numpy().astype("datetime64[us]").astype("int64")
-            ends = at[(chunk["event"] == closing).to_numpy()]
-            opened, last, n = min(opened, int(at.min())), max(last, int(at.max())), n + len(chunk)
-            closed = min(closed, int(ends.min())) if len(ends) else closed
-        state.update((opened, closed, last, n))
-        due = last + wait if closed == NEVER else closed
-        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
-
-    keyed = events.withWatermark("at", late).groupBy("run_id")
-    return keyed.applyInPandasWithState(follow, RUN, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        if over.any():
+            yield known.loc[over, ["run_id", "opened", "closed", "last", "events"]]
+
+    at = F.unix_micros("at")
+    none = F.lit(NEVER)
+    moments = {"opened": F.coalesce(at, none), "closed": F.coalesce(F.when(F.col("event") == closing, at), none), "last": F.coalesce(at, -none)}
+    group = F.pmod(F.xxhash64("run_id"), F.lit(GROUPS)).alias("group")
+    keyed = events.withWatermark("at", late).select(group, F.col("run_id").cast("string").alias("run_id"), "at", *[v.alias(k) for k, v in moments.items()])
+    found = keyed.groupBy("group").applyInPandasWithState(follow, RUN, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    closed = F.timestamp_micros(F.nullif("closed", none))
+    return found.select("run_id", F.timestamp_micros("opened").alias("opened"), closed.alias("closed"), F.timestamp_micros("last").alias("last"), "events", F.when(closed.isNull(), "abandoned").otherwise("closed").alias("outcome"))

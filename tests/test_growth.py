@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwork.functions.regions import line_starts, text_line_starts
-from tarnwork.operators import graph, intervals, matching, resolution, retrieval
+from tarnwork.operators import graph, intervals, lookups, matching, resolution, retrieval
+from tarnwork.streaming import trace
 
 from .conftest import rows
 
@@ -66,3 +67,22 @@ def test_line_starts_of_texts_equal_those_of_their_bytes(spark):
     df = spark.createDataFrame([(x,) for x in ("", "\n", "a", "a\n", "é\nb\r\n\n", "\n\nx", None)], "text string")
     got = df.select(line_starts(F.encode("text", "UTF-8")).alias("a"), text_line_starts(F.col("text")).alias("b"))
     assert all(r.a == r.b for r in got.collect()) and got.where("b is null").count() == 1
+
+
+def test_runs_are_followed_many_in_a_call(spark, tmp_path):
+    # run_id, event, second: 3,000 runs and one without an id; the last event lets the watermark pass all others
+    made = [(f"r{i}" if i else None, ["step", "run_closed", "open"][(i + k) % 3], i + k + 1) for i in range(3000) for k in range(i % 4 + 1)] + [("end", "open", 100_000)]
+    for i in range(2):
+        part = spark.createDataFrame(made[i::2], "run_id string, event string, at long")
+        part.select("run_id", "event", F.timestamp_seconds("at").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema("run_id string, event string, at timestamp").parquet(str(tmp_path / "in"))
+    stream = trace.write_trace(trace.runs(read), str(tmp_path / "t"), str(tmp_path / "c"), once=True)
+    stream.awaitTermination()
+    got = {r[0]: tuple(r)[1:] for r in trace.read_committed(spark, str(tmp_path / "t")).select("run_id", F.unix_seconds("opened"), F.unix_seconds("closed"), F.unix_seconds("last"), "events", "outcome").collect()}
+    want = {}
+    for i in range(3000):
+        ends = [i + k + 1 for k in range(i % 4 + 1) if (i + k) % 3 == 1]
+        want[f"r{i}" if i else None] = (i + 1, min(ends, default=None), i + i % 4 + 1, i % 4 + 1, "closed" if ends else "abandoned")
+    assert got == want
+    # a run is no entry of the state of its own, as each entry costs a call of Python
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress) <= 1024
