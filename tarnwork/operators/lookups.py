@@ -21,8 +21,9 @@ def symbols_named(symbols: DataFrame, names: DataFrame, columns: Sequence[str] =
 
 def referenced_symbols(references: DataFrame, symbols: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """source and the symbol (all its columns) of each reference (source, target); targets that are no symbol are left out."""
-    wanted = references if sources is None else references.join(sources.select("source").distinct(), "source", "left_semi")
-    return wanted.select("source", F.col("target").alias("usr")).distinct().join(symbols, "usr")
+    # a task holds its sources, then its symbols; references, which are far more, are not sorted for a join
+    wanted = references if sources is None else references.join(sources.select("source").distinct().hint("shuffle_hash"), "source", "left_semi")
+    return wanted.select("source", F.col("target").alias("usr")).distinct().join(symbols.hint("shuffle_hash"), "usr")
 
 
 def targets_of(references: DataFrame, source: str = "source", target: str = "target") -> DataFrame:

@@ -86,3 +86,20 @@ def test_runs_are_followed_many_in_a_call(spark, tmp_path):
     assert got == want
     # a run is no entry of the state of its own, as each entry costs a call of Python
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress) <= 1024
+
+
+def test_references_are_not_sorted_to_find_their_symbols(spark):
+    made = [(i % 7, f"u{i % 5}") for i in range(200)] + [(None, "u1"), (1, None), (1, "gone"), (9, "u1")]
+    references = spark.createDataFrame(made, "source int, target string")
+    symbols = spark.createDataFrame([(f"u{i}", p) for i in range(4) for p in ("a", "b")] + [(None, "c"), ("other", "c")], "usr string, path string")
+    sources = spark.createDataFrame([(1,), (1,), (3,), (9,), (50,), (None,)], "source int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where all tables are large
+    try:
+        got = lookups.referenced_symbols(references, symbols, sources)
+        assert "SortMergeJoin" not in plan(got) and plan(got).count("ShuffledHashJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = {(s, u, p) for s, u in made if s in (1, 3, 9) and u in ("u0", "u1", "u2", "u3") for p in ("a", "b")}
+    assert rows(got, "source", "usr", "path") == sorted(want, key=repr)
+    assert {tuple(r) for r in lookups.referenced_symbols(references, symbols).select("source", "usr", "path").collect()} == {(s, u, p) for s, u in made if u in ("u0", "u1", "u2", "u3") for p in ("a", "b")}
