@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..plans.scratch import written
 from .intervals import points_in_intervals
 
-#: Parts that the callers of one class and suffix are dealt to, and copies of its methods.
+#: Parts that the callers of one class and suffix are dealt to when they learn its size.
 SALTS = 32
+#: Overrides of a task, about; methods held side by side; what a caller that meets a block counts for besides; tasks at most, beyond which they grow.
+FAN, BLOCK, ROW, MOST_TASKS = 4_000_000, 2048, 32, 20_000
 
 
 def walk(seeds: DataFrame, edges: DataFrame, depth: int, source: str = "caller", target: str = "callee") -> DataFrame:
@@ -100,12 +102,41 @@ def resolve_virtual(calls: DataFrame, derived: DataFrame, methods: DataFrame) ->
     below = derived.select("base", "class").distinct()
     target = methods.select(F.col("usr").alias("callee"), F.col("class").alias("base"), "suffix").join(below, "base").select("callee", "class", "suffix")
     # what a caller asks for, once, before it is fanned out: of one place in the classes, an override comes once
-    asked = calls.where("kind = 'virtual'").join(target, "callee").select("caller", "kind", "class", "suffix").distinct().withColumn("__salt", F.pmod(F.xxhash64("caller"), F.lit(SALTS)))
+    asked = written(calls.where("kind = 'virtual'").join(target, "callee").select("caller", "class", "suffix").distinct())
     places = methods.join(below.select("class").distinct(), "class", "left_semi").groupBy("usr").agg(F.collect_set(F.struct("class", "suffix")).alias("p"))
-    own = places.select(F.col("usr").alias("callee"), (F.size("p") > 1).alias("__many"), F.explode("p").alias("p")).select("callee", "__many", "p.*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
-    fan = lambda which: asked.join(own.where(which).hint("merge"), ["class", "suffix", "__salt"]).select("caller", "callee", "kind", F.lit(True).alias("inferred"))
-    # only a method that stands at several places can come twice; all others go out as they are met, without a shuffle
-    return calls.withColumn("inferred", F.lit(False)).distinct().unionByName(fan(~F.col("__many"))).unionByName(fan(F.col("__many")).distinct())
+    own = places.select(F.col("usr").alias("callee"), (F.size("p") > 1).alias("__many"), F.explode("p").alias("p")).select("callee", "__many", "p.*")
+    # a place's methods are dealt to blocks and its callers to parts, so that a block meets a part in about FAN rows, however many there are of each
+    place = ["class", "suffix"]
+    sizes = asked.groupBy(*place).agg(F.count(F.lit(1)).alias("__callers")).join(own.groupBy(*place, "__many").agg(F.count(F.lit(1)).alias("__methods")), place)
+    sizes = sizes.withColumn("__blocks", F.ceil(F.col("__methods") / BLOCK)).withColumn("__rows", F.col("__callers") * (F.col("__methods") + ROW * F.col("__blocks")))
+    sizes = written(sizes.select(*place, "__many", "__blocks", F.ceil(F.col("__rows") / F.col("__blocks") / FAN).alias("__parts"), "__rows"))
+    tasks = {r["__many"]: min(-(-r["rows"] // FAN), MOST_TASKS) for r in sizes.groupBy("__many").agg(F.sum("__rows").alias("rows")).collect()}
+    # only a method that stands at several places can come twice; all others go out as they are met
+    resolved = calls.withColumn("inferred", F.lit(False)).distinct()
+    if False in tasks:
+        resolved = resolved.unionByName(_fanned(asked, own.where("not __many"), sizes.where("not __many"), tasks[False]))
+    if True in tasks:
+        resolved = resolved.unionByName(_fanned(asked, own.where("__many"), sizes.where("__many"), tasks[True]).distinct())
+    return resolved
+
+
+def _fanned(asked: DataFrame, own: DataFrame, sizes: DataFrame, tasks: int) -> DataFrame:
+    """caller, callee, kind, inferred of each caller with all methods of the place that it asked for.
+
+    The number of tasks is given, since it follows from the rows that come out:
+    by the bytes that go in, Spark would merge them into a few.
+    """
+    unit = ["class", "suffix", "__block", "__part"]
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = asked.withColumn("__salt", F.pmod(F.xxhash64("caller"), F.lit(SALTS))).join(sizes.select("*", salts), ["class", "suffix", "__salt"])
+    met = met.select("caller", "class", "suffix", numbers("__blocks").alias("__block"), F.pmod(F.xxhash64("caller", F.lit(1)), "__parts").alias("__part"))
+    blocks = own.join(sizes, ["class", "suffix"]).groupBy("class", "suffix", "__parts", F.pmod(F.xxhash64("callee"), "__blocks").alias("__block")).agg(F.collect_list("callee").alias("callees"), F.bool_or(F.col("callee").isNull()).alias("__null"))
+    # a list is collected without nulls; a method without a name is one override too
+    callees = F.when(F.col("__null"), F.array_append("callees", F.lit(None))).otherwise(F.col("callees")).alias("callees")
+    blocks = blocks.select("class", "suffix", "__block", numbers("__parts").alias("__part"), callees)
+    pairs = met.repartition(tasks, *unit).join(blocks.repartition(tasks, *unit).hint("merge"), unit)
+    return pairs.select("caller", F.explode("callees").alias("callee"), F.lit("virtual").alias("kind"), F.lit(True).alias("inferred"))
 
 
 def classify_macro_calls(calls: DataFrame, expansions: DataFrame) -> DataFrame:

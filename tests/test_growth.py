@@ -54,6 +54,23 @@ def test_overrides_are_fanned_out_from_distinct_asks(spark):
     assert "32" in plan(got) and rows(got.where("inferred"), "caller", "callee") == [("x", "D0"), ("x", "E0"), ("y", "D0"), ("y", "E0")] and got.where("not inferred").count() == 11
 
 
+def test_overrides_go_out_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    for what, n in (("FAN", 100), ("BLOCK", 16), ("ROW", 1)):
+        monkeypatch.setattr(graph, what, n, raising=False)
+    own = [(f"D.{i}", "D", "f()") for i in range(40)] + [(None, "D", "f()"), ("two", "D", "f()"), ("two", "E", "f()"), ("E.0", "E", "f()"), ("D.g", "D", "g()"), ("D.0", "D", "f()"), (None, "D", None), ("none", None, "f()")]
+    methods = spark.createDataFrame([("B.f", "B", "f()"), ("B.x", "B", None), *own], "usr string, class string, suffix string")
+    calls = [(f"c{i}", "B.f", "virtual") for i in range(60)] + [(None, "B.f", "virtual"), ("c1", "B.x", "virtual"), ("c2", "B.f", "direct"), ("c1", "B.f", "virtual"), ("c3", None, "virtual")]
+    derived = spark.createDataFrame([("B", "D"), ("B", "E")], "base string, class string")
+    got = graph.resolve_virtual(spark.createDataFrame(calls, "caller string, callee string, kind string"), derived, methods)
+    met = {u for u, c, s in own if c in ("D", "E") and s == "f()"}
+    want = {(*c, False) for c in calls} | {(c[0], u, "virtual", True) for c in calls if c[1:] == ("B.f", "virtual") for u in met}
+    assert rows(got) == sorted(want, key=repr)
+    shares = [r["count"] for r in got.where("inferred").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) * 4 < sum(shares), "a few tasks, by the bytes that went in"
+    none = graph.resolve_virtual(spark.createDataFrame(calls, got.select("caller", "callee", "kind").schema), derived.limit(0), methods)
+    assert none.schema.names == got.schema.names and rows(none) == sorted({(*c, False) for c in calls}, key=repr)
+
+
 def test_symbols_cited_by_many_rows_are_not_one_task(spark, monkeypatch):
     monkeypatch.setattr(resolution, "HOT", 3)
     cited = [(i, "ok", ["f", "gone", "g", None][i % 4], "a", 5, None) for i in range(40)] + [(40, "ok", "g", "a", 50, 60), (41, "missing_file", "f", "a", 5, 5), (42, "ok", "f", "a", 6, 6)]
